@@ -38,8 +38,9 @@ CLASSES, OWN = GROUPS * GROUPS, GROUPS * (GROUPS - 1)
 STEP = WINDOW - OVERLAP
 #: Words whose counts every task has; the counts of the others come by a join.
 FREQUENT = 200_000
-#: Windows to train on at least (if there are so many), and replicas at most.
-MIN_WINDOWS, REPLICAS, ROUNDS = 20_000, 64, 2
+#: Windows to train on at least (if there are so many), replicas at most, and steps of a replica in a round at
+#: least: small corpora are gone through again.
+MIN_WINDOWS, REPLICAS, ROUNDS, MIN_STEPS = 20_000, 64, 2, 200
 TRAINED = ("E", "Q", "K", "V", "U", "R", "O", "b", "O2", "b2")
 
 
@@ -280,9 +281,11 @@ def _pack(w: dict) -> bytes:
 
 def _replica(vocab: Vocabulary, weights: dict, batch: int = 16):
     def run(batches):
+        every = [b.column(0).to_pylist() for b in batches]  # some megabytes: one window for eight documents, dealt to all replicas
+        ids = np.frombuffer(b"".join(x for part in every for x in part), np.uint32).reshape(-1, WINDOW + 1).astype(np.int64)
+
         def drawn():
-            for b in batches:
-                ids = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint32).reshape(-1, WINDOW + 1).astype(np.int64)
+            for _ in range(max(1, MIN_STEPS * batch // max(1, len(ids))) if len(ids) else 0):
                 for i in range(0, len(ids), batch):
                     part = ids[i : i + batch]
                     valid = part[:, 1:] < 2**32 - 1

@@ -64,7 +64,10 @@ _KEY = re.compile(r"A[KS]IA[A-Z0-9]{16}(?!\w)|gh[pousr]_[A-Za-z0-9]{36}(?!\w)|sk
 _SECRET = re.compile(r'[=:]\s?"?[A-Za-z0-9+/_-]{8,}"?')
 _SECRET_NAME = re.compile(r"(?:password|passwd|secret|token|api_?key)\s?\Z", re.I)
 _SECRET_HEAD = re.compile(r'(?:password|passwd|secret|token|api_?key)\s?[=:]\s?"?', re.I)
-_PHONE = re.compile(r"[+(](?:(?<=\+)\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}|(?<=\()\d{3}\) ?\d{3}-\d{4})(?!\w)")
+_PHONE = re.compile(
+    r"\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\w)|\(\d{3}\) ?\d{3}-\d{4}(?!\w)"
+    r"|\+(?!1\D)\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\w|[.-]\d)"
+)
 _IP = re.compile(r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w.]*\w)")
 _CARD = re.compile(r"\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?![\w-]*\w)")
 _PAIR = re.compile(r"[A-ZÀ-ÞА-Я][a-zß-ÿа-я]+\.? [A-ZÀ-ÞА-Я][a-zß-ÿа-я]+(?!\w)")
