@@ -47,7 +47,7 @@ class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(word)
         if len(word) <= 64:
-            if len(self) >= 500_000:
+            if len(self) >= 250_000:
                 self.clear()
             self[word] = h
         return h

@@ -43,7 +43,7 @@ class _Features(dict):
         if len(word) > 5:
             got += (xxhash.xxh32_intdigest(b"s" + word[:5]) & _MASK,)
         if len(word) <= 64:
-            if len(self) >= 500_000:
+            if len(self) >= 250_000:
                 self.clear()
             self[word] = got
         return got

@@ -106,7 +106,7 @@ class WordIds(dict):
     of them, which repeat far more. Both are emptied when they reach ``limit`` entries.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 250_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

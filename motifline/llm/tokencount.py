@@ -41,7 +41,7 @@ def unigram_vocabulary(path: str) -> list[tuple[str, float]]:
 class Counter(dict):
     """Word (UTF-8 bytes) -> (tokens, unknown tokens, score)."""
 
-    def __init__(self, vocabulary: list[tuple[str, float]], limit: int = 1_000_000):
+    def __init__(self, vocabulary: list[tuple[str, float]], limit: int = 400_000):
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
