@@ -36,6 +36,8 @@ WINDOW, OVERLAP, WIDTH, ROWS = 32, 8, 16, 2048
 GROUPS = 32
 CLASSES, OWN = GROUPS * GROUPS, GROUPS * (GROUPS - 1)
 STEP = WINDOW - OVERLAP
+#: Words between places where a training window may start.
+DRAW_STEP = 10
 #: Words whose counts every task has; the counts of the others come by a join.
 FREQUENT = 200_000
 #: Windows to train on at least (if there are so many), replicas at most, and steps of a replica in a round at
@@ -254,7 +256,10 @@ def _counted(tokenizer: str, flush: int = 400_000):
 
 
 def _drawn(tokenizer: str, end: int, rate: float):
-    """Windows of WINDOW + 1 ids, the one before the first included, each window with probability ``rate``."""
+    """Windows of WINDOW + 1 ids, the one before the first included, from every tenth word with probability ``rate``.
+
+    Only the drawn windows are tokenized: WINDOW words have as many ids at least.
+    """
 
     def run(batches):
         cache = word_ids(tokenizer)
@@ -262,11 +267,12 @@ def _drawn(tokenizer: str, end: int, rate: float):
             g = np.random.default_rng(TaskContext.get().partitionId() * 1_000_003 + b.num_rows)
             out = []
             for t in texts(b.column(0)):
-                ids = np.frombuffer(cache.encode(t), np.uint32)
-                ids = np.concatenate([[end], ids, [end]]).astype(np.uint32)
-                starts = np.arange(0, max(1, len(ids) - 1 - OVERLAP), STEP)
-                for s in starts[g.random(len(starts)) < rate]:
-                    part = ids[s : s + WINDOW + 1]
+                words = t.lower().split()
+                starts = np.arange(0, len(words) + 1, DRAW_STEP)
+                for s in starts[g.random(len(starts)) < rate].tolist():
+                    before = np.frombuffer(cache[words[s - 1]], np.uint32)[-1:] if s else [end]
+                    ids = np.frombuffer(b"".join([cache[w] for w in words[s : s + WINDOW]]), np.uint32)
+                    part = np.concatenate([before, ids, [end] if s + WINDOW >= len(words) else []])[: WINDOW + 1].astype(np.uint32)
                     out.append(np.pad(part, (0, WINDOW + 1 - len(part)), constant_values=2**32 - 1).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["ids"])
 
@@ -314,8 +320,8 @@ def fit(docs: DataFrame, tokenizer: str, text_col: str = "text", end_id: int = 4
     by_id[end_id] = n_docs
     vocab = Vocabulary(by_id, end_id)
     weights = vocab.start()
-    rate = min(1.0, max(MIN_WINDOWS, n_docs // 8) / max(1.0, by_id.sum() / STEP))
-    replicas = max(1, min(REPLICAS, spark.sparkContext.defaultParallelism, int(by_id.sum() * rate / STEP / 4000)))
+    rate = min(1.0, max(MIN_WINDOWS, n_docs // 8) / max(1.0, total / DRAW_STEP))
+    replicas = max(1, min(REPLICAS, spark.sparkContext.defaultParallelism, int(total * rate / DRAW_STEP / 4000)))
     drawn = materialize(src.mapInArrow(_drawn(tokenizer, end_id, rate), "ids binary").repartition(replicas), "windows")
     for _ in range(ROUNDS):
         got = drawn.repartition(replicas).mapInArrow(_replica(vocab, weights), "w binary, steps bigint").collect()
