@@ -36,10 +36,10 @@ WINDOW, OVERLAP, WIDTH, ROWS = 32, 8, 16, 2048
 GROUPS = 32
 CLASSES, OWN = GROUPS * GROUPS, GROUPS * (GROUPS - 1)
 STEP = WINDOW - OVERLAP
-#: Words between places where a training window may start.
-DRAW_STEP = 10
 #: Words whose counts every task has; the counts of the others come by a join.
 FREQUENT = 200_000
+#: Entries of a generation of a worker's subword cache.
+CACHED = 250_000
 #: Windows to train on at least (if there are so many), replicas at most, and steps of a replica in a round at
 #: least: small corpora are gone through again.
 MIN_WINDOWS, REPLICAS, ROUNDS, MIN_STEPS = 20_000, 64, 2, 200
@@ -222,57 +222,93 @@ def score_texts(w: dict, vocab: Vocabulary, ids: list[np.ndarray], chunk: int =
     return out
 
 
-def _counted(tokenizer: str, flush: int = 400_000):
+def _counted(flush: int = 400_000):
+    """Word counts of a task, emptied at ``flush`` distinct words; the empty word stands for the ends."""
+
     def run(batches):
-        cache, words, docs = word_ids(tokenizer), Counter(), 0
+        words, docs = Counter(), 0
 
         def rows():
-            ids = np.zeros(1 << 16, np.int64)
-            for word, c in words.items():
-                np.add.at(ids, np.frombuffer(cache[word], np.uint32), c)
-            used = np.flatnonzero(ids)
-            n = len(words)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([*words, *([None] * len(used))], pa.binary()),
-                    pa.array([*([None] * n), *used.tolist()], pa.int32()),
-                    pa.array([*words.values(), *ids[used].tolist()], pa.int64()),
-                ],
-                ["word", "id", "c"],
-            )
+            batch = pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.binary()), pa.array(words.values(), pa.int64())], ["word", "c"])
             words.clear()
+            return batch
 
         for b in batches:
             for t in texts(b.column(0)):
                 words.update(t.lower().split())
                 docs += 1
-            if len(words) > flush:
-                yield from rows()
+                if len(words) > flush:
+                    yield rows()
         words[b""] += docs  # the end of each text
         if docs:
-            yield from rows()
+            yield rows()
 
     return run
 
 
-def _drawn(tokenizer: str, end: int, rate: float):
-    """Windows of WINDOW + 1 ids, the one before the first included, from every tenth word with probability ``rate``.
+def _encoded(tokenizer: str, kind: str, frequent: dict[bytes, int], denominator: float):
+    """Ids of each text in the numpy type ``kind``, and its base score but for the words that are not ``frequent``."""
+
+    def run(batches):
+        cache, part, nth = word_ids(tokenizer, CACHED), TaskContext.get().partitionId(), 0
+        log = {w: float(np.log10((c + 0.5) / denominator)) for w, c in frequent.items()}
+        for big in batches:
+            for lo in range(0, big.num_rows, 256):
+                b = big.slice(lo, 256)
+                n, known, base, rare, ids = [], [], [], [], []
+                for t in texts(b.column(2)):
+                    words = t.lower().split()
+                    got = [x for x in map(log.get, words) if x is not None]
+                    n.append(len(words) + 1)
+                    known.append(len(got))
+                    base.append(sum(got))
+                    rare.append([w for w in words if w not in log] if len(got) < len(words) else [])
+                    ids.append(np.frombuffer(b"".join(map(cache.__getitem__, words)), np.uint32).astype(kind).tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column(0),
+                        b.column(1),
+                        pa.array([part] * len(n), pa.int32()),
+                        pa.array(range(nth, nth + len(n)), pa.int64()),
+                        pa.array(n, pa.int64()),
+                        pa.array(known, pa.int64()),
+                        pa.array(base, pa.float64()),
+                        pa.array(rare, pa.list_(pa.binary())),
+                        pa.array(ids, pa.binary()),
+                    ],
+                    ["id", "held_out", "part", "nth", "n", "known", "base", "rare", "ids"],
+                )
+                nth += len(n)
+
+    return run
 
-    Only the drawn windows are tokenized: WINDOW words have as many ids at least.
-    """
 
+def _id_counts(kind: str, id_count: int):
     def run(batches):
-        cache = word_ids(tokenizer)
+        c = np.zeros(id_count, np.int64)
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                joined = b"".join(b.column(0).slice(lo, 256).to_pylist())
+                c += np.bincount(np.frombuffer(joined, kind), minlength=id_count)
+        used = np.flatnonzero(c)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(c[used], pa.int64())], ["id", "c"])
+
+    return run
+
+
+def _drawn(kind: str, end: int, rate: float):
+    """Windows of WINDOW + 1 ids, the one before the first included, from every STEPth id with probability ``rate``."""
+
+    def run(batches):
+        g = np.random.default_rng(TaskContext.get().partitionId())
         for b in batches:
-            g = np.random.default_rng(TaskContext.get().partitionId() * 1_000_003 + b.num_rows)
             out = []
-            for t in texts(b.column(0)):
-                words = t.lower().split()
-                starts = np.arange(0, len(words) + 1, DRAW_STEP)
+            for x in b.column(0).to_pylist():
+                seq = np.frombuffer(x, kind)
+                starts = np.arange(0, len(seq) + 1, STEP)
                 for s in starts[g.random(len(starts)) < rate].tolist():
-                    before = np.frombuffer(cache[words[s - 1]], np.uint32)[-1:] if s else [end]
-                    ids = np.frombuffer(b"".join([cache[w] for w in words[s : s + WINDOW]]), np.uint32)
-                    part = np.concatenate([before, ids, [end] if s + WINDOW >= len(words) else []])[: WINDOW + 1].astype(np.uint32)
+                    last = [end] if s + WINDOW > len(seq) else []
+                    part = np.concatenate([[seq[s - 1] if s else end], seq[s : s + WINDOW], last]).astype(np.uint32)
                     out.append(np.pad(part, (0, WINDOW + 1 - len(part)), constant_values=2**32 - 1).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["ids"])
 
@@ -305,24 +341,27 @@ def _replica(vocab: Vocabulary, weights: dict, batch: int = 16):
     return run
 
 
-def fit(docs: DataFrame, tokenizer: str, text_col: str = "text", end_id: int = 49407, id_count: int = 49408):
-    """(counts table of words, N, V, vocabulary, weights) from training documents."""
-    spark = docs.sparkSession
-    src = docs.select(col(text_col).alias("text"))
-    counted = src.mapInArrow(_counted(tokenizer), "word binary, id int, c bigint")
-    counts = materialize(counted.groupBy("word", "id").agg(F.sum("c").alias("c")), "counts")
-    total, distinct, n_docs = counts.where("word is not null").agg(
-        F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.octet_length("word") == 0, F.col("c"))), F.lit(0))
-    ).first()
+def count_words(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, int, int, int]:
+    """(table of word and count, N, V, texts) of training documents; the empty word counts the ends."""
+    counted = docs.select(col(text_col)).mapInArrow(_counted(), "word binary, c bigint")
+    counts = materialize(counted.groupBy("word").agg(F.sum("c").alias("c")), "counts")
+    ends = F.sum(F.when(F.octet_length("word") == 0, F.col("c")))
+    return counts, *counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(ends, F.lit(0))).first()
+
+
+def fit(ids: DataFrame, kind: str, n_docs: int, end_id: int, id_count: int) -> tuple[Vocabulary, dict[str, np.ndarray]]:
+    """Classes and trained weights from the encoded training documents (one column, ids in the numpy type ``kind``)."""
+    spark = ids.sparkSession
     by_id = np.zeros(id_count)
-    for r in counts.where("id is not null").select("id", "c").collect():  # as many rows as the tokenizer has ids
-        by_id[r["id"]] = r["c"]
+    for r in ids.mapInArrow(_id_counts(kind, id_count), "id int, c bigint").groupBy("id").agg(F.sum("c").alias("c")).collect():
+        by_id[r["id"]] = r["c"]  # as many rows as the tokenizer has ids
+    places = max(1, n_docs + int(by_id.sum()) // STEP)
     by_id[end_id] = n_docs
     vocab = Vocabulary(by_id, end_id)
     weights = vocab.start()
-    rate = min(1.0, max(MIN_WINDOWS, n_docs // 8) / max(1.0, total / DRAW_STEP))
-    replicas = max(1, min(REPLICAS, spark.sparkContext.defaultParallelism, int(total * rate / DRAW_STEP / 4000)))
-    drawn = materialize(src.mapInArrow(_drawn(tokenizer, end_id, rate), "ids binary").repartition(replicas), "windows")
+    rate = min(1.0, max(MIN_WINDOWS, n_docs // 8) / places)
+    replicas = max(1, min(REPLICAS, spark.sparkContext.defaultParallelism, int(places * rate / 4000)))
+    drawn = materialize(ids.mapInArrow(_drawn(kind, end_id, rate), "ids binary").repartition(replicas), "windows")
     for _ in range(ROUNDS):
         got = drawn.repartition(replicas).mapInArrow(_replica(vocab, weights), "w binary, steps bigint").collect()
         if not got:
@@ -330,60 +369,41 @@ def fit(docs: DataFrame, tokenizer: str, text_col: str = "text", end_id: int = 4
         parts = [np.load(io.BytesIO(r["w"])) for r in got]  # REPLICAS at most
         share = np.array([r["steps"] for r in got], float)
         weights = {k: sum(s * p[k] for s, p in zip(share / share.sum(), parts)).astype(np.float32) for k in TRAINED}
-    return counts.where("word is not null").select("word", "c"), total, distinct, vocab, weights
+    return vocab, weights
+
 
+def _scored(kind: str, vocab: Vocabulary, weights: dict):
+    """The columns before the last one as they are, and the log10 probability of the ids in the last one."""
 
-def _scored(tokenizer: str, vocab: Vocabulary, weights: dict, frequent: dict[bytes, int], denominator: float):
     def run(batches):
-        cache, part, nth = word_ids(tokenizer), TaskContext.get().partitionId(), 0
-        log = {w: float(np.log10((c + 0.5) / denominator)) for w, c in frequent.items()}
         for big in batches:
             for lo in range(0, big.num_rows, 256):
                 b = big.slice(lo, 256)
-                n, known, base, rare, ids = [], [], [], [], []
-                for t in texts(b.column(2)):
-                    words = t.lower().split()
-                    got = [log.get(w) for w in words]
-                    missing = [w for w, x in zip(words, got) if x is None]
-                    n.append(len(words) + 1)
-                    known.append(len(words) - len(missing))
-                    base.append(sum(x for x in got if x is not None))
-                    rare.append(missing)
-                    ids.append(np.frombuffer(b"".join([cache[w] for w in words]), np.uint32))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column(0),
-                        b.column(1),
-                        pa.array([part] * len(n), pa.int32()),
-                        pa.array(range(nth, nth + len(n)), pa.int64()),
-                        pa.array(n, pa.int64()),
-                        pa.array(known, pa.int64()),
-                        pa.array(base, pa.float64()),
-                        pa.array(rare, pa.list_(pa.binary())),
-                        pa.array(score_texts(weights, vocab, ids) / np.log(10), pa.float64()),
-                    ],
-                    ["id", "held_out", "part", "nth", "n", "known", "base", "rare", "score"],
-                )
-                nth += len(n)
+                ids = [np.frombuffer(x, kind) for x in b.columns[-1].to_pylist()]
+                score = pa.array(score_texts(weights, vocab, ids) / np.log(10), pa.float64())
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], score], [*b.schema.names[:-1], "score"])
 
     return run
 
 
-def score_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
+def score_documents(
+    docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 49407, id_count: int = 49408
+) -> DataFrame:
+    """One row a document: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
+
+    Every text is tokenized once: its ids, two bytes each, are a written table from which the classes, the
+    training windows and the scores come.
+    """
     src = docs.select(col(id_col).alias("id"), held_out(id_col).alias("held_out"), col(text_col).alias("text"))
-    counts, total, distinct, vocab, weights = fit(src.where("not held_out"), tokenizer)
+    counts, total, distinct, n_docs = count_words(src.where("not held_out"))
     denominator = total + 0.5 * (distinct + 1)
     top = counts.where("octet_length(word) > 0").orderBy(F.desc("c"), "word").limit(FREQUENT).collect()
     frequent = {bytes(r["word"]): r["c"] for r in top}
-    kind = src.schema["id"].dataType.simpleString()
-    partial = materialize(
-        src.mapInArrow(
-            _scored(tokenizer, vocab, weights, frequent, denominator),
-            f"id {kind}, held_out boolean, part int, nth bigint, n bigint, known bigint, base double, rare array<binary>, score double",
-        ),
-        "scored",
-    )
+    plain = f"id {src.schema['id'].dataType.simpleString()}, held_out boolean, part int, nth bigint, n bigint, known bigint, base double"
+    kind = "<u2" if id_count <= 1 << 16 else "<u4"
+    partial = materialize(src.mapInArrow(_encoded(tokenizer, kind, frequent, denominator), f"{plain}, rare array<binary>, ids binary"), "encoded")
+    vocab, weights = fit(partial.where("not held_out").select("ids"), kind, n_docs, end_id, id_count)
+    scored = materialize(partial.drop("rare").mapInArrow(_scored(kind, vocab, weights), f"{plain}, score double"), "scored")
     least = top[-1]["c"] if len(top) == FREQUENT else 0
     rare = partial.where(F.size("rare") > 0).select("part", "nth", F.explode("rare").alias("word"))
     others = counts.where(F.col("c") <= least) if least else counts.limit(0)
@@ -396,7 +416,7 @@ def score_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", tex
     ends = counts.where("octet_length(word) = 0").select("c").first()
     ends = ends["c"] if ends else 0
     end_worth = float(np.log10((ends + 0.5) / denominator))
-    out = partial.drop("rare").join(sums, ["part", "nth"], "left")
+    out = scored.join(sums, ["part", "nth"], "left")
     return out.select(
         "id",
         "held_out",

@@ -103,10 +103,11 @@ class WordIds(dict):
 
     For tokenizers that drop white space, lower-case and never join across it, so a text's ids are its
     words' ids one after the other. Two levels: whole words, and the pieces that the pre-tokenizer makes
-    of them, which repeat far more. Both are emptied when they reach ``limit`` entries.
+    of them, which repeat far more. Each level keeps two generations of ``limit`` entries: when the younger is
+    full the older goes, so entries in use stay.
     """
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 125_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -116,48 +117,59 @@ class WordIds(dict):
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.pieces: dict[bytes, bytes] = {}
+        self.old_pieces: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.limit = limit
 
     def _piece(self, piece: bytes) -> bytes:
         got = self.pieces.get(piece)
         if got is None:
-            text = piece.decode("utf-8", "replace").lower()
-            if _LATIN.fullmatch(text):  # one pre-token in lower case: straight to the merges
-                ids = [t.id for t in self.model.tokenize(piece.decode() if piece.isalpha() else _symbols(text))]
-            else:
-                ids = self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids
-            got = array("I", ids).tobytes()
+            got = self.old_pieces.get(piece)
+            if got is None:
+                got = self._merged(piece)
             if len(piece) <= 64:
                 if len(self.pieces) >= self.limit:
-                    self.pieces.clear()
+                    self.old_pieces, self.pieces = self.pieces, {}
                 self.pieces[piece] = got
         return got
 
-    def __missing__(self, word: bytes) -> bytes:
-        if _NON_ASCII.search(word):
-            # a run of ASCII punctuation after an ASCII letter or digit is a piece of its own; else keep the word whole
-            m = _TAIL.search(word)
-            if m and word[m.start() - 1 : m.start()].isalnum() and b"'" not in m[0]:
-                got = self._piece(word[: m.start()]) + self._piece(m[0])
-            else:
-                got = self._piece(word)
+    def _merged(self, piece: bytes) -> bytes:
+        text = piece.decode("utf-8", "replace").lower()
+        if _LATIN.fullmatch(text):  # one pre-token in lower case: straight to the merges
+            ids = [t.id for t in self.model.tokenize(piece.decode() if piece.isalpha() else _symbols(text))]
         else:
-            got = b"".join(map(self._piece, _ASCII_PIECE.findall(word)))
+            ids = self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids
+        return array("I", ids).tobytes()
+
+    def __missing__(self, word: bytes) -> bytes:
+        got = self.old.get(word)
+        if got is None:
+            got = self._word(word)
         if len(word) <= 64:
             if len(self) >= self.limit:
+                self.old = dict(self)
                 self.clear()
             self[word] = got
         return got
 
+    def _word(self, word: bytes) -> bytes:
+        if _NON_ASCII.search(word):
+            # a run of ASCII punctuation after an ASCII letter or digit is a piece of its own; else keep the word whole
+            m = _TAIL.search(word)
+            if m and word[m.start() - 1 : m.start()].isalnum() and b"'" not in m[0]:
+                return self._piece(word[: m.start()]) + self._piece(m[0])
+            return self._piece(word)
+        return b"".join(map(self._piece, _ASCII_PIECE.findall(word)))
+
     def encode(self, text: bytes) -> bytes:
         return b"".join(map(self.__getitem__, text.lower().split()))
 
 
-_WORD_IDS: dict[str, WordIds] = {}
+_WORD_IDS: dict[tuple[str, int], WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
-    """One cache for each worker process and tokenizer file."""
-    if path not in _WORD_IDS:
-        _WORD_IDS[path] = WordIds(path)
-    return _WORD_IDS[path]
+def word_ids(path: str, limit: int = 125_000) -> WordIds:
+    """One cache for each worker process, tokenizer file and size."""
+    if (path, limit) not in _WORD_IDS:
+        _WORD_IDS[path, limit] = WordIds(path, limit)
+    return _WORD_IDS[path, limit]
