@@ -153,7 +153,7 @@ def lookup(plan: Plan) -> dict[str, np.ndarray]:
 
 
 def tokenize_pieces(
-    docs: DataFrame, tokenizer: str, capacity: int, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0
+    docs: DataFrame, tokenizer: str, capacity: int, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, cached: int = 125_000
 ) -> DataFrame:
     """Pieces of at most ``capacity`` tokens: id, piece, start, length, ids (unsigned 32-bit little-endian).
 
@@ -166,7 +166,7 @@ def tokenize_pieces(
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]):
-        cache, part, seen = word_ids(tokenizer), TaskContext.get().partitionId(), [0] * (capacity + 1)
+        cache, part, seen = word_ids(tokenizer, cached), TaskContext.get().partitionId(), [0] * (capacity + 1)
         for b in batches:
             index, piece, start, length, ids, place = [], [], [], [], [], []
             for row, text in enumerate(texts(b.column(1))):

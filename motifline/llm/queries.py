@@ -90,8 +90,8 @@ def op3_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded.select("doc_id", "expected_grade", F.col("tails")[0].alias("p_not_toxic"), F.col("p_tail").alias("p_good"), "accepted")
 
 
-def packed(docs: DataFrame, capacity: int = 2048) -> DataFrame:
-    pieces = packing.tokenize_pieces(docs, tokenizer_path(WORD_TOKENIZER), capacity)
+def packed(docs: DataFrame, capacity: int = 2048, cached: int = 125_000) -> DataFrame:
+    pieces = packing.tokenize_pieces(docs, tokenizer_path(WORD_TOKENIZER), capacity, cached=cached)
     digest = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return packing.assign_sequences(digest, capacity).select(
         F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
@@ -99,7 +99,7 @@ def packed(docs: DataFrame, capacity: int = 2048) -> DataFrame:
 
 
 def op4_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(table(spark, sf_dir, "documents"))
+    return packed(table(spark, sf_dir, "documents"), cached=250_000)
 
 
 def op5_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
