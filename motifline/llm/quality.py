@@ -10,7 +10,7 @@ The model is fitted on at most ``MAX_TRAIN`` labelled documents (those with the
 every document is scored whole, in one map without a shuffle.
 
 Edge cases: null and empty texts have only the shares as features. Labels without an id or a grade are
-left out; of repeated labels the least grade counts. Without labelled rows nothing is known and every
+left out; of repeated labels the least grade counts, of repeated documents one is fitted on. Without labelled rows nothing is known and every
 document is kept with tail probability 1. Extra columns are never read; repeated rows are scored alike.
 """
 
@@ -138,10 +138,11 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, top: int, id_col: str
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.binary())], ["_id", "_grade", "f"])
 
     kind = src.schema["_id"].dataType.simpleString()
-    rows = src.select("_id", "_grade", "_text").mapInArrow(run, f"_id {kind}, _grade int, f binary").collect()
+    found = src.select("_id", "_grade", "_text").mapInArrow(run, f"_id {kind}, _grade int, f binary")
+    rows = found.groupBy("_id").agg(F.min("_grade").alias("_grade"), F.min("f").alias("f")).collect()  # <= MAX_TRAIN rows
     if not rows:
         return None
-    rows.sort(key=lambda r: (r["_id"], bytes(r["f"])))
+    rows.sort(key=lambda r: r["_id"])
     return fit_ordinal([np.frombuffer(r["f"], np.int32) for r in rows], np.array([r["_grade"] for r in rows]), top)
 
 
