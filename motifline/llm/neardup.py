@@ -7,9 +7,11 @@
    share it, longer where more than ``BLOCK`` do. Within a region all sketches (one byte of each minimum)
    are compared in place and each class names its most similar neighbours that may reach the threshold.
 3. Candidates are confirmed on the full sets, links are joined to components.
-4. The forest is searched again for candidates between different components, until no link is found.
-   Naming only the most similar neighbours loses nothing that these rounds do not find: what is in one
-   component already is skipped, so the next best come up.
+4. The forest is searched again for candidates between different components. Rows of one prefix come in
+   another order each time, so a region over several tasks or blocks is cut elsewhere. What is in one
+   component already is skipped, so the next best come up; if a search brings no link, classes that had
+   more candidates than they may name name eight times as many. It ends when there is neither a link nor
+   a candidate left to name.
 
 Nothing is emitted for all pairs of a group, and sorting spreads a group of any size over many tasks.
 
@@ -21,6 +23,7 @@ a class. Extra columns are never read.
 from __future__ import annotations
 
 import hashlib
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -116,9 +119,10 @@ def _sets(size: int):
 
 
 def _neighbours(threshold: float, most: int):
+    """Pairs (a, b) of digests; (a, null) if ``a`` has more candidates than the ``most`` it names."""
     least = threshold - SLACK * (threshold * (1 - threshold) / SKETCH) ** 0.5
 
-    def block(sketch, n, group, emit):
+    def block(sketch, n, group, digest, first, pairs, cut):
         size = len(sketch)
         for i in range(0, size, 32):
             rows = slice(i, min(size, i + 32))
@@ -126,9 +130,11 @@ def _neighbours(threshold: float, most: int):
             small, big = np.minimum(n[rows, None], n[None]), np.maximum(n[rows, None], n[None])
             near[(near < least * SKETCH) | (small < threshold * big * (1 - 1e-9)) | (group[rows, None] == group[None])] = 0
             top = min(most, size)
+            cut.update(digest[first + i + r] for r in np.flatnonzero(np.count_nonzero(near, axis=1) > top))
             best = np.argpartition(-near, top - 1, axis=1)[:, :top]
             for r, c in zip(*np.nonzero(np.take_along_axis(near, best, 1))):
-                emit(i + r, best[r, c])
+                x, y = digest[first + i + r], digest[first + best[r, c]]
+                pairs.add((min(x, y), max(x, y)))
 
     def run(batches):
         parts = list(batches)  # one range of the sorted rows
@@ -143,13 +149,14 @@ def _neighbours(threshold: float, most: int):
         same = (label[1:].reshape(-1, DEPTH, 4) == label[:-1].reshape(-1, DEPTH, 4)).all(-1)
         common = np.cumprod(np.concatenate([(tree[1:] == tree[:-1])[:, None], same], 1), axis=1).sum(1) - 1  # -1: other tree
         pairs: set = set()
+        more: set = set()
 
         def region(lo: int, hi: int, depth: int) -> None:
             if hi - lo <= BLOCK or depth > DEPTH:
                 for k in range(lo, hi, BLOCK):
                     e = min(hi, k + BLOCK)
                     if e - k > 1:
-                        block(sketch[k:e], n[k:e], group[k:e], lambda i, j, k=k: pairs.add((min(digest[k + i], digest[k + j]), max(digest[k + i], digest[k + j]))))
+                        block(sketch[k:e], n[k:e], group[k:e], digest, k, pairs, more)
                 return
             cuts = [lo, *(lo + 1 + np.flatnonzero(common[lo : hi - 1] < depth)).tolist(), hi]
             for a, b in zip(cuts, cuts[1:]):
@@ -160,7 +167,7 @@ def _neighbours(threshold: float, most: int):
         for a, b in zip(cuts, cuts[1:]):
             if b - a > 1:
                 region(a, b, 2)
-        found = list(pairs)
+        found = [*pairs, *((x, None) for x in more)]
         for i in range(0, len(found), 10_000):
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found[i : i + 10_000]], pa.binary()) for k in (0, 1)], ["a", "b"])
 
@@ -180,17 +187,17 @@ def _confirm(threshold_percent: int):
     return run
 
 
-def _forest(classes: DataFrame, threshold: float, most: int) -> DataFrame:
-    """Candidate pairs of classes (digest, n, orders, sketch, component)."""
+def _forest(classes: DataFrame, threshold: float, most: int, turn: int) -> DataFrame:
+    """Candidate pairs of classes (digest, n, orders, sketch, component); rows of one prefix in an order of this turn."""
     rows = classes.select(F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "*").select(
         "tree", F.expr(f"substring(orders, tree * {4 * DEPTH} + 1, {4 * DEPTH})").alias("label"), "digest", "sketch", "n", "component"
-    )
-    ordered = rows.repartitionByRange("tree", "label", "digest").sortWithinPartitions("tree", "label", "digest")
+    ).withColumn("place", F.xxhash64("digest", "tree", F.lit(turn)))
+    ordered = rows.repartitionByRange("tree", "label", "place").sortWithinPartitions("tree", "label", "place")
     return ordered.mapInArrow(_neighbours(threshold, most), "a binary, b binary").distinct()
 
 
 def near_duplicate_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, percent: int = 80, rounds: int = 6
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, percent: int = 80
 ) -> DataFrame:
     """One row a document: id, h (xxhash64 of the text), n_shingles, component_id, kept.
 
@@ -204,11 +211,14 @@ def near_duplicate_groups(
     )
     classes = materialize(classes.withColumn("component", F.col("digest")), "classes")
     tested = active = found = None
-    for turn in range(rounds):
-        pairs = _forest(classes if turn == 0 else active, percent / 100, 2 if turn == 0 else 6)
+    most = 2
+    for turn in count():
+        pairs = _forest(classes if turn == 0 else active, percent / 100, most, turn)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
+        more = pairs.where("b is null").limit(1).count()
+        named_pairs, pairs = pairs, pairs.where("b is not null")
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
         if turn == 0:  # a class without a candidate now has none later
             active = materialize(classes.join(nodes, "digest", "left_semi"), "active")
@@ -223,11 +233,14 @@ def near_duplicate_groups(
         new = results.where("linked").limit(1).count()
         links = results.where("linked").select("a", "b")
         edges = links if found is None else links.union(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        discard(pairs)
-        if not new:
+        discard(named_pairs)
+        if not new and not more:
             break
-        found = materialize(components(edges), "components")
+        most = max(6, most) if new else 8 * most
         tested = results.select("a", "b") if tested is None else tested.union(results.select("a", "b"))
+        if not new:
+            continue
+        found = materialize(components(edges), "components")
         active = active.drop("component").join(found.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
     discard(sets)
     named = classes.select("digest", "id")
