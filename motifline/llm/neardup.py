@@ -12,6 +12,8 @@
    component already is skipped, so the next best come up; if a search brings no link, classes that had
    more candidates than they may name name eight times as many. It ends when there is neither a link nor
    a candidate left to name.
+   Of more than ``BLOCK`` classes that share all ``DEPTH`` values of a tree, each meets only those of its
+   block; other trees and rounds cut such a region elsewhere, which makes a lost link unlikely, not impossible.
 
 Nothing is emitted for all pairs of a group, and sorting spreads a group of any size over many tasks.
 

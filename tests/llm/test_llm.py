@@ -79,6 +79,8 @@ def test_quality_held_out(spark, odd):
     good = {i: q == 1 and t == 0 for i, q, t in labels[600:]}
     assert np.mean([got[i] == good[i] for i in good]) > 0.9
     assert quality.grade_documents(odd, model, odd.columns).count() == len(ROWS)
+    again = quality.fit(docs.unionAll(docs.where("doc_id < 3")), marks, quality.rating(), 2)
+    assert (again[0] == model[0]).all() and (again[1] == model[1]).all()
     assert quality.fit(docs, marks.limit(0), quality.rating(), 2) is None
     assert quality.select_documents(odd, None).count() == len(ROWS)
 
