@@ -6,7 +6,10 @@ their estimated success: the probability that a neighbour at distance r falls th
 integrals over the functions' slots. It goes on until the tables together reach ``target`` success. What the
 tables name is merged and ranked by the exact distance in double precision.
 
-r is measured on a sample of at most ``SAMPLE`` vectors; every vector is indexed. The index is cut into shards
+r is measured on a sample of at most ``SAMPLE`` vectors; every vector is indexed. A query whose probes named
+fewer than k, or whose kth distance is above r (its neighbours are then not covered by probes made for r), is
+answered again by a scan of the whole index, which is exact. So every query has its k rows, or all there are,
+however far it lies from the rest and however the vectors cluster. The index is cut into shards
 of about ``SHARD`` vectors by a hash of the id, each with its part of all tables, and queries into blocks;
 a shard answers a block with its nearest few. Any bucket, however full, is thus spread over all shards, and no
 table copies the vectors.
@@ -95,6 +98,26 @@ def search_shard(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries:
             yield query_ids[q], ids[found[best]], d[best]
 
 
+def scan_shard(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int):
+    """(query, id, distance) of the nearest ``k`` of all the shard's vectors, for each query."""
+    norms = (x * x).sum(1)
+    for i in range(0, len(queries), 256):
+        some = queries[i : i + 256]
+        own = (some * some).sum(1)[:, None]
+        with np.errstate(over="ignore", invalid="ignore"):
+            near = norms - 2 * (some @ x.T) + own
+            slack = 1e-9 * (norms.max() + own)  # more than the products' rounding
+        near[np.isnan(near)] = np.inf
+        near[ids == query_ids[i : i + 256, None]] = np.inf
+        most = np.partition(near, min(k, len(x)) - 1, axis=1)[:, [min(k, len(x)) - 1]]
+        for q, named in enumerate(near <= most + slack):
+            found = np.flatnonzero(named & (ids != query_ids[i + q]))
+            if len(found):
+                d = np.sqrt(((x[found] - some[q]) ** 2).sum(1))
+                best = np.lexsort((ids[found], d))[:k]
+                yield query_ids[i + q], ids[found[best]], d[best]
+
+
 def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", target: float = 0.97) -> DataFrame:
     """query_id, rank, vec_id, score for the rows of ``is_query`` (a condition on ``id``) against all rows."""
     v = vectors.select(col(id_col).cast("bigint").alias("id"), col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null")
@@ -115,19 +138,33 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", v
         radius[dim] = max(float(np.quantile(near, 0.75)), 1e-9)
     queries = v.where(is_query(F.col("id"))).dropDuplicates(["id"])
     blocks = max(1, -(-sum(sizes.values()) // SHARD))
-    groups = max(1, -(-queries.count() // QUERY_BLOCK))
-    shards = index.select("dim", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("block"), "id", "v")
-    asked = queries.select("dim", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("shard"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups)).cast("int").alias("block"), "id", "v")
-
-    def answer(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        out = ([], [], [])
-        if left.num_rows and right.num_rows:
-            r = radius[key[0].as_py()]
-            for q, ids, d in search_shard(left["id"].to_numpy(), _matrix(left["v"]), right["id"].to_numpy(), _matrix(right["v"]), k, r, target):
-                out[0].extend([q] * len(ids)), out[1].extend(ids.tolist()), out[2].extend(d.tolist())
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
-
-    keys = ["dim", "shard", "block"]
-    found = shards.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(answer, "query_id bigint, vec_id bigint, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    top = Window.partitionBy("query_id").orderBy("score", "vec_id")
+
+    def ask(queries: DataFrame, whole: bool) -> DataFrame:
+        groups = max(1, -(-queries.count() // QUERY_BLOCK))
+        shards = index.select("dim", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("block"), "id", "v")
+        asked = queries.select("dim", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("shard"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups)).cast("int").alias("block"), "id", "v")
+
+        def answer(key, left: pa.Table, right: pa.Table) -> pa.Table:
+            out = ([], [], [])
+            if left.num_rows and right.num_rows:
+                both = left["id"].to_numpy(), _matrix(left["v"]), right["id"].to_numpy(), _matrix(right["v"])
+                for q, ids, d in scan_shard(*both, k) if whole else search_shard(*both, k, radius[key[0].as_py()], target):
+                    out[0].extend([q] * len(ids)), out[1].extend(ids.tolist()), out[2].extend(d.tolist())
+            return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+
+        keys = ["dim", "shard", "block"]
+        found = shards.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(answer, "query_id bigint, vec_id bigint, score double")
+        return found.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    probed = materialize(ask(queries, False), "probed")
+    reach = probed.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
+    limit = F.lit(None).cast("double")
+    for dim, r in radius.items():
+        limit = F.when(F.col("dim") == dim, F.lit(r)).otherwise(limit)
+    left = queries.join(reach, "id", "left").where(F.col("kth").isNull() | (F.col("kth") > limit)).select("id", "v", "dim")
+    left = materialize(left, "uncovered")
+    if not left.limit(1).count():
+        return probed
+    covered = probed.join(left.select(F.col("id").alias("query_id")), "query_id", "left_anti").select(*probed.columns)
+    return covered.union(ask(left, True))

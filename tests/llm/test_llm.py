@@ -62,6 +62,32 @@ def test_neighbours(spark):
     assert ann.nearest(df.limit(0), lambda i: i % 100 == 0).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["outliers", "clusters", "few"])
+def test_neighbours_of_far_queries(spark, kind):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(1500, 16))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    if kind == "outliers":
+        x[::100] *= 50
+    elif kind == "clusters":
+        copies = rng.permutation(1500)[:1200]
+        x[copies] = x[copies % 12] + rng.normal(0, 0.001, (1200, 16))
+    else:
+        x = x[:6]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), lambda i: i % 100 == 0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    hits = rows = 0
+    for q in range(0, len(x), 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        best = [i for _, i in sorted((float(d[i]), i) for i in range(len(x)) if i != q)[:10]]
+        assert [r for r, _ in sorted(got[q])] == list(range(1, len(best) + 1))
+        hits += len(set(best) & {i for _, i in got[q]})
+        rows += len(best)
+    assert hits >= 0.95 * rows
+
+
 def test_quality_held_out(spark, odd):
     rng = random.Random(2)
     words = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(300)]
