@@ -2,9 +2,9 @@
 
 Statistics cover all training documents: word counts (for the unigram base) and subword counts (for the
 classes and the distribution within a class) are aggregated in Spark. The attention weights are trained
-by stochastic gradient descent on windows drawn evenly from all training text, one for eight documents
-or more, so the training data grow with the corpus; tasks train replicas, whose weights are averaged
-after each round.
+by stochastic gradient descent on all windows of all training text, at every size; tasks train replicas,
+whose weights are averaged after each round. A replica streams its windows and holds those of ``MIXED``
+documents at a time.
 
 A text is its subword ids and an end id. Windows of ``WINDOW`` ids overlap by ``OVERLAP``; a batch of
 windows goes through masked attention at once, and each id is scored once, in the window where it has at
@@ -40,9 +40,10 @@ STEP = WINDOW - OVERLAP
 FREQUENT = 200_000
 #: Entries of a generation of a worker's subword cache.
 CACHED = 250_000
-#: Windows to train on at least (if there are so many), replicas at most, and steps of a replica in a round at
-#: least: small corpora are gone through again.
-MIN_WINDOWS, REPLICAS, ROUNDS, MIN_STEPS = 20_000, 64, 2, 200
+#: Replicas at most, and steps of a replica in a round at least: small corpora are gone through again.
+REPLICAS, ROUNDS, MIN_STEPS = 64, 2, 200
+#: Documents whose windows are mixed before training.
+MIXED = 256
 TRAINED = ("E", "Q", "K", "V", "U", "R", "O", "b", "O2", "b2")
 
 
@@ -296,23 +297,15 @@ def _id_counts(kind: str, id_count: int):
     return run
 
 
-def _drawn(kind: str, end: int, rate: float):
-    """Windows of WINDOW + 1 ids, the one before the first included, from every STEPth id with probability ``rate``."""
-
-    def run(batches):
-        g = np.random.default_rng(TaskContext.get().partitionId())
-        for b in batches:
-            out = []
-            for x in b.column(0).to_pylist():
-                seq = np.frombuffer(x, kind)
-                starts = np.arange(0, len(seq) + 1, STEP)
-                for s in starts[g.random(len(starts)) < rate].tolist():
-                    last = [end] if s + WINDOW > len(seq) else []
-                    part = np.concatenate([[seq[s - 1] if s else end], seq[s : s + WINDOW], last]).astype(np.uint32)
-                    out.append(np.pad(part, (0, WINDOW + 1 - len(part)), constant_values=2**32 - 1).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["ids"])
-
-    return run
+def _cut(texts_ids: list[bytes], kind: str, end: int) -> np.ndarray:
+    """All windows of WINDOW + 1 ids, the one before the first included, from every STEPth id; -1 after a text's end."""
+    out = []
+    for x in texts_ids:
+        seq = np.concatenate([[end], np.frombuffer(x, kind), [end]]).astype(np.int64)
+        starts = np.arange(0, len(seq) - 1, STEP)
+        at = starts[:, None] + np.arange(WINDOW + 1)
+        out.append(np.where(at < len(seq), np.take(seq, at, mode="clip"), -1))
+    return np.concatenate(out) if out else np.empty((0, WINDOW + 1), np.int64)
 
 
 def _pack(w: dict) -> bytes:
@@ -321,18 +314,29 @@ def _pack(w: dict) -> bytes:
     return f.getvalue()
 
 
-def _replica(vocab: Vocabulary, weights: dict, batch: int = 16):
+def _replica(vocab: Vocabulary, weights: dict, kind: str, batch: int = 16):
     def run(batches):
-        every = [b.column(0).to_pylist() for b in batches]  # some megabytes: one window for eight documents, dealt to all replicas
-        ids = np.frombuffer(b"".join(x for part in every for x in part), np.uint32).reshape(-1, WINDOW + 1).astype(np.int64)
+        def cut():
+            g = np.random.default_rng(TaskContext.get().partitionId())
+            for b in batches:
+                for lo in range(0, b.num_rows, MIXED):
+                    yield g.permutation(_cut(b.column(0).slice(lo, MIXED).to_pylist(), kind, vocab.end))
+
+        def steps_of(ids):
+            for i in range(0, len(ids), batch):
+                part = ids[i : i + batch]
+                valid = part[:, 1:] >= 0
+                part = np.where(part >= 0, part, vocab.end)
+                yield vocab.row[part[:, :-1]], (vocab.group[part[:, 1:]], vocab.member[part[:, 1:]]), valid.astype(np.float32)
 
         def drawn():
-            for _ in range(max(1, MIN_STEPS * batch // max(1, len(ids))) if len(ids) else 0):
-                for i in range(0, len(ids), batch):
-                    part = ids[i : i + batch]
-                    valid = part[:, 1:] < 2**32 - 1
-                    part = np.where(part < 2**32 - 1, part, vocab.end)
-                    yield vocab.row[part[:, :-1]], (vocab.group[part[:, 1:]], vocab.member[part[:, 1:]]), valid.astype(np.float32)
+            few, n = [], 0  # the first ones, kept while they may have to be repeated
+            for ids in cut():
+                few, n = [*few, ids] if n < MIN_STEPS * batch else [], n + len(ids)
+                yield from steps_of(ids)
+            if 0 < n < MIN_STEPS * batch:
+                for _ in range(MIN_STEPS * batch // n - 1):
+                    yield from steps_of(np.concatenate(few))
 
         w, steps = train(weights, drawn())
         if steps:
@@ -359,11 +363,9 @@ def fit(ids: DataFrame, kind: str, n_docs: int, end_id: int, id_count: int) -> t
     by_id[end_id] = n_docs
     vocab = Vocabulary(by_id, end_id)
     weights = vocab.start()
-    rate = min(1.0, max(MIN_WINDOWS, n_docs // 8) / places)
-    replicas = max(1, min(REPLICAS, spark.sparkContext.defaultParallelism, int(places * rate / 4000)))
-    drawn = materialize(ids.mapInArrow(_drawn(kind, end_id, rate), "ids binary").repartition(replicas), "windows")
+    replicas = max(1, min(REPLICAS, spark.sparkContext.defaultParallelism, places // 4000))
     for _ in range(ROUNDS):
-        got = drawn.repartition(replicas).mapInArrow(_replica(vocab, weights), "w binary, steps bigint").collect()
+        got = ids.repartition(replicas).mapInArrow(_replica(vocab, weights, kind), "w binary, steps bigint").collect()
         if not got:
             break
         parts = [np.load(io.BytesIO(r["w"])) for r in got]  # REPLICAS at most

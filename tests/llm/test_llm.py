@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from motifline.llm import ann, chat, components, decontam, linkgraph, lm, neardup, packing, pii, quality, queries, text, tokencount
@@ -312,6 +313,28 @@ def test_language_model_is_a_distribution_and_scores_each_id_once():
     assert lm.score_texts(w, vocab, [ids, ids[:0], ids[:7]])[0] == pytest.approx(total, rel=1e-4)
 
 
+def test_training_sees_every_window(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    lengths = [0, 1, 23, 24, 31, 32, 33, *[4000] * 150]
+    docs = [rng.integers(0, 3000, n).astype("<u2") for n in lengths]
+    want = sum(-(-(n + 1) // lm.STEP) for n in lengths)
+    assert want > 20_000
+    cut = lm._cut([d.tobytes() for d in docs], "<u2", 2999)
+    assert len(cut) == want and (cut[:, 1:] >= 0).sum() >= sum(n + 1 for n in lengths)
+    seen = []
+
+    def count(w, batches):
+        seen.append(sum(len(rows) for rows, _, _ in batches))
+        return w, 1
+
+    monkeypatch.setattr(lm, "train", count)
+    monkeypatch.setattr(lm.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    vocab = lm.Vocabulary(np.arange(3000, 0, -1.0), 2999)
+    batches = [pa.RecordBatch.from_arrays([pa.array([d.tobytes() for d in docs], pa.binary())], ["ids"])]
+    list(lm._replica(vocab, vocab.start(), "<u2")(iter(batches)))
+    assert seen == [want]
+
+
 def test_gradients():
     vocab = lm.Vocabulary(np.arange(3000, 0, -1.0), 2999)
     rng = np.random.default_rng(3)
