@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from motifline import catalog
 from motifline.functions import lsh
 from motifline.operators.graph import GraphError, LabeledGraph
 from motifline.operators.match import MatchConfig, Matcher
@@ -139,3 +140,26 @@ def test_minhash_columns_agree(spark):
     df = spark.createDataFrame([([0, 1, 1],), ([8, 5, 1],), ([],)], "x array<bigint>").withColumn("s", lsh.signature(F.col("x"), 5))
     for r in df.select("x", "s", lsh.bucket(F.col("s")).alias("b")).collect():
         assert tuple(r["s"]) == lsh.signature_of(r["x"], 5) and r["b"] == lsh.bucket_of(tuple(r["s"]))
+
+
+@pytest.fixture()
+def small_part_graph(spark, monkeypatch):
+    """Labels and neighbours of a random graph, which the registered queries read in place of the tables."""
+    rng = random.Random(12)
+    labels = {i: rng.randrange(3) for i in range(1, 61)}
+    edges = [(a, b) for a, b in itertools.combinations(labels, 2) if rng.random() < 0.03]
+    v = spark.createDataFrame(list(labels.items()), "id bigint, label int")
+    g = LabeledGraph.from_tables(v, spark.createDataFrame(edges, "src bigint, dst bigint"))
+    monkeypatch.setattr(catalog, "part_graph", lambda spark, sf_dir: g)
+    near = {i: {b for a, b in edges if a == i} | {a for a, b in edges if b == i} for i in labels}
+    return labels, near
+
+
+def test_khop_starts_from_all_vertices(spark, small_part_graph):
+    labels, near = small_part_graph
+    level = {i for i, x in labels.items() if x == 0}
+    want = [(0, len(level))]
+    for k in (1, 2):
+        level = {b for a in level for b in near[a] if labels[b] == k}
+        want.append((k, len(level)))
+    assert sorted(tuple(r) for r in catalog.queries()["khop_task_subgraph"](spark, "").collect()) == want
