@@ -163,3 +163,11 @@ def test_khop_starts_from_all_vertices(spark, small_part_graph):
         level = {b for a in level for b in near[a] if labels[b] == k}
         want.append((k, len(level)))
     assert sorted(tuple(r) for r in catalog.queries()["khop_task_subgraph"](spark, "").collect()) == want
+
+
+def test_edge_check_takes_all_candidates(spark, small_part_graph):
+    labels, near = small_part_graph
+    left = {i for i, x in labels.items() if x == 0 and any(labels[b] == 1 for b in near[i])}
+    right = {i for i, x in labels.items() if x == 1 and near[i] & left}
+    got = {tuple(r) for r in catalog.queries()["edge_check_reduce"](spark, "").collect()}
+    assert got == {("left", i) for i in left} | {("right", i) for i in right}
