@@ -12,8 +12,11 @@
    component already is skipped, so the next best come up; if a search brings no link, classes that had
    more candidates than they may name name eight times as many. It ends when there is neither a link nor
    a candidate left to name.
-   Of more than ``BLOCK`` classes that share all ``DEPTH`` values of a tree, each meets only those of its
-   block; other trees and rounds cut such a region elsewhere, which makes a lost link unlikely, not impossible.
+   A first value that at most ``BLOCK`` classes share is never cut: its rows go to one task.
+5. Classes in a larger region that have a candidate are compared once more, exactly: two sets of the threshold's similarity share one of their rarest shingles (the prefix of each set
+   in one order of all shingles), so all classes of different components that share one meet. Of a shingle of
+   more than ``BLOCK`` classes, all pairs of blocks meet in tasks of their own, except those within the
+   component that most of the classes are in.
 
 Nothing is emitted for all pairs of a group, and sorting spreads a group of any size over many tasks.
 
@@ -40,6 +43,8 @@ from motifline.session import discard, materialize
 TREES, DEPTH, SKETCH, BLOCK = 8, 6, 128, 2048
 #: Standard deviations of the sketch estimate below the threshold that are still confirmed.
 SLACK = 4.0
+#: Buckets in which shingles are counted to order them by rarity.
+RARITY_BITS = 18
 #: Ids to broadcast at most; more are joined by a shuffle.
 MAX_BROADCAST = 1_000_000
 
@@ -176,6 +181,103 @@ def _neighbours(threshold: float, most: int):
     return run
 
 
+def _rarity(batches):
+    """Counts of the shingles by bucket."""
+    c = np.zeros(1 << RARITY_BITS, np.int64)
+    for b in batches:
+        for lo in range(0, b.num_rows, 128):
+            x = np.frombuffer(b"".join(b.column(0).slice(lo, 128).to_pylist()), np.uint64)
+            c += np.bincount((x >> np.uint64(64 - RARITY_BITS)).astype(np.int64), minlength=len(c))
+    used = np.flatnonzero(c)
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(c[used], pa.int64())], ["bucket", "c"])
+
+
+def _prefixes(percent: int, counts: np.ndarray):
+    """(token, digest): the rarest shingles of each set, of which similar sets share one."""
+
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 128):
+                digest, token = [], []
+                for d, x in zip(b.column(0).slice(lo, 128).to_pylist(), b.column(1).slice(lo, 128).to_pylist()):
+                    x = np.frombuffer(x, np.uint64)
+                    order = np.lexsort((x, counts[(x >> np.uint64(64 - RARITY_BITS)).astype(np.int64)]))
+                    first = x[order[: len(x) + percent * len(x) // -100 + 1]]
+                    digest.extend([d] * len(first)), token.append(first.view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token), pa.int64()), pa.array(digest, pa.binary())], ["token", "digest"])
+
+    return run
+
+
+def _meet(threshold: float, most: int):
+    """As _neighbours, of the rows sorted by (token, lo, hi): all rows of part ``lo`` with all of part ``hi``."""
+    least = threshold - SLACK * (threshold * (1 - threshold) / SKETCH) ** 0.5
+
+    def cell(t, pairs, cut):
+        size, part, n = t.num_rows, t["part"].to_numpy(), t["n"].to_numpy()
+        sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(size, SKETCH)
+        digest, (_, group) = t["digest"].to_pylist(), np.unique(t["component"].to_pylist(), return_inverse=True)
+        left, right = np.flatnonzero(part == t["lo"][0].as_py()), np.flatnonzero(part == t["hi"][0].as_py())
+        top = min(most, len(right))
+        for i in range(0, len(left) if top else 0, 32):
+            rows = left[i : i + 32]
+            near = (sketch[rows, None] == sketch[right][None]).sum(-1, dtype=np.int16)
+            small, big = np.minimum(n[rows, None], n[right][None]), np.maximum(n[rows, None], n[right][None])
+            near[(near < least * SKETCH) | (small < threshold * big * (1 - 1e-9)) | (group[rows, None] == group[right][None])] = 0
+            cut.update(digest[rows[r]] for r in np.flatnonzero(np.count_nonzero(near, axis=1) > top))
+            best = np.argpartition(-near, top - 1, axis=1)[:, :top]
+            for r, c in zip(*np.nonzero(np.take_along_axis(near, best, 1))):
+                x, y = digest[rows[r]], digest[right[best[r, c]]]
+                pairs.add((min(x, y), max(x, y)))
+
+    def run(batches):
+        rest = None
+        pairs: set = set()
+        more: set = set()
+
+        def whole(t, end):
+            keys = np.stack([t[k].to_numpy() for k in ("token", "lo", "hi")])
+            cuts = [0, *(1 + np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0))).tolist(), t.num_rows]
+            for a, b in zip(cuts, cuts[1:] if end else cuts[1:-1]):
+                if b - a > 1:
+                    cell(t.slice(a, b - a), pairs, more)
+            return t.slice(cuts[-2])
+
+        for b in batches:
+            if b.num_rows:
+                t = pa.Table.from_batches([b])
+                rest = whole(t if rest is None else pa.concat_tables([rest, t]), False)
+        if rest is not None:
+            whole(rest, True)
+        found = [*pairs, *((x, None) for x in more)]
+        for i in range(0, len(found), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found[i : i + 10_000]], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def _rare_prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    counts = np.zeros(1 << RARITY_BITS, np.int64)
+    for r in sets.select("items").mapInArrow(_rarity, "bucket int, c bigint").groupBy("bucket").agg(F.sum("c").alias("c")).toLocalIterator():
+        counts[r["bucket"]] = r["c"]
+    return sets.select("digest", "items").mapInArrow(_prefixes(percent, counts), "token bigint, digest binary")
+
+
+def _exact(active: DataFrame, prefixes: DataFrame, threshold: float, most: int) -> DataFrame:
+    """Candidate pairs of all classes that share a shingle of their prefixes and are in different components."""
+    own = prefixes.join(active.select("digest", "sketch", "n", "component"), "digest")
+    by = prefixes.join(active.select("digest", "component"), "digest").groupBy("token", "component").agg(F.count("*").alias("c"))
+    lists = by.groupBy("token").agg(F.sum("c").alias("size"), F.max(F.struct("c", "component")).alias("top")).where("size > top.c").selectExpr(
+        "token", "size", "top.component AS major", f"cast(ceil((size - top.c) / {BLOCK}) AS int) AS minors", f"cast(ceil(top.c / {BLOCK}) AS int) AS majors"
+    )
+    part = f"CASE WHEN size <= {BLOCK} THEN 0 WHEN component = major THEN minors + pmod(xxhash64(digest), majors) ELSE pmod(xxhash64(digest), minors) END"
+    others = f"CASE WHEN size <= {BLOCK} THEN 1 WHEN component = major THEN minors ELSE minors + majors END"
+    rows = own.join(lists, "token").withColumn("part", F.expr(part).cast("int")).withColumn("other", F.explode(F.expr(f"sequence(0, cast({others} AS int) - 1)")))
+    rows = rows.select("token", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "digest", "sketch", "n", "component")
+    met = rows.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
+    return met.mapInArrow(_meet(threshold, most), "a binary, b binary").distinct()
+
+
 def _confirm(threshold_percent: int):
     def run(batches):
         for b in batches:
@@ -189,13 +291,23 @@ def _confirm(threshold_percent: int):
     return run
 
 
-def _forest(classes: DataFrame, threshold: float, most: int, turn: int) -> DataFrame:
-    """Candidate pairs of classes (digest, n, orders, sketch, component); rows of one prefix in an order of this turn."""
-    rows = classes.select(F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "*").select(
-        "tree", F.expr(f"substring(orders, tree * {4 * DEPTH} + 1, {4 * DEPTH})").alias("label"), "digest", "sketch", "n", "component"
-    ).withColumn("place", F.xxhash64("digest", "tree", F.lit(turn)))
-    ordered = rows.repartitionByRange("tree", "label", "place").sortWithinPartitions("tree", "label", "place")
-    return ordered.mapInArrow(_neighbours(threshold, most), "a binary, b binary").distinct()
+def _labels(classes: DataFrame) -> DataFrame:
+    rows = classes.select(F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "*")
+    rows = rows.withColumn("label", F.expr(f"substring(orders, tree * {4 * DEPTH} + 1, {4 * DEPTH})")).drop("orders")
+    return rows.withColumn("first", F.substring("label", 1, 4))
+
+
+def _forest(classes: DataFrame, large: DataFrame, threshold: float, most: int, turn: int) -> DataFrame:
+    """Candidate pairs of classes (digest, n, orders, sketch, component); rows of one prefix in an order of this turn.
+
+    large: the (tree, first) that more than ``BLOCK`` classes share; the rows of every other one are in one task.
+    """
+    rows = _labels(classes).withColumn("place", F.xxhash64("digest", "tree", F.lit(turn)))
+    order, columns = ["tree", "label", "place"], ["tree", "label", "digest", "sketch", "n", "component", "place"]
+    small = rows.join(large, ["tree", "first"], "left_anti").repartition("tree", "first").select(*columns)
+    cut = rows.join(large, ["tree", "first"], "left_semi").select(*columns).repartitionByRange(*order)
+    found = [x.sortWithinPartitions(*order).mapInArrow(_neighbours(threshold, most), "a binary, b binary") for x in (small, cut)]
+    return found[0].union(found[1]).distinct()
 
 
 def near_duplicate_groups(
@@ -212,10 +324,16 @@ def near_duplicate_groups(
         F.min("id").alias("id"), F.first("n").alias("n"), F.first("orders").alias("orders"), F.first("sketch").alias("sketch")
     )
     classes = materialize(classes.withColumn("component", F.col("digest")), "classes")
-    tested = active = found = None
+    sizes = _labels(classes.select("digest", "orders")).groupBy("tree", "first").agg(F.count("*").alias("size"))
+    large = materialize(sizes.where(F.col("size") > BLOCK).select("tree", "first"), "large")
+    dense = materialize(_labels(classes.select("digest", "orders")).join(large, ["tree", "first"], "left_semi").select("digest").distinct(), "dense")
+    tested = active = found = prefixes = None
     most = 2
     for turn in count():
-        pairs = _forest(classes if turn == 0 else active, percent / 100, most, turn)
+        if prefixes is None:
+            pairs = _forest(classes if turn == 0 else active, large, percent / 100, most, turn)
+        else:
+            pairs = _exact(active, prefixes, percent / 100, most)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
@@ -237,7 +355,11 @@ def near_duplicate_groups(
         edges = links if found is None else links.union(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
         discard(named_pairs)
         if not new and not more:
-            break
+            if prefixes is not None or not dense.limit(1).count():
+                break
+            prefixes = materialize(_rare_prefixes(sets.join(dense, "digest", "left_semi"), percent), "prefixes")
+            most = 2
+            continue
         most = max(6, most) if new else 8 * most
         tested = results.select("a", "b") if tested is None else tested.union(results.select("a", "b"))
         if not new:

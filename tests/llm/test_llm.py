@@ -221,6 +221,29 @@ def test_near_duplicates_equal_brute_force(spark, odd):
     assert neardup.near_duplicate_groups(odd.limit(0)).count() == 0
 
 
+def test_all_blocks_of_a_shared_shingle_meet(spark, monkeypatch):
+    rng = random.Random(15)
+    base = [f"w{i}" for i in range(200)]
+    docs = []
+    for i in range(40):
+        words = list(base)
+        for j in rng.sample(range(200), 2):
+            words[j] = f"n{i}x{j}"
+        docs.append((" ".join(words),))
+    sets = [set(neardup.shingle_set(t.encode(), 4).tolist()) for (t,) in docs]
+    digest = [hashlib.blake2b(neardup.shingle_set(t.encode(), 4).tobytes(), digest_size=16).digest() for (t,) in docs]
+    want = {tuple(sorted((digest[i], digest[j]))) for i, j in itertools.combinations(range(40), 2) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert len(want) > 100
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    df = spark.createDataFrame(docs, "text string").selectExpr("1 as id", "2L as h", "text")
+    signed = df.mapInArrow(neardup._signed(4), "id int, h bigint, n bigint, digest binary, orders binary, sketch binary")
+    full = df.select("text").mapInArrow(neardup._sets(4), "digest binary, items binary")
+    active = neardup.materialize(signed.selectExpr("*", "digest as component"), "active")
+    prefixes = neardup.materialize(neardup._rare_prefixes(full, 80), "prefixes")
+    got = {(bytes(r["a"]), bytes(r["b"])) for r in neardup._exact(active, prefixes, 0.8, 50).where("b is not null").collect()}
+    assert want <= got
+
+
 def test_components(spark):
     rng, edges = random.Random(9), []
     for k in range(5):
