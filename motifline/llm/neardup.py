@@ -13,7 +13,8 @@
    more candidates than they may name name eight times as many. It ends when there is neither a link nor
    a candidate left to name.
    A first value that at most ``BLOCK`` classes share is never cut: its rows go to one task.
-5. Classes in a larger region that have a candidate are compared once more, exactly: two sets of the threshold's similarity share one of their rarest shingles (the prefix of each set
+5. Classes in a larger region stay active, whether they have a candidate or not, and are compared once more,
+   exactly: two sets of the threshold's similarity share one of their rarest shingles (the prefix of each set
    in one order of all shingles), so all classes of different components that share one meet. Of a shingle of
    more than ``BLOCK`` classes, all pairs of blocks meet in tasks of their own, except those within the
    component that most of the classes are in.
@@ -340,8 +341,8 @@ def near_duplicate_groups(
         more = pairs.where("b is null").limit(1).count()
         named_pairs, pairs = pairs, pairs.where("b is not null")
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-        if turn == 0:  # a class without a candidate now has none later
-            active = materialize(classes.join(nodes, "digest", "left_semi"), "active")
+        if turn == 0:  # a class without a candidate now has none later, unless its regions were cut
+            active = materialize(classes.join(nodes.union(dense).distinct(), "digest", "left_semi"), "active")
             ids = active.select("id").distinct()
             ids = F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids
             source = src.join(ids.withColumnRenamed("id", "_id"), src["id"].eqNullSafe(F.col("_id")), "left_semi").select("text")

@@ -244,6 +244,24 @@ def test_all_blocks_of_a_shared_shingle_meet(spark, monkeypatch):
     assert want <= got
 
 
+def test_near_duplicates_in_a_template_meet(spark, monkeypatch):
+    rng = random.Random(14)
+    common = [f"t{i}" for i in range(150)]
+    docs = []
+    for i in range(90):
+        words = common + [f"u{i}x{j}" for j in range(50)]
+        other = list(words)
+        for j in rng.sample(range(150, 200), 5):
+            other[j] = f"v{i}x{j}"
+        docs += [(i, " ".join(words)), (100 + i, " ".join(other))]
+    sets = {i: set(neardup.shingle_set(t.encode(), 4).tolist()) for i, t in docs}
+    like = [i for i in range(90) if 100 * len(sets[i] & sets[100 + i]) >= 80 * len(sets[i] | sets[100 + i])]
+    assert len(like) > 60 and all(100 * len(sets[i] & sets[j]) < 80 * len(sets[i] | sets[j]) for i, j in itertools.combinations(range(90), 2))
+    monkeypatch.setattr(neardup, "BLOCK", 2)
+    got = {r["id"]: r["component_id"] for r in neardup.near_duplicate_groups(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got == {i: i - 100 if i >= 100 and i - 100 in like else i for i, _ in docs}
+
+
 def test_components(spark):
     rng, edges = random.Random(9), []
     for k in range(5):
