@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from motifline.session import discard, materialize
 
+#: Rows of a key from which on it is heavy, and heavy keys treated apart at most.
+HEAVY, MAX_HEAVY = 1_000, 1_000
+
 
 def _contract(batches):
     """Edges of one task -> (member, least member) of each part they connect."""
@@ -39,6 +42,20 @@ def _contract(batches):
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([find(x) for x in part], pa.binary())], ["a", "b"])
 
 
+def join_unique(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has one row a key.
+
+    Rows of the ``MAX_HEAVY`` most frequent keys, if over ``HEAVY`` each, stay where they are: their rows of
+    ``table``, at most so many, are broadcast. No key can then fill a task.
+    """
+    top = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > HEAVY).orderBy(F.desc("n")).limit(MAX_HEAVY)
+    heavy = [r[key] for r in top.collect()]
+    if not heavy:
+        return rows.join(table, key)
+    few = F.col(key).isin(heavy)
+    return rows.where(~few).join(table.where(~few), key).unionByName(rows.where(few).join(F.broadcast(table.where(few)), key))
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Links neighbours to the least of them: those above the node (large), or those below and the node itself."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -47,7 +64,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         both = both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    out = both.join(least, "u")
+    out = join_unique(both, least, "u")
     if large:
         out = out.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:

@@ -2,24 +2,24 @@
 
 1. A document becomes its set of distinct ``shingle``-word shingles (64-bit hashes of lower-cased words),
    the set's digest and a signature of 128 minima. Documents with one set form a class at once.
-2. The forest: ``TREES`` orders of the signature, each sorted. Neighbours that share a prefix are
-   candidates; the depth of the prefix adapts to the region: as short as one value where few classes
-   share it, longer where more than ``BLOCK`` do. Within a region all sketches (one byte of each minimum)
-   are compared in place and each class names its most similar neighbours that may reach the threshold.
-3. Candidates are confirmed on the full sets, links are joined to components.
-4. The forest is searched again for candidates between different components. Rows of one prefix come in
-   another order each time, so a region over several tasks or blocks is cut elsewhere. What is in one
-   component already is skipped, so the next best come up; if a search brings no link, classes that had
-   more candidates than they may name name eight times as many. It ends when there is neither a link nor
-   a candidate left to name.
-   A first value that at most ``BLOCK`` classes share is never cut: its rows go to one task.
-5. Classes in a larger region stay active, whether they have a candidate or not, and are compared once more,
-   exactly: two sets of the threshold's similarity share one of their rarest shingles (the prefix of each set
-   in one order of all shingles), so all classes of different components that share one meet. Of a shingle of
-   more than ``BLOCK`` classes, all pairs of blocks meet in tasks of their own, except those within the
-   component that most of the classes are in.
-
-Nothing is emitted for all pairs of a group, and sorting spreads a group of any size over many tasks.
+2. The forest: ``TREES`` orders of the signature, each sorted. Classes that share a prefix are neighbours;
+   the depth of the prefix adapts to the region: one value where at most ``WIDE`` * ``BLOCK`` classes share
+   it, longer where more do. Regions over ``BLOCK`` are cut into blocks and all pairs of blocks meet, each in
+   a task of its own. Sketches (one byte of each minimum) of neighbours are compared in place; of the pairs
+   that may reach the threshold a region tells only a spanning forest, so its rows are linear in its size.
+3. The parts that these span are clusters; every link lies within one. The sets of a cluster meet once, in one
+   task (or in pairs of blocks by number and bytes), where all pairs are confirmed on the full sets but those
+   joined already. Again only a spanning forest comes out.
+4. Classes whose prefixes were made longer (their region had over ``WIDE`` * ``BLOCK``), and clusters over that
+   size, whose spanning pairs alone are confirmed in place of step 3, are compared once more, exactly: two sets
+   of the threshold's similarity share one of their rarest shingles (the prefix of each set in one order of all
+   shingles), so all classes of different components that share one meet. Of a shingle of more than ``BLOCK``
+   classes, all pairs of blocks meet in tasks of their own, except those within the component that most of
+   the classes are in. A class names its most similar candidates, eight times as many when they bring no
+   link, until none is untried.
+
+Every link is confirmed on full sets. A pair at the threshold is missed if it shares the first value in none of
+the trees (0.2 ** 8 at 0.8) or its sketches underrate it by ``SLACK`` standard deviations.
 
 Edge cases: null, empty and wordless texts have an empty set, no link and stay. A document without an id
 is kept (it cannot be named by id) and never names a component if another member can. Repeated rows share
@@ -37,17 +37,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motifline.llm.components import components
+from motifline.llm.components import components, join_unique
 from motifline.llm.text import col, space_words, texts
 from motifline.session import discard, materialize
 
 TREES, DEPTH, SKETCH, BLOCK = 8, 6, 128, 2048
+#: Blocks of a region or cluster of which all pairs meet; bytes of the sets in one block of a cluster.
+WIDE, BLOCK_BYTES = 8, 32 << 20
 #: Standard deviations of the sketch estimate below the threshold that are still confirmed.
 SLACK = 4.0
 #: Buckets in which shingles are counted to order them by rarity.
 RARITY_BITS = 18
-#: Ids to broadcast at most; more are joined by a shuffle.
-MAX_BROADCAST = 1_000_000
+#: Bytes of ids to broadcast at most; more are joined by a shuffle.
+MAX_BROADCAST = 32 << 20
 
 _RNG = np.random.default_rng(20240607)
 _MIX = _RNG.integers(0, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -126,58 +128,151 @@ def _sets(size: int):
     return run
 
 
-def _neighbours(threshold: float, most: int):
-    """Pairs (a, b) of digests; (a, null) if ``a`` has more candidates than the ``most`` it names."""
-    least = threshold - SLACK * (threshold * (1 - threshold) / SKETCH) ** 0.5
+def _close(threshold: float) -> float:
+    """Equal sketch bytes that a pair at the threshold has at least, but for ``SLACK`` standard deviations."""
+    return (threshold - SLACK * (threshold * (1 - threshold) / SKETCH) ** 0.5) * SKETCH
 
-    def block(sketch, n, group, digest, first, pairs, cut):
-        size = len(sketch)
-        for i in range(0, size, 32):
-            rows = slice(i, min(size, i + 32))
-            near = (sketch[rows, None] == sketch[None]).sum(-1, dtype=np.int16)
-            small, big = np.minimum(n[rows, None], n[None]), np.maximum(n[rows, None], n[None])
-            near[(near < least * SKETCH) | (small < threshold * big * (1 - 1e-9)) | (group[rows, None] == group[None])] = 0
-            top = min(most, size)
-            cut.update(digest[first + i + r] for r in np.flatnonzero(np.count_nonzero(near, axis=1) > top))
-            best = np.argpartition(-near, top - 1, axis=1)[:, :top]
-            for r, c in zip(*np.nonzero(np.take_along_axis(near, best, 1))):
-                x, y = digest[first + i + r], digest[first + best[r, c]]
-                pairs.add((min(x, y), max(x, y)))
 
-    def run(batches):
-        parts = list(batches)  # one range of the sorted rows
-        if not parts:
-            return
-        t = pa.Table.from_batches(parts).combine_chunks()
-        size = t.num_rows
-        fixed = lambda name, k: np.frombuffer(b"".join(t[name].to_pylist()), np.uint8).reshape(size, k)
-        tree, label, sketch = t["tree"].to_numpy(), fixed("label", 4 * DEPTH), fixed("sketch", SKETCH)
+def _near(sketch, n, rows, right, threshold: float) -> np.ndarray:
+    """Equal sketch bytes of ``rows`` with ``right``; 0 where the pair cannot reach the threshold."""
+    near = (sketch[rows, None] == sketch[right][None]).sum(-1, dtype=np.int16)
+    small, big = np.minimum(n[rows, None], n[right][None]), np.maximum(n[rows, None], n[right][None])
+    near[(near < _close(threshold)) | (small < threshold * big * (1 - 1e-9))] = 0
+    return near
+
+
+def _runs(batches, keys: list[str]):
+    """Tables of consecutive rows with equal ``keys``, one at a time."""
+    rest = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        t = t if rest is None else pa.concat_tables([rest, t])
+        k = np.stack([t[c].to_numpy() for c in keys])
+        cuts = [0, *(1 + np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0))).tolist()]
+        for lo, hi in zip(cuts, cuts[1:]):
+            yield t.slice(lo, hi - lo)
+        rest = t.slice(cuts[-1])
+    if rest is not None:
+        yield rest
+
+
+_TILE = ["cell", "lo", "hi"]
+
+
+def _sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Rows of a tile's two blocks, and whether they are the same block."""
+    part, lo, hi = t["part"].to_numpy(), t["lo"][0].as_py(), t["hi"][0].as_py()
+    return np.flatnonzero(part == lo), np.flatnonzero(part == hi), lo == hi
+
+
+def _pairs_out(pairs: list):
+    for i in range(0, len(pairs), 10_000):
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs[i : i + 10_000]], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+
+def _spans(threshold: float):
+    """Tiles of a region -> pairs (a, b) that span the parts that candidate pairs join."""
+
+    def tile(t: pa.Table):
         n, digest = t["n"].to_numpy(), t["digest"].to_pylist()
-        _, group = np.unique([bytes(x) for x in fixed("component", 16)], return_inverse=True)
-        same = (label[1:].reshape(-1, DEPTH, 4) == label[:-1].reshape(-1, DEPTH, 4)).all(-1)
-        common = np.cumprod(np.concatenate([(tree[1:] == tree[:-1])[:, None], same], 1), axis=1).sum(1) - 1  # -1: other tree
-        pairs: set = set()
-        more: set = set()
+        sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(len(digest), SKETCH)
+        left, right, same = _sides(t)
+        group = np.arange(len(digest))
+        for i in range(0, len(left), 32):
+            rows = left[i : i + 32]
+            others = right[i:] if same else right
+            near = _near(sketch, n, rows, others, threshold)
+            for r, found in zip(rows, near):
+                js = np.flatnonzero(found)
+                js = js[group[others[js]] != group[r]]
+                if len(js):
+                    js = js[np.argsort(-found[js], kind="stable")]
+                    parts, first = np.unique(group[others[js]], return_index=True)
+                    for j in others[js[first]]:
+                        yield digest[r], digest[j]
+                    group[np.isin(group, parts)] = group[r]
+
+    def run(batches):
+        pairs: list = []
+        for t in _runs(batches, _TILE):
+            if t.num_rows > 1:
+                pairs.extend(tile(t))
+            if len(pairs) >= 10_000:
+                yield from _pairs_out(pairs)
+                pairs = []
+        yield from _pairs_out(pairs)
+
+    return run
+
 
-        def region(lo: int, hi: int, depth: int) -> None:
-            if hi - lo <= BLOCK or depth > DEPTH:
-                for k in range(lo, hi, BLOCK):
-                    e = min(hi, k + BLOCK)
-                    if e - k > 1:
-                        block(sketch[k:e], n[k:e], group[k:e], digest, k, pairs, more)
-                return
-            cuts = [lo, *(lo + 1 + np.flatnonzero(common[lo : hi - 1] < depth)).tolist(), hi]
-            for a, b in zip(cuts, cuts[1:]):
-                if b - a > 1:
-                    region(a, b, depth + 1)
-
-        cuts = [0, *(1 + np.flatnonzero(common < 1)).tolist(), size]
-        for a, b in zip(cuts, cuts[1:]):
-            if b - a > 1:
-                region(a, b, 2)
-        found = [*pairs, *((x, None) for x in more)]
-        for i in range(0, len(found), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found[i : i + 10_000]], pa.binary()) for k in (0, 1)], ["a", "b"])
+def _linked(percent: int):
+    """Tiles of a cluster with full sets -> links (a, b) that span what its links join; ``b`` is the least of a part."""
+
+    def tile(t: pa.Table):
+        digest = t["digest"].to_pylist()
+        kept = sorted({d: i for i, d in enumerate(digest)}.values())  # a document may be repeated
+        t, digest = t.take(kept), [digest[i] for i in kept]
+        sets = [np.frombuffer(x, np.uint64) for x in t["items"].to_pylist()]
+        left, right, same = _sides(t)
+        n = np.array([len(x) for x in sets], np.int64)
+        ends = np.cumsum(n)
+        values, token = np.unique(np.concatenate(sets), return_inverse=True)
+        own = [token[e - k : e] for e, k in zip(ends.tolist(), n.tolist())]
+        sketch = np.stack([signature(x) >> np.uint64(24) for x in sets]).astype(np.uint8) if len(sets) > 64 else None
+        seen, group = np.zeros(len(values), bool), np.arange(len(digest))
+        for i in range(0, len(left), 32):
+            rows = left[i : i + 32]
+            others = right[i + 1 :] if same else right
+            near = np.ones((len(rows), len(others)), np.int16) if sketch is None else _near(sketch, n, rows, others, percent / 100)
+            for r, found in zip(rows, near):
+                js = others[np.flatnonzero(found)]
+                js = js[group[js] != group[r]]
+                js = js[100 * np.minimum(n[js], n[r]) >= percent * np.maximum(n[js], n[r])]
+                if not len(js):
+                    continue
+                seen[own[r]] = True
+                for lo in range(0, len(js), 256):
+                    some = js[lo : lo + 256]
+                    some = some[group[some] != group[r]]
+                    if len(some):
+                        both = np.add.reduceat(seen[np.concatenate([own[j] for j in some])].astype(np.int64), np.cumsum(n[some]) - n[some])
+                        good = some[100 * both >= percent * (n[r] + n[some] - both)]
+                        group[np.isin(group, group[good])] = group[r]
+                seen[own[r]] = False
+        order = np.argsort(group, kind="stable")
+        for part in np.split(order, 1 + np.flatnonzero(np.diff(group[order]))):
+            if len(part) > 1:
+                names = sorted(digest[j] for j in part)
+                yield from ((x, names[0]) for x in names[1:])
+
+    def run(batches):
+        pairs: list = []
+        for t in _runs(batches, _TILE):
+            if t.num_rows > 1:
+                pairs.extend(tile(t))
+            if len(pairs) >= 10_000:
+                yield from _pairs_out(pairs)
+                pairs = []
+        yield from _pairs_out(pairs)
+
+    return run
+
+
+def _cluster_sets(size: int):
+    """(digest, cell, blocks, text) -> the text's shingles in its place; a row goes if it is another text of the id."""
+
+    def run(batches):
+        for b in batches:
+            keep, items = [], []
+            for i, (want, t) in enumerate(zip(b.column(0).to_pylist(), texts(b.column(3)))):
+                s = shingle_set(t, size)
+                if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == want:
+                    keep.append(i)
+                    items.append(s.tobytes())
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in range(3)), pa.array(items, pa.binary())], ["digest", "cell", "blocks", "items"])
 
     return run
 
@@ -211,20 +306,18 @@ def _prefixes(percent: int, counts: np.ndarray):
 
 
 def _meet(threshold: float, most: int):
-    """As _neighbours, of the rows sorted by (token, lo, hi): all rows of part ``lo`` with all of part ``hi``."""
-    least = threshold - SLACK * (threshold * (1 - threshold) / SKETCH) ** 0.5
+    """Pairs (a, b) of a tile's two blocks that may be links; (a, null) if ``a`` has more than the ``most`` it names."""
 
     def cell(t, pairs, cut):
-        size, part, n = t.num_rows, t["part"].to_numpy(), t["n"].to_numpy()
-        sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(size, SKETCH)
-        digest, (_, group) = t["digest"].to_pylist(), np.unique(t["component"].to_pylist(), return_inverse=True)
-        left, right = np.flatnonzero(part == t["lo"][0].as_py()), np.flatnonzero(part == t["hi"][0].as_py())
+        n, digest = t["n"].to_numpy(), t["digest"].to_pylist()
+        sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(len(digest), SKETCH)
+        _, group = np.unique(t["component"].to_pylist(), return_inverse=True)
+        left, right, _ = _sides(t)
         top = min(most, len(right))
         for i in range(0, len(left) if top else 0, 32):
             rows = left[i : i + 32]
-            near = (sketch[rows, None] == sketch[right][None]).sum(-1, dtype=np.int16)
-            small, big = np.minimum(n[rows, None], n[right][None]), np.maximum(n[rows, None], n[right][None])
-            near[(near < least * SKETCH) | (small < threshold * big * (1 - 1e-9)) | (group[rows, None] == group[right][None])] = 0
+            near = _near(sketch, n, rows, right, threshold)
+            near[group[rows, None] == group[right][None]] = 0
             cut.update(digest[rows[r]] for r in np.flatnonzero(np.count_nonzero(near, axis=1) > top))
             best = np.argpartition(-near, top - 1, axis=1)[:, :top]
             for r, c in zip(*np.nonzero(np.take_along_axis(near, best, 1))):
@@ -232,27 +325,12 @@ def _meet(threshold: float, most: int):
                 pairs.add((min(x, y), max(x, y)))
 
     def run(batches):
-        rest = None
         pairs: set = set()
         more: set = set()
-
-        def whole(t, end):
-            keys = np.stack([t[k].to_numpy() for k in ("token", "lo", "hi")])
-            cuts = [0, *(1 + np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0))).tolist(), t.num_rows]
-            for a, b in zip(cuts, cuts[1:] if end else cuts[1:-1]):
-                if b - a > 1:
-                    cell(t.slice(a, b - a), pairs, more)
-            return t.slice(cuts[-2])
-
-        for b in batches:
-            if b.num_rows:
-                t = pa.Table.from_batches([b])
-                rest = whole(t if rest is None else pa.concat_tables([rest, t]), False)
-        if rest is not None:
-            whole(rest, True)
-        found = [*pairs, *((x, None) for x in more)]
-        for i in range(0, len(found), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found[i : i + 10_000]], pa.binary()) for k in (0, 1)], ["a", "b"])
+        for t in _runs(batches, _TILE):
+            if t.num_rows > 1:
+                cell(t, pairs, more)
+        yield from _pairs_out([*pairs, *((x, None) for x in more)])
 
     return run
 
@@ -274,8 +352,8 @@ def _exact(active: DataFrame, prefixes: DataFrame, threshold: float, most: int)
     part = f"CASE WHEN size <= {BLOCK} THEN 0 WHEN component = major THEN minors + pmod(xxhash64(digest), majors) ELSE pmod(xxhash64(digest), minors) END"
     others = f"CASE WHEN size <= {BLOCK} THEN 1 WHEN component = major THEN minors ELSE minors + majors END"
     rows = own.join(lists, "token").withColumn("part", F.expr(part).cast("int")).withColumn("other", F.explode(F.expr(f"sequence(0, cast({others} AS int) - 1)")))
-    rows = rows.select("token", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "digest", "sketch", "n", "component")
-    met = rows.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
+    rows = rows.select(F.col("token").alias("cell"), F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "digest", "sketch", "n", "component")
+    met = rows.repartition(*_TILE).sortWithinPartitions(*_TILE)
     return met.mapInArrow(_meet(threshold, most), "a binary, b binary").distinct()
 
 
@@ -292,23 +370,96 @@ def _confirm(threshold_percent: int):
     return run
 
 
-def _labels(classes: DataFrame) -> DataFrame:
-    rows = classes.select(F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "*")
-    rows = rows.withColumn("label", F.expr(f"substring(orders, tree * {4 * DEPTH} + 1, {4 * DEPTH})")).drop("orders")
-    return rows.withColumn("first", F.substring("label", 1, 4))
+def _tiles(rows: DataFrame, blocks: str, all_pairs: str = "true") -> DataFrame:
+    """Rows of (cell, digest, ...) dealt to all pairs of their cell's ``blocks``, or only to their own one."""
+    rows = rows.withColumn("part", F.expr(f"cast(pmod(xxhash64(digest), {blocks}) AS int)"))
+    rows = rows.withColumn("other", F.explode(F.expr(f"CASE WHEN {blocks} > 1 AND {all_pairs} THEN sequence(0, cast({blocks} AS int) - 1) ELSE array(part) END")))
+    rows = rows.withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other")).drop("other")
+    return rows.repartition(*_TILE).sortWithinPartitions(*_TILE)
 
 
-def _forest(classes: DataFrame, large: DataFrame, threshold: float, most: int, turn: int) -> DataFrame:
-    """Candidate pairs of classes (digest, n, orders, sketch, component); rows of one prefix in an order of this turn.
+def _forest(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame | None]:
+    """Spanning pairs of all regions, and the classes (digest) of which a prefix was made longer, None without any.
 
-    large: the (tree, first) that more than ``BLOCK`` classes share; the rows of every other one are in one task.
+    A region is the hash of its tree and prefix; equal hashes would only make a region larger.
     """
-    rows = _labels(classes).withColumn("place", F.xxhash64("digest", "tree", F.lit(turn)))
-    order, columns = ["tree", "label", "place"], ["tree", "label", "digest", "sketch", "n", "component", "place"]
-    small = rows.join(large, ["tree", "first"], "left_anti").repartition("tree", "first").select(*columns)
-    cut = rows.join(large, ["tree", "first"], "left_semi").select(*columns).repartitionByRange(*order)
-    found = [x.sortWithinPartitions(*order).mapInArrow(_neighbours(threshold, most), "a binary, b binary") for x in (small, cut)]
-    return found[0].union(found[1]).distinct()
+    label = F.expr(f"substring(orders, tree * {4 * DEPTH} + 1, {4 * DEPTH})")
+    todo = classes.select(F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "digest", "n", "sketch", "orders")
+    todo = todo.select("tree", label.alias("label"), "digest", "n", "sketch")
+    parts, dense = [], None
+    for depth in range(1, DEPTH + 1):
+        at = todo.withColumn("cell", F.xxhash64("tree", F.substring("label", 1, 4 * depth)))
+        sizes = at.groupBy("cell").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK)
+        sizes = materialize(sizes, "regions")  # one row for more than BLOCK classes
+        most = sizes.agg(F.max("size")).first()[0] or 0
+        deeper = most > WIDE * BLOCK and depth < DEPTH
+        at = at.join(sizes, "cell", "left").withColumn("blocks", F.expr(f"ceil(coalesce(size, 1) / {BLOCK})"))
+        whole = at.where(F.col("blocks") <= WIDE) if deeper else at
+        tiles = _tiles(whole.select("cell", "digest", "n", "sketch", "blocks"), "blocks", f"blocks <= {WIDE}")
+        parts.append(tiles.select(*_TILE, "part", "digest", "n", "sketch").mapInArrow(_spans(threshold), "a binary, b binary"))
+        if most > WIDE * BLOCK and dense is None:
+            dense = materialize(at.where(F.col("blocks") > WIDE).select("digest").distinct(), "dense")
+        if not deeper:
+            break
+        todo = at.where(F.col("blocks") > WIDE).select("tree", "label", "digest", "n", "sketch")
+    spans = parts[0]
+    for p in parts[1:]:
+        spans = spans.union(p)
+    return spans, dense
+
+
+def _of_ids(src: DataFrame, rows: DataFrame) -> DataFrame:
+    """``src`` joined with ``rows`` by id (null ids too); the ids are broadcast if their bytes allow it."""
+    rows = rows.withColumnRenamed("id", "_id")
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col("_id").cast("string"))), F.lit(0))).first()
+    rows = F.broadcast(rows) if 64 * n + size <= MAX_BROADCAST else rows
+    return src.join(rows, src["id"].eqNullSafe(F.col("_id")))
+
+
+def _cluster_links(src: DataFrame, members: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) within clusters: members are (id, digest, cell, blocks)."""
+    rows = _of_ids(src, members).select("digest", "cell", "blocks", "text")
+    sets = rows.mapInArrow(_cluster_sets(shingle), "digest binary, cell bigint, blocks int, items binary")
+    tiles = _tiles(sets, "blocks").select(*_TILE, "part", "digest", "items")
+    return materialize(tiles.mapInArrow(_linked(percent), "a binary, b binary"), "links")
+
+
+def _dense_links(src: DataFrame, active: DataFrame, spans: DataFrame, found: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Components (node, component) after all links between ``active`` classes; see step 4 of the module.
+
+    ``spans``: pairs of giant clusters, tried first. ``found``: components by the links so far.
+    """
+    source = _of_ids(src, active.select("id").distinct()).select("text")
+    sets = source.mapInArrow(_sets(shingle), "digest binary, items binary").join(active.select("digest"), "digest", "left_semi")
+    sets = materialize(sets.dropDuplicates(["digest"]), "sets")
+    prefixes = materialize(_rare_prefixes(sets, percent), "prefixes")
+    tested, most = None, 2
+    for turn in count():
+        if turn:
+            now = active.join(found.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+            pairs = _exact(now, prefixes, percent / 100, most)
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        else:
+            pairs = spans.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = materialize(pairs, "pairs")
+        more = pairs.where("b is null").limit(1).count()
+        full = pairs.where("b is not null").join(sets.select(F.col("digest").alias("a"), F.col("items").alias("x")), "a").join(
+            sets.select(F.col("digest").alias("b"), F.col("items").alias("y")), "b"
+        )
+        results = materialize(full.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a binary, b binary, linked boolean"), "tried")
+        discard(pairs)
+        new = results.where("linked").limit(1).count()
+        if turn and not new and not more:
+            break
+        most = most if not turn else max(6, most) if new else 8 * most
+        tested = results.select("a", "b") if tested is None else tested.union(results.select("a", "b"))
+        if new:
+            last = found
+            found = components(results.where("linked").select("a", "b").union(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+            discard(last)
+    discard(sets)
+    discard(prefixes)
+    return found
 
 
 def near_duplicate_groups(
@@ -324,70 +475,49 @@ def near_duplicate_groups(
     classes = signed.where("digest is not null").groupBy("digest").agg(
         F.min("id").alias("id"), F.first("n").alias("n"), F.first("orders").alias("orders"), F.first("sketch").alias("sketch")
     )
-    classes = materialize(classes.withColumn("component", F.col("digest")), "classes")
-    sizes = _labels(classes.select("digest", "orders")).groupBy("tree", "first").agg(F.count("*").alias("size"))
-    large = materialize(sizes.where(F.col("size") > BLOCK).select("tree", "first"), "large")
-    dense = materialize(_labels(classes.select("digest", "orders")).join(large, ["tree", "first"], "left_semi").select("digest").distinct(), "dense")
-    tested = active = found = prefixes = None
-    most = 2
-    for turn in count():
-        if prefixes is None:
-            pairs = _forest(classes if turn == 0 else active, large, percent / 100, most, turn)
-        else:
-            pairs = _exact(active, prefixes, percent / 100, most)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        more = pairs.where("b is null").limit(1).count()
-        named_pairs, pairs = pairs, pairs.where("b is not null")
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-        if turn == 0:  # a class without a candidate now has none later, unless its regions were cut
-            active = materialize(classes.join(nodes.union(dense).distinct(), "digest", "left_semi"), "active")
-            ids = active.select("id").distinct()
-            ids = F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids
-            source = src.join(ids.withColumnRenamed("id", "_id"), src["id"].eqNullSafe(F.col("_id")), "left_semi").select("text")
-            sets = materialize(source.mapInArrow(_sets(shingle), "digest binary, items binary").join(active.select("digest"), "digest", "left_semi").dropDuplicates(["digest"]), "sets")
-        full = pairs.join(sets.select(F.col("digest").alias("a"), F.col("items").alias("x")), "a").join(
-            sets.select(F.col("digest").alias("b"), F.col("items").alias("y")), "b"
-        )
-        results = materialize(full.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a binary, b binary, linked boolean"), "links")
-        new = results.where("linked").limit(1).count()
-        links = results.where("linked").select("a", "b")
-        edges = links if found is None else links.union(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        discard(named_pairs)
-        if not new and not more:
-            if prefixes is not None or not dense.limit(1).count():
-                break
-            prefixes = materialize(_rare_prefixes(sets.join(dense, "digest", "left_semi"), percent), "prefixes")
-            most = 2
-            continue
-        most = max(6, most) if new else 8 * most
-        tested = results.select("a", "b") if tested is None else tested.union(results.select("a", "b"))
-        if not new:
-            continue
-        found = materialize(components(edges), "components")
-        active = active.drop("component").join(found.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-    discard(sets)
-    named = classes.select("digest", "id")
-    if found is not None:
-        member = named.join(found, F.col("digest") == F.col("node"))
-        first = member.groupBy("component").agg(F.min("id").alias("first"))
-        linked = member.join(first, "component").select("digest", "first")
-        named = named.join(linked, "digest", "left").select("digest", F.coalesce("first", "id").alias("component_id"))
+    classes = materialize(classes, "classes")
+    spans, dense = _forest(classes, percent / 100)
+    spans = materialize(spans, "spans")
+    cluster = components(spans).withColumnRenamed("component", "cluster")
+    members = materialize(classes.select("digest", "id", "n").join(cluster, F.col("digest") == F.col("node")).drop("node"), "members")
+    discard(cluster)
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
+    big = materialize(sizes.where((F.col("size") > BLOCK) | (8 * F.col("weight") > BLOCK_BYTES)), "big")
+    several, giant = big.agg(F.count("*"), F.coalesce(F.sum((F.col("size") > WIDE * BLOCK).cast("int")), F.lit(0))).first()
+    dealt = members.join(big, "cluster", "left").where(F.coalesce("size", F.lit(0)) <= WIDE * BLOCK)
+    blocks = F.expr(f"cast(greatest(ceil(coalesce(size, 1) / {BLOCK}), ceil(8 * coalesce(weight, 1) / {BLOCK_BYTES})) AS int)")
+    found = _cluster_links(src, dealt.select("id", "digest", F.xxhash64("cluster").alias("cell"), blocks.alias("blocks")), shingle, percent)
+    if several:
+        links, found = found, components(found)
+        discard(links)
     else:
-        named = named.withColumnRenamed("id", "component_id")
-    out = signed.select("id", "h", "n", "digest").join(named, "digest", "left")
-    component = F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(
-        "id", "h", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id").isNull() | F.col("id").eqNullSafe(component)).alias("kept")
-    )
+        found = found.select(F.col("a").alias("node"), F.col("b").alias("component")).union(found.select("b", "b").distinct())
+    if giant or dense is not None:
+        of_giants = members.join(big.where(F.col("size") > WIDE * BLOCK), "cluster", "left_semi").select("digest")
+        active = of_giants if dense is None else of_giants.union(dense).distinct()
+        active = materialize(classes.join(active, "digest", "left_semi").select("digest", "id", "n", "sketch"), "active")
+        inside = spans.join(of_giants.withColumnRenamed("digest", "a"), "a", "left_semi")
+        found = _dense_links(src, active, inside, found, shingle, percent)
+        discard(active)
+    member = classes.select("digest", "id").join(found, F.col("digest") == F.col("node")).drop("node")
+    member = materialize(member, "linked")
+    first = member.groupBy("component").agg(F.min("id").alias("first"))
+    named = join_unique(member, first, "component").select("digest", F.col("first").alias("of"))
+    names = classes.select("digest", F.col("id").alias("own")).join(named, "digest", "left")
+    names = materialize(names.select("digest", F.coalesce("of", "own").alias("component_id")), "names")
+    some, none = signed.where("digest is not null"), signed.where("digest is null")
+    out = join_unique(some.select("id", "h", "n", "digest"), names, "digest").drop("digest")
+    out = out.unionByName(none.select("id", "h", "n", F.col("id").alias("component_id")))
+    kept = F.col("id").isNull() | F.col("id").eqNullSafe(F.col("component_id"))
+    return out.select("id", "h", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """The documents, all columns, with one of each group: the one with the least id."""
     groups = materialize(near_duplicate_groups(docs, id_col, text_col, **parameters), "groups")
     gone = groups.where("not kept").select(F.col("id").alias("_id"), F.col("h").alias("_h")).distinct()
-    gone = F.broadcast(gone) if gone.count() <= MAX_BROADCAST else gone
+    n, size = gone.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col("_id").cast("string"))), F.lit(0))).first()
+    gone = F.broadcast(gone) if 64 * n + size <= MAX_BROADCAST else gone
     left = docs.join(gone, (col(id_col) == F.col("_id")) & (F.xxhash64(col(text_col)) == F.col("_h")), "left_anti")
     twice = groups.where("kept and n_shingles > 0 and id is not null").groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1")
     if twice.limit(1).count():  # rows that repeat with their id
