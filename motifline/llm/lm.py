@@ -2,9 +2,11 @@
 
 Statistics cover all training documents: word counts (for the unigram base) and subword counts (for the
 classes and the distribution within a class) are aggregated in Spark. The attention weights are trained
-by stochastic gradient descent on all windows of all training text, at every size; tasks train replicas,
-whose weights are averaged after each round. A replica streams its windows and holds those of ``MIXED``
-documents at a time.
+by stochastic gradient descent on all windows of all training text, once, at every size: a hash deals the
+documents to ``ROUNDS`` rounds and, in each, to replicas of about ``REPLICA_IDS`` ids, which train in tasks
+of their own and are averaged by their steps after the round. Which replica a document is in and in which order
+it comes depend on the documents alone, not on the cluster. A replica holds the windows of ``MIXED`` documents
+at a time; a corpus of few windows is gone through again until a replica has made ``MIN_STEPS`` steps.
 
 A text is its subword ids and an end id. Windows of ``WINDOW`` ids overlap by ``OVERLAP``; a batch of
 windows goes through masked attention at once, and each id is scored once, in the window where it has at
@@ -28,8 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motifline.llm.text import col, texts, word_ids
-from motifline.session import materialize
+from motifline.llm.text import col, runs, texts, word_ids
+from motifline.session import discard, materialize
 
 WINDOW, OVERLAP, WIDTH, ROWS = 32, 8, 16, 2048
 #: GROUPS groups of GROUPS classes; the most frequent ids have a class each, the others share the last ones.
@@ -40,8 +42,10 @@ STEP = WINDOW - OVERLAP
 FREQUENT = 200_000
 #: Entries of a generation of a worker's subword cache.
 CACHED = 250_000
-#: Replicas at most, and steps of a replica in a round at least: small corpora are gone through again.
-REPLICAS, ROUNDS, MIN_STEPS = 64, 2, 200
+#: Subword ids of a replica in a round, rounds, windows of a step and steps of a replica at least.
+REPLICA_IDS, ROUNDS, BATCH, MIN_STEPS = 4_000_000, 2, 96, 200
+#: Replicas that are averaged at once: more are averaged in groups first.
+AVERAGED = 64
 #: Documents whose windows are mixed before training.
 MIXED = 256
 TRAINED = ("E", "Q", "K", "V", "U", "R", "O", "b", "O2", "b2")
@@ -88,15 +92,17 @@ _MASK = np.where(_FAR < 0, -1e9, 0).astype(np.float32)
 
 def attention(w: dict, rows: np.ndarray):
     """Causal attention over a batch of windows: state of each position, and what backward() needs."""
-    x = w["E"][rows]
-    q, k, v = x @ w["Q"], x @ w["K"], x @ w["V"]
+    x = np.take(w["E"], rows, axis=0)
+    many = np.concatenate([w[k] for k in "QKVU"], axis=1)
+    mixed = (x.reshape(-1, WIDTH) @ many).reshape(*x.shape[:-1], 4, WIDTH)
+    q, k, v, u = (np.ascontiguousarray(mixed[..., i, :]) for i in range(4))
     a = q @ k.transpose(0, 2, 1)
     a *= WIDTH**-0.5
     a += w["R"][np.maximum(_FAR, 0)] + _MASK
     np.exp(a, out=a)
-    a /= a.sum(-1, keepdims=True)
+    a /= (a.reshape(-1, WINDOW) @ np.ones(WINDOW, a.dtype)).reshape(*a.shape[:-1], 1)
     c = a @ v
-    return c + x @ w["U"], (x, q, k, v, a)
+    return c + u, (x, q, k, v, a, c)
 
 
 def log_softmax(z: np.ndarray) -> np.ndarray:
@@ -104,42 +110,66 @@ def log_softmax(z: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(-1, keepdims=True))
 
 
-def _cross_entropy(z: np.ndarray, target: np.ndarray, valid: np.ndarray) -> tuple[float, np.ndarray]:
-    """Summed loss over rows, and the gradient of z."""
-    logp, row = log_softmax(z), np.arange(len(z))
-    dz = np.exp(logp)
-    dz[row, target] -= 1
-    return -(logp[row, target] * valid).sum(), dz * valid[:, None]
+def _lowered(z: np.ndarray) -> None:
+    """Less its rows' maxima, in place, if float32 might not hold sums of its exponentials."""
+    if z.size and (z.max() > 60 or z.min() < -60):
+        z -= z.max(-1, keepdims=True)
+
+
+def _cross_entropy(z: np.ndarray, target: np.ndarray, n: int) -> tuple[float, np.ndarray]:
+    """Summed loss over rows divided by ``n``, and the gradient of z (in its place)."""
+    at = np.arange(len(z)) * z.shape[1] + target
+    _lowered(z)
+    own = np.take(z, at)
+    np.exp(z, out=z)
+    total = z @ np.ones(z.shape[1], z.dtype)
+    loss = (np.log(total) - own).sum() / n
+    z *= (1 / (n * total))[:, None]
+    z.ravel()[at] -= 1 / n
+    return loss, z
 
 
 def backward(w: dict, rows: np.ndarray, state, saved, target, valid: np.ndarray):
     """Loss and gradients for the (group, member) ``target`` at ``valid`` positions."""
-    x, q, k, v, a = saved
+    x, q, k, v, a, c = saved
     flat = lambda t: t.reshape(-1, t.shape[-1])
-    n, ok, h = max(1, int(valid.sum())), valid.ravel(), flat(state)
-    group, member = (t.ravel() for t in target)
-    loss1, dz = _cross_entropy(h @ w["O"] + w["b"], group, ok / n)
-    own = w["O2"][group]
-    loss2, dz2 = _cross_entropy((h[:, None] @ own)[:, 0] + w["b2"][group], member, ok / n)
-    loss = loss1 + loss2
+    pick = np.flatnonzero(valid)
+    n = max(1, len(pick))
+    group, member = (np.take(t, pick) for t in target)
+    order = np.argsort(group.astype(np.int16), kind="stable")  # by group, each then one product
+    pick, group, member = pick[order], group[order], member[order]
+    h = np.take(flat(state), pick, axis=0)
+    loss, dz = _cross_entropy(h @ w["O"] + w["b"], group, n)
     g = {"O": h.T @ dz, "b": dz.sum(0), "O2": np.zeros_like(w["O2"]), "b2": np.zeros_like(w["b2"])}
-    for i in np.unique(group):
-        has = group == i
-        g["O2"][i], g["b2"][i] = h[has].T @ dz2[has], dz2[has].sum(0)
-    dh = (dz @ w["O"].T + (own @ dz2[:, :, None])[..., 0]).reshape(state.shape)
-    da = dh @ v.transpose(0, 2, 1)
+    cuts = np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
+    own = [(i, slice(lo, hi)) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if hi > lo]
+    z2 = np.empty((len(h), GROUPS), h.dtype)
+    for i, at in own:
+        np.matmul(h[at], w["O2"][i], out=z2[at])
+        z2[at] += w["b2"][i]
+    more, dz2 = _cross_entropy(z2, member, n)
+    loss += more
+    dpick = dz @ w["O"].T
+    for i, at in own:
+        g["O2"][i], g["b2"][i] = h[at].T @ dz2[at], dz2[at].sum(0)
+        dpick[at] += dz2[at] @ w["O2"][i].T
+    dh = np.zeros_like(state)
+    flat(dh)[pick] = dpick
     dv = a.transpose(0, 2, 1) @ dh
-    ds = a * (da - (da * a).sum(-1, keepdims=True))
+    ds = dh @ v.transpose(0, 2, 1)
+    ds -= (dh * c).sum(-1, keepdims=True)  # rows of a sum to 1
+    ds *= a
     g["R"] = np.bincount(np.maximum(_FAR, 0).ravel(), ds.sum(0).ravel(), WINDOW)
     ds *= WIDTH**-0.5
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    for name, d in (("Q", dq), ("K", dk), ("V", dv), ("U", dh)):
-        g[name] = flat(x).T @ flat(d)
-    dx = dq @ w["Q"].T + dk @ w["K"].T + dv @ w["V"].T + dh @ w["U"].T
+    mixed = np.concatenate([flat(ds @ k), flat(ds.transpose(0, 2, 1) @ q), flat(dv), flat(dh)], axis=1)
+    many = flat(x).T @ mixed
+    for i, name in enumerate("QKVU"):
+        g[name] = many[:, i * WIDTH : (i + 1) * WIDTH]
+    dx = mixed @ np.concatenate([w[name] for name in "QKVU"], axis=1).T
     g["E"] = np.zeros_like(w["E"])
-    order = np.argsort(rows.ravel(), kind="stable")
+    order = np.argsort(rows.astype(np.int16).ravel(), kind="stable")  # fewer than 32,768 rows
     found, first = np.unique(rows.ravel()[order], return_index=True)
-    g["E"][found] = np.add.reduceat(flat(dx)[order], first)
+    g["E"][found] = np.add.reduceat(np.take(dx, order, axis=0), first)
     return loss, g
 
 
@@ -155,9 +185,18 @@ def train(w: dict, batches, rate: float = 0.02) -> tuple[dict, int]:
         _, g = backward(w, rows, state, saved, target, valid)
         lr = rate * min(1, t / 20) / (1 + t / 400) ** 0.5
         for k in TRAINED:
-            m[k] += 0.1 * (g[k] - m[k])
-            s[k] += 0.01 * (g[k] * g[k] - s[k])
-            w[k] -= (lr * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+            d = g[k].astype(w[k].dtype)
+            m[k] *= 0.9
+            m[k] += 0.1 * d
+            d *= d
+            s[k] *= 0.99
+            s[k] += 0.01 * d
+            np.sqrt(s[k], out=d)
+            d *= (1 - 0.99**t) ** -0.5
+            d += 1e-8
+            np.divide(m[k], d, out=d)
+            d *= lr / (1 - 0.9**t)
+            w[k] -= d
     return w, t
 
 
@@ -206,19 +245,20 @@ def score_texts(w: dict, vocab: Vocabulary, ids: list[np.ndarray], chunk: int =
         h = np.take(h.reshape(-1, WIDTH), pick, axis=0)
         z = h @ w["O"]
         z += w["b"]
-        nth = np.arange(len(z))
-        got = z[nth, which].astype(np.float64)
+        _lowered(z)
+        at = np.arange(len(z)) * GROUPS
+        got = np.take(z, at + which).astype(np.float64)
         np.exp(z, out=z)
-        total = z @ ones[:GROUPS]
+        got -= np.log(z @ ones[:GROUPS])
         cuts = np.searchsorted(which, np.arange(GROUPS + 1))
         for k, (lo, hi) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())):
             if hi > lo:
                 np.matmul(h[lo:hi], w["O2"][k], out=z[lo:hi])
                 z[lo:hi] += w["b2"][k]
-        got += z[nth, np.take(member, goal)]
+        _lowered(z)
+        got += np.take(z, at + np.take(member, goal))
         np.exp(z, out=z)
-        total *= z @ ones[:GROUPS]
-        got -= np.log(total)
+        got -= np.log(z @ ones[:GROUPS])
         out += np.bincount(np.repeat(t, WINDOW)[pick], got, len(lengths))
     return out
 
@@ -314,10 +354,12 @@ def _pack(w: dict) -> bytes:
     return f.getvalue()
 
 
-def _replica(vocab: Vocabulary, weights: dict, kind: str, batch: int = 16):
+def _replica(vocab: Vocabulary, weights: dict, kind: str, batch: int = BATCH, seed: int = 0):
+    """Batches of ids -> one row of trained weights and how many steps they took."""
+
     def run(batches):
         def cut():
-            g = np.random.default_rng(TaskContext.get().partitionId())
+            g = np.random.default_rng(seed)
             for b in batches:
                 for lo in range(0, b.num_rows, MIXED):
                     yield g.permutation(_cut(b.column(0).slice(lo, MIXED).to_pylist(), kind, vocab.end))
@@ -326,6 +368,7 @@ def _replica(vocab: Vocabulary, weights: dict, kind: str, batch: int = 16):
             for i in range(0, len(ids), batch):
                 part = ids[i : i + batch]
                 valid = part[:, 1:] >= 0
+                valid[part[:, 0] != vocab.end, :OVERLAP] = False  # learnt in the window before, as in scoring
                 part = np.where(part >= 0, part, vocab.end)
                 yield vocab.row[part[:, :-1]], (vocab.group[part[:, 1:]], vocab.member[part[:, 1:]]), valid.astype(np.float32)
 
@@ -335,8 +378,9 @@ def _replica(vocab: Vocabulary, weights: dict, kind: str, batch: int = 16):
                 few, n = [*few, ids] if n < MIN_STEPS * batch else [], n + len(ids)
                 yield from steps_of(ids)
             if 0 < n < MIN_STEPS * batch:
-                for _ in range(MIN_STEPS * batch // n - 1):
-                    yield from steps_of(np.concatenate(few))
+                few, made = np.concatenate(few), -(-n // batch)
+                for _ in range(-(-MIN_STEPS // made) - 1):
+                    yield from steps_of(few)
 
         w, steps = train(weights, drawn())
         if steps:
@@ -345,6 +389,48 @@ def _replica(vocab: Vocabulary, weights: dict, kind: str, batch: int = 16):
     return run
 
 
+def _replicas(vocab: Vocabulary, weights: dict, kind: str):
+    """Rows (ids, replica, place) by replica -> (replica, w, steps)."""
+
+    def run(batches):
+        for t in runs(batches, ["replica"]):
+            nth = t["replica"][0].as_py()
+            for b in _replica(vocab, weights, kind, seed=nth)(iter(t.select(["ids"]).combine_chunks().to_batches())):
+                yield pa.RecordBatch.from_arrays([pa.array([nth], pa.int64()), *b.columns], ["replica", "w", "steps"])
+
+    return run
+
+
+def _mean(packed: list[bytes], steps: list[int]) -> bytes:
+    """Weights averaged by steps."""
+    share = np.array(steps, float) / sum(steps)
+    out: dict = {}
+    for s, x in zip(share, packed):
+        w = np.load(io.BytesIO(x))
+        out = {k: out.get(k, 0) + s * w[k] for k in TRAINED}
+    return _pack({k: v.astype(np.float32) for k, v in out.items()})
+
+
+def _average(parts: DataFrame, n: int) -> dict[str, np.ndarray] | None:
+    """The weights of ``n`` replicas (replica, w, steps) averaged, at most ``AVERAGED`` in one place; None without any."""
+
+    def some(t: pa.Table) -> pa.Table:
+        t = t.sort_by("replica")
+        steps = t["steps"].to_pylist()
+        mean = _mean(t["w"].to_pylist(), steps)
+        return pa.table({"replica": pa.array([t["replica"][0].as_py() // AVERAGED], pa.int64()), "w": pa.array([mean], pa.binary()), "steps": pa.array([sum(steps)], pa.int64())})
+
+    while n > AVERAGED:
+        of = F.floor(F.col("replica") / AVERAGED)
+        parts = materialize(parts.groupBy(of).applyInArrow(some, "replica bigint, w binary, steps bigint"), "weights")
+        n = -(-n // AVERAGED)
+    rows = sorted(parts.collect(), key=lambda r: r["replica"])  # AVERAGED at most
+    if not rows:
+        return None
+    with np.load(io.BytesIO(_mean([r["w"] for r in rows], [r["steps"] for r in rows]))) as w:
+        return {k: w[k] for k in TRAINED}
+
+
 def count_words(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, int, int, int]:
     """(table of word and count, N, V, texts) of training documents; the empty word counts the ends."""
     counted = docs.select(col(text_col)).mapInArrow(_counted(), "word binary, c bigint")
@@ -353,24 +439,37 @@ def count_words(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, int
     return counts, *counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(ends, F.lit(0))).first()
 
 
+def _least_frequent(counts: DataFrame) -> int:
+    """The least count that at most FREQUENT words reach, from the numbers of words by binary order of their count."""
+    order = F.floor(F.log2("c") * 8).cast("int")
+    least, words = 1 << 62, 0
+    for r in sorted(counts.groupBy(order.alias("o")).agg(F.count("*").alias("n"), F.min("c").alias("c")).collect(), key=lambda r: -r["o"]):  # 8 * 63 at most
+        words += r["n"]
+        if words > FREQUENT:
+            break
+        least = r["c"]
+    return least
+
+
 def fit(ids: DataFrame, kind: str, n_docs: int, end_id: int, id_count: int) -> tuple[Vocabulary, dict[str, np.ndarray]]:
-    """Classes and trained weights from the encoded training documents (one column, ids in the numpy type ``kind``)."""
-    spark = ids.sparkSession
+    """Classes and trained weights from the encoded training documents: id, and ids in the numpy type ``kind``."""
     by_id = np.zeros(id_count)
-    for r in ids.mapInArrow(_id_counts(kind, id_count), "id int, c bigint").groupBy("id").agg(F.sum("c").alias("c")).collect():
+    for r in ids.select("ids").mapInArrow(_id_counts(kind, id_count), "id int, c bigint").groupBy("id").agg(F.sum("c").alias("c")).collect():
         by_id[r["id"]] = r["c"]  # as many rows as the tokenizer has ids
-    places = max(1, n_docs + int(by_id.sum()) // STEP)
+    total = int(by_id.sum()) + n_docs
     by_id[end_id] = n_docs
     vocab = Vocabulary(by_id, end_id)
     weights = vocab.start()
-    replicas = max(1, min(REPLICAS, spark.sparkContext.defaultParallelism, places // 4000))
-    for _ in range(ROUNDS):
-        got = ids.repartition(replicas).mapInArrow(_replica(vocab, weights, kind), "w binary, steps bigint").collect()
-        if not got:
-            break
-        parts = [np.load(io.BytesIO(r["w"])) for r in got]  # REPLICAS at most
-        share = np.array([r["steps"] for r in got], float)
-        weights = {k: sum(s * p[k] for s, p in zip(share / share.sum(), parts)).astype(np.float32) for k in TRAINED}
+    replicas = -(-total // (ROUNDS * REPLICA_IDS))
+    place = F.xxhash64("id", "ids")
+    dealt = ids.select("ids", place.alias("place"), F.pmod(place, F.lit(ROUNDS)).alias("round"))
+    dealt = dealt.withColumn("replica", F.pmod(F.shiftright("place", 8), F.lit(max(1, replicas))))
+    for k in range(ROUNDS if replicas else 0):
+        rows = dealt.where(F.col("round") == k).select("ids", "replica", "place")
+        rows = rows.repartitionById(replicas, F.col("replica").cast("int")).sortWithinPartitions("replica", "place")
+        parts = materialize(rows.mapInArrow(_replicas(vocab, weights, kind), "replica bigint, w binary, steps bigint"), "weights")
+        weights = _average(parts, replicas) or weights
+        discard(parts)
     return vocab, weights
 
 
@@ -399,16 +498,16 @@ def score_documents(
     src = docs.select(col(id_col).alias("id"), held_out(id_col).alias("held_out"), col(text_col).alias("text"))
     counts, total, distinct, n_docs = count_words(src.where("not held_out"))
     denominator = total + 0.5 * (distinct + 1)
-    top = counts.where("octet_length(word) > 0").orderBy(F.desc("c"), "word").limit(FREQUENT).collect()
+    least = _least_frequent(counts)
+    top = counts.where((F.octet_length("word") > 0) & (F.col("c") >= least)).collect()  # FREQUENT at most
     frequent = {bytes(r["word"]): r["c"] for r in top}
     plain = f"id {src.schema['id'].dataType.simpleString()}, held_out boolean, part int, nth bigint, n bigint, known bigint, base double"
     kind = "<u2" if id_count <= 1 << 16 else "<u4"
     partial = materialize(src.mapInArrow(_encoded(tokenizer, kind, frequent, denominator), f"{plain}, rare array<binary>, ids binary"), "encoded")
-    vocab, weights = fit(partial.where("not held_out").select("ids"), kind, n_docs, end_id, id_count)
+    vocab, weights = fit(partial.where("not held_out").select("id", "ids"), kind, n_docs, end_id, id_count)
     scored = materialize(partial.drop("rare").mapInArrow(_scored(kind, vocab, weights), f"{plain}, score double"), "scored")
-    least = top[-1]["c"] if len(top) == FREQUENT else 0
     rare = partial.where(F.size("rare") > 0).select("part", "nth", F.explode("rare").alias("word"))
-    others = counts.where(F.col("c") <= least) if least else counts.limit(0)
+    others = counts.where(F.col("c") < least)
     value = F.coalesce("c", F.lit(0))
     sums = (
         rare.join(others, "word", "left")

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motifline.llm.components import components, join_unique
-from motifline.llm.text import col, space_words, texts
+from motifline.llm.text import col, runs, space_words, texts
 from motifline.session import discard, materialize
 
 TREES, DEPTH, SKETCH, BLOCK = 8, 6, 128, 2048
@@ -141,23 +141,6 @@ def _near(sketch, n, rows, right, threshold: float) -> np.ndarray:
     return near
 
 
-def _runs(batches, keys: list[str]):
-    """Tables of consecutive rows with equal ``keys``, one at a time."""
-    rest = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        t = pa.Table.from_batches([b])
-        t = t if rest is None else pa.concat_tables([rest, t])
-        k = np.stack([t[c].to_numpy() for c in keys])
-        cuts = [0, *(1 + np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0))).tolist()]
-        for lo, hi in zip(cuts, cuts[1:]):
-            yield t.slice(lo, hi - lo)
-        rest = t.slice(cuts[-1])
-    if rest is not None:
-        yield rest
-
-
 _TILE = ["cell", "lo", "hi"]
 
 
@@ -196,7 +179,7 @@ def _spans(threshold: float):
 
     def run(batches):
         pairs: list = []
-        for t in _runs(batches, _TILE):
+        for t in runs(batches, _TILE):
             if t.num_rows > 1:
                 pairs.extend(tile(t))
             if len(pairs) >= 10_000:
@@ -249,7 +232,7 @@ def _linked(percent: int):
 
     def run(batches):
         pairs: list = []
-        for t in _runs(batches, _TILE):
+        for t in runs(batches, _TILE):
             if t.num_rows > 1:
                 pairs.extend(tile(t))
             if len(pairs) >= 10_000:
@@ -327,7 +310,7 @@ def _meet(threshold: float, most: int):
     def run(batches):
         pairs: set = set()
         more: set = set()
-        for t in _runs(batches, _TILE):
+        for t in runs(batches, _TILE):
             if t.num_rows > 1:
                 cell(t, pairs, more)
         yield from _pairs_out([*pairs, *((x, None) for x in more)])

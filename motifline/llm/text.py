@@ -6,6 +6,7 @@ import re
 from array import array
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,6 +77,23 @@ def map_batches(
     return src.mapInArrow(run, schema).toDF(*final)
 
 
+def runs(batches, keys: list[str]):
+    """Tables of consecutive rows with equal ``keys``, one at a time."""
+    rest = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        t = t if rest is None else pa.concat_tables([rest, t])
+        k = np.stack([t[c].to_numpy() for c in keys])
+        cuts = [0, *(1 + np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0))).tolist()]
+        for lo, hi in zip(cuts, cuts[1:]):
+            yield t.slice(lo, hi - lo)
+        rest = t.slice(cuts[-1])
+    if rest is not None:
+        yield rest
+
+
 #: The pre-tokenizer's pattern for ASCII text: contractions, letter runs, single digits, runs of the rest.
 _ASCII_PIECE = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 #: Letters that lower-case and compose to themselves, one pre-token if nothing else is in a word.
