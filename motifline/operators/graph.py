@@ -8,6 +8,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from motifline.session import materialize
+
 
 class GraphError(ValueError):
     """Data that is not a simple, closed, labelled graph."""
@@ -21,6 +23,8 @@ class LabeledGraph:
 
     def __init__(self, vertices: DataFrame, edges: DataFrame):
         self.vertices, self.edges = vertices, edges
+        self._frequency: dict[int, int] = {}
+        self._pairs: dict[tuple[int, int], int] = {}
 
     @classmethod
     def from_tables(cls, vertices: DataFrame, pairs: DataFrame, unlabelled: bool = False) -> LabeledGraph:
@@ -47,6 +51,14 @@ class LabeledGraph:
         level = StorageLevel.MEMORY_AND_DISK
         return LabeledGraph(self.vertices.persist(level), self.edges.persist(level))
 
+    def stored(self) -> LabeledGraph:
+        """Written to the shared folder, edges sorted by their labels, so that a slice reads only its pages.
+
+        The sort is within partitions: nothing is shuffled for it, and no pair of labels has to fit in a task.
+        """
+        order = ["src_label", "dst_label", "src"]
+        return LabeledGraph(materialize(self.vertices, "vertices"), materialize(self.edges.sortWithinPartitions(*order), "edges"))
+
     def slice(self, a: int, b: int) -> DataFrame:
         """(src, dst) of the edges from label ``a`` to label ``b``."""
         return self.edges.where((F.col("src_label") == a) & (F.col("dst_label") == b)).select("src", "dst")
@@ -71,9 +83,21 @@ class LabeledGraph:
         return self.vertices.groupBy("label").agg(F.count("*").alias("freq"))
 
     def frequencies(self, labels: Iterable[int]) -> dict[int, int]:
-        """Frequencies of a query workload's labels, over the whole graph."""
-        rows = self.label_frequency().where(F.col("label").isin(sorted(labels))).collect()
-        return {r["label"]: r["freq"] for r in rows}
+        """Frequencies of a query workload's labels, over the whole graph; counted once a graph."""
+        wanted = set(labels)
+        if new := sorted(wanted - set(self._frequency)):
+            rows = self.label_frequency().where(F.col("label").isin(new)).collect()
+            self._frequency.update(dict.fromkeys(new, 0) | {r["label"]: r["freq"] for r in rows})
+        return {x: n for x in wanted if (n := self._frequency[x])}
+
+    def pair_counts(self, labels: Iterable[int]) -> dict[tuple[int, int], int]:
+        """Directed edges between a workload's labels (0 without any); counted once a graph."""
+        wanted = sorted(set(labels))
+        if any((x, y) not in self._pairs for x in wanted for y in wanted):
+            rows = self.edges.where(F.col("src_label").isin(wanted) & F.col("dst_label").isin(wanted))
+            rows = rows.groupBy("src_label", "dst_label").agg(F.count("*").alias("n")).collect()  # the workload's labels squared at most
+            self._pairs.update({(x, y): 0 for x in wanted for y in wanted} | {(r["src_label"], r["dst_label"]): r["n"] for r in rows})
+        return {(x, y): self._pairs[x, y] for x in wanted for y in wanted}
 
     def adjacency(self) -> DataFrame:
         """(id, label, adj): neighbours as an array of (id, l), sorted by id."""

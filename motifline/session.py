@@ -12,11 +12,13 @@ _LOCAL_DIRS: dict[str, str] = {}
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a private one only where that is unset."""
+    """The folder named in ``spark.checkpoint.dir``; a private one only where that is unset and all runs on one machine."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if sc.applicationId not in _LOCAL_DIRS:
         _LOCAL_DIRS[sc.applicationId] = tempfile.mkdtemp(prefix="motifline-")
         sc.setCheckpointDir(_LOCAL_DIRS[sc.applicationId])
@@ -46,6 +48,12 @@ def discard(df: DataFrame) -> None:
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def discard_all(spark: SparkSession) -> None:
+    """Delete every table that this session has written with :func:`materialize`; what still reads one fails."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/motifline-{spark.sparkContext.applicationId}")
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver found it (local and test clusters).
 

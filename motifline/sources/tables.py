@@ -1,45 +1,81 @@
-"""Graphs derived from relational tables."""
+"""Graphs derived from relational tables, loaded once a session."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motifline.operators.graph import LabeledGraph
 
+_LOADED: dict[tuple, LabeledGraph] = {}
+
+
+def _state(spark: SparkSession, path: str) -> tuple:
+    """Bytes, number of files and time of change of what ``path`` names."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = store.getContentSummary(hadoop)
+    return path, found.getLength(), found.getFileCount(), store.getFileStatus(hadoop).getModificationTime()
+
+
+def loaded(spark: SparkSession, paths: list[str], kind: str, build: Callable[[], LabeledGraph]) -> LabeledGraph:
+    """The graph that ``build`` makes of ``paths``, written once a session as long as these stay as they are."""
+    key = (spark.sparkContext.applicationId, kind, *(_state(spark, p) for p in paths))
+    if key not in _LOADED:
+        for old in [k for k in _LOADED if k[0] != key[0]]:
+            del _LOADED[old]  # of a session that has ended
+        _LOADED[key] = build().stored()
+    return _LOADED[key]
+
 
 def part_graph(spark: SparkSession, sf_dir: str, unlabelled: bool = False) -> LabeledGraph:
     """Parts (label: size modulo 8) that share an order."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    vertices = part.select(F.col("p_partkey").alias("id"), (F.col("p_size") % 8).alias("label"))
-    sold = line.select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p")).distinct()
-    pairs = sold.select("o", F.col("p").alias("src")).join(sold.select("o", F.col("p").alias("dst")), "o").where("src < dst").select("src", "dst").distinct()
-    return LabeledGraph.from_tables(vertices, pairs, unlabelled)
+    paths = [f"{sf_dir}/part.parquet", f"{sf_dir}/lineitem.parquet"]
+
+    def build() -> LabeledGraph:
+        part, line = (spark.read.parquet(p) for p in paths)
+        label = F.lit(0) if unlabelled else (F.col("p_size") % 8).cast("int")
+        vertices = part.select(F.col("p_partkey").cast("bigint").alias("id"), label.alias("label"))
+        sold = line.select(F.col("l_orderkey").alias("o"), F.col("l_partkey").cast("bigint").alias("id")).distinct().join(vertices, "id")
+        side = lambda name: sold.select("o", F.col("id").alias(name), F.col("label").alias(f"{name}_label"))
+        edges = side("src").join(side("dst"), "o").where("src <> dst").select("src", "src_label", "dst", "dst_label")
+        return LabeledGraph(vertices, edges.distinct())
+
+    return loaded(spark, paths, f"part {unlabelled}", build)
+
+
+#: Kinds of vertices of the star schema, by label, and the links between their tables.
+_KINDS = (("region", "r_regionkey"), ("nation", "n_nationkey"), ("customer", "c_custkey"), ("supplier", "s_suppkey"), ("part", "p_partkey"), ("orders", "o_orderkey"))
+_LINKS = (
+    ("nation", 1, "n_nationkey", 0, "n_regionkey"),
+    ("customer", 2, "c_custkey", 1, "c_nationkey"),
+    ("supplier", 3, "s_suppkey", 1, "s_nationkey"),
+    ("orders", 5, "o_orderkey", 2, "o_custkey"),
+    ("lineitem", 5, "l_orderkey", 4, "l_partkey"),
+    ("lineitem", 5, "l_orderkey", 3, "l_suppkey"),
+    ("lineitem", 4, "l_partkey", 3, "l_suppkey"),
+)
 
 
 def schema_graph(spark: SparkSession, sf_dir: str) -> LabeledGraph:
     """All rows of the star schema (label: the table), linked by foreign keys and by common line items."""
-    kinds = (("region", "r_regionkey"), ("nation", "n_nationkey"), ("customer", "c_custkey"), ("supplier", "s_suppkey"), ("part", "p_partkey"), ("orders", "o_orderkey"))
-    t = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name, _ in kinds}
-    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    node = lambda label, key: (F.lit(label * 1_000_000_000).cast("bigint") + F.col(key).cast("bigint"))
-
-    def pairs(df: DataFrame, a: int, x: str, b: int, y: str) -> DataFrame:
-        return df.select(node(a, x).alias("src"), node(b, y).alias("dst"))
-
-    vertices, edges = None, None
-    for label, (name, key) in enumerate(kinds):
-        part = t[name].select(node(label, key).alias("id"), F.lit(label).alias("label"))
-        vertices = part if vertices is None else vertices.union(part)
-    for part in (
-        pairs(t["nation"], 1, "n_nationkey", 0, "n_regionkey"),
-        pairs(t["customer"], 2, "c_custkey", 1, "c_nationkey"),
-        pairs(t["supplier"], 3, "s_suppkey", 1, "s_nationkey"),
-        pairs(t["orders"], 5, "o_orderkey", 2, "o_custkey"),
-        pairs(line, 5, "l_orderkey", 4, "l_partkey").distinct(),
-        pairs(line, 5, "l_orderkey", 3, "l_suppkey").distinct(),
-        pairs(line, 4, "l_partkey", 3, "l_suppkey").distinct(),
-    ):
-        edges = part if edges is None else edges.union(part)
-    return LabeledGraph.from_tables(vertices, edges)
+    names = [name for name, _ in _KINDS] + ["lineitem"]
+    paths = [f"{sf_dir}/{name}.parquet" for name in names]
+
+    def build() -> LabeledGraph:
+        t = {name: spark.read.parquet(p) for name, p in zip(names, paths)}
+        node = lambda label, key: (F.lit(label * 1_000_000_000).cast("bigint") + F.col(key).cast("bigint"))
+        vertices, edges = None, None
+        for label, (name, key) in enumerate(_KINDS):
+            part = t[name].select(node(label, key).alias("id"), F.lit(label).alias("label"))
+            vertices = part if vertices is None else vertices.union(part)
+        for name, a, x, b, y in _LINKS:  # labels are known, so no end is looked up
+            one = t[name].select(node(a, x).alias("src"), F.lit(a).alias("src_label"), node(b, y).alias("dst"), F.lit(b).alias("dst_label"))
+            one = one.where("src is not null and dst is not null").distinct()
+            both = one.union(one.select("dst", "dst_label", "src", "src_label"))
+            edges = both if edges is None else edges.union(both)
+        return LabeledGraph(vertices, edges)
+
+    return loaded(spark, paths, "schema", build)
