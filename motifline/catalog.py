@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motifline.functions import lsh
-from motifline.operators import filters, multi, partition
-from motifline.operators.match import MatchConfig, Matcher, extend, name
+from motifline.operators import aggregate, filters, growth, multi, partition
+from motifline.operators.graph import GraphError
+from motifline.operators.match import MatchConfig, Matcher, extend, intersect_lists, name
 from motifline.plans import planner
 from motifline.plans.pattern import QueryGraph
+from motifline.session import checkpoint_dir
+from motifline.sources import text
 from motifline.sources.tables import part_graph, schema_graph
 from motifline.sources.text import parse_lines, workload_tables
 
@@ -38,7 +43,7 @@ def register(key: str, sql: str | None = None):
     def keep(f: Query) -> Query:
         _QUERIES[key] = f
         if sql:
-            _SQL[key] = sql
+            _SQL[key] = f"{sql} ORDER BY ALL"  # a bare LIMIT around a join of common tables stalls in DuckDB
         return f
 
     return keep
@@ -214,7 +219,7 @@ def frontier_classify(spark, sf_dir):
     return filters.classify(part_graph(spark, sf_dir), WORKLOAD)
 
 
-_C1, _C2 = "(SELECT id FROM v WHERE label = 0)", "(SELECT id FROM v WHERE label = 1 AND id % 10 = 0)"
+_C1, _C2 = "(SELECT id FROM v WHERE label = 0)", "(SELECT id FROM v WHERE label = 1)"
 
 
 @register("edge_check_reduce", f"""{PART}, l AS (SELECT id FROM {_C1} WHERE EXISTS (SELECT 1 FROM e WHERE src = id AND dst IN {_C2})),
@@ -256,40 +261,35 @@ def seed_spawn(spark, sf_dir):
     return every.join(found, F.col("query_id") == F.col("query_vertex"), "left").select("query_id", F.coalesce("seeds", F.lit(0)).alias("seeds"))
 
 
-@register("khop_task_subgraph", f"""{PART}, l0 AS (SELECT id FROM v WHERE label = 0 AND id % 50 = 0), l1 AS (SELECT DISTINCT dst AS id FROM e WHERE src IN (SELECT id FROM l0) AND dst_label = 1),
+@register("khop_task_subgraph", f"""{PART}, l0 AS (SELECT id FROM v WHERE label = 0), l1 AS (SELECT DISTINCT dst AS id FROM e WHERE src IN (SELECT id FROM l0) AND dst_label = 1),
 l2 AS (SELECT DISTINCT dst AS id FROM e WHERE src IN (SELECT id FROM l1) AND dst_label = 2)
 SELECT 0 AS level, count(*) AS n FROM l0 UNION ALL SELECT 1, count(*) FROM l1 UNION ALL SELECT 2, count(*) FROM l2""")
 def khop_task_subgraph(spark, sf_dir):
     g = part_graph(spark, sf_dir)
-    level = g.vertices.where("label = 0").select("id")
-    out = level.agg(F.count("*").alias("n")).select(F.lit(0).alias("level"), "n")
-    for k in (1, 2):
-        near = g.slice(k - 1, k).join(level.withColumnRenamed("id", "src"), "src", "left_semi")
-        level = near.select(F.col("dst").alias("id")).distinct()
-        out = out.union(level.agg(F.count("*").alias("n")).select(F.lit(k), "n"))
-    return out
+    levels = growth.khop(g, g.vertices.where("label = 0"), [0, 1, 2])
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("level"), "n") for k, df in enumerate(levels)]
+    return reduce(DataFrame.union, parts)
 
 
 @register("intersect_k_lists", f"{PART} SELECT x.src AS a, x.dst AS b, count(*) AS n FROM e x JOIN e y ON y.src = x.src JOIN e z ON z.src = x.dst AND z.dst = y.dst WHERE x.src_label = 0 AND x.dst_label = 1 AND y.dst_label = 2 GROUP BY ALL")
 def intersect_k_lists(spark, sf_dir):
     g = part_graph(spark, sf_dir)
-    near = lambda label, c: g.slice(label, 2).groupBy(F.col("src").alias(c)).agg(F.collect_list("dst").alias(f"near_{c}"))
-    pairs = g.slice(0, 1).toDF("a", "b").join(near(0, "a"), "a").join(near(1, "b"), "b")
-    return pairs.select("a", "b", F.size(F.array_intersect("near_a", "near_b")).cast("bigint").alias("n")).where("n > 0")
+    near = lambda label, c: g.slice(label, 2).toDF(c, "c")
+    both = intersect_lists(g.slice(0, 1).toDF("a", "b"), [near(0, "a"), near(1, "b")], "c")
+    return both.groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 @register("contains_common", f"{PART} SELECT x.src AS a, x.dst AS b FROM e x WHERE x.src_label = 0 AND x.dst_label = 1 AND EXISTS (SELECT 1 FROM e y JOIN e z ON z.dst = y.dst WHERE y.src = x.src AND z.src = x.dst AND y.dst_label = 2)")
 def contains_common(spark, sf_dir):
     g = part_graph(spark, sf_dir)
-    near = lambda label, c: g.slice(label, 2).groupBy(F.col("src").alias(c)).agg(F.collect_list("dst").alias(f"near_{c}"))
-    pairs = g.slice(0, 1).toDF("a", "b").join(near(0, "a"), "a").join(near(1, "b"), "b")
-    return pairs.where(F.arrays_overlap("near_a", "near_b")).select("a", "b")
+    return filters.with_common(g.slice(0, 1).toDF("a", "b"), g.slice(0, 2).toDF("a", "c"), g.slice(1, 2).toDF("b", "c"))
 
 
 def _extended(q: QueryGraph, n: int) -> Query:
     def run(spark, sf_dir):
         g = part_graph(spark, sf_dir)
-        steps = planner.order_steps(q, list(q.labels))
+        labels = set(q.labels.values())
+        steps = planner.order_steps(q, list(q.labels), g.frequencies(labels), g.pair_counts(labels))
         found = g.vertices.where(F.col("label") == q.labels[0]).select(F.col("id").alias("u0"))
         for s in steps[1:n]:
             found = extend(g, found, q, s)
@@ -360,21 +360,59 @@ def _workload_sql(of: list[int]) -> str:
 
 def _counted(of: list[int], **config) -> Query:
     def run(spark, sf_dir):
-        return Matcher(part_graph(spark, sf_dir).persisted(), MatchConfig(**config)).count_workload([WORKLOAD[i] for i in of])
+        return Matcher(part_graph(spark, sf_dir), MatchConfig(**config)).count_workload([WORKLOAD[i] for i in of])
 
     return run
 
 
-register("multi_query_counts", _workload_sql([0, 1, 2, 3]))(_counted([0, 1, 2, 3], share=False))
-register("multi_query_shared_counts", _workload_sql([0, 1, 2, 3]))(_counted([0, 1, 2, 3], exact_groups=False))
+register("multi_query_counts", _workload_sql([0, 1, 2, 3]))(_counted([0, 1, 2, 3], share=False, root_filter="label"))
+register("multi_query_shared_counts", _workload_sql([0, 1, 2, 3]))(_counted([0, 1, 2, 3], exact_groups=False, root_filter="label"))
 register("multi_query_zero_fill", _workload_sql([3, 4, 5]))(_counted([3, 4, 5]))
+register("multi_query_filtered_roots", _workload_sql([0, 1, 2, 3]))(_counted([0, 1, 2, 3], exact_groups=False))
+register("multi_query_grown_candidates", _workload_sql([0, 2]))(_counted([0, 2], grow="neighbours"))
+register("multi_query_size_gate", _workload_sql([0, 1, 2]))(_counted([0, 1, 2], exact_groups=False, share_limit=0))
+
+
+_TAILED = PATTERNS["tailed_triangle"]
+_NLF = lambda name, label, need, extra="": f"{name} AS (SELECT id FROM v WHERE label = {label} AND id IN (SELECT src FROM e GROUP BY src HAVING " + " AND ".join(f"count(*) FILTER (dst_label = {x}) >= {n}" for x, n in need.items()) + f"){extra})"
+_BY = lambda near: f" AND id IN (SELECT dst FROM e WHERE src IN (SELECT id FROM {near}))"
+_GROWN = f"""{PART}, {_NLF("c0", 0, {1: 1, 2: 1})}, {_NLF("c1", 1, {0: 1, 2: 1}, _BY("c0"))}, {_NLF("c2", 2, {0: 1, 1: 2}, _BY("c0"))},
+r1 AS (SELECT id FROM c1 WHERE TRUE{_BY("c2")}), r2 AS (SELECT id FROM c2 WHERE TRUE{_BY("r1")}), {_NLF("c3", 1, {2: 1}, _BY("r2"))}"""
+
+
+@register("candidate_growth", f"{_GROWN} SELECT 0 AS u, id FROM c0 UNION ALL SELECT 1, id FROM r1 UNION ALL SELECT 2, id FROM r2 UNION ALL SELECT 3, id FROM c3")
+def candidate_growth(spark, sf_dir):
+    """Level-synchronous growth with filters and pruning inside a level."""
+    found = growth.grow(part_graph(spark, sf_dir), planner.make_plan(_TAILED, {}, root=0))
+    return reduce(DataFrame.union, [df.select(F.lit(u).alias("u"), "id") for u, df in found.items()])
+
+
+@register("query_elimination", f"""{_GROWN}, h AS (SELECT id FROM v WHERE label = 3 AND id IN (SELECT src FROM e GROUP BY src HAVING count(*) FILTER (dst_label = 9) >= 1))
+SELECT 'tailed' AS query, NOT (EXISTS (FROM c0) AND EXISTS (FROM r1) AND EXISTS (FROM r2) AND EXISTS (FROM c3)) AS eliminated UNION ALL SELECT 'hopeless', NOT EXISTS (FROM h)""")
+def query_elimination(spark, sf_dir):
+    """Queries that a level without candidates rules out."""
+    g = part_graph(spark, sf_dir)
+    work = {"tailed": (_TAILED, 0), "hopeless": (QueryGraph.of([3, 9], (0, 1)), 0)}
+    rows = [(k, growth.eliminated(growth.grow(g, planner.make_plan(q, {}, root=r)))) for k, (q, r) in work.items()]
+    return spark.createDataFrame(rows, "query string, eliminated boolean")
+
+
+register("count_grown_candidates", match_sql(_TAILED, "count(*) AS n_matches"))(
+    lambda spark, sf_dir: Matcher(part_graph(spark, sf_dir), MatchConfig(grow="neighbours")).count(_TAILED)
+)
 
 
 @register("partial_final_aggregate", f"{PART} SELECT src_label AS query_id, count(*) AS n_matches FROM e WHERE src_label < dst_label GROUP BY 1")
 def partial_final_aggregate(spark, sf_dir):
-    e = part_graph(spark, sf_dir).edges.where("src_label < dst_label")
-    part = e.groupBy(F.col("src_label").alias("query_id"), F.pmod(F.xxhash64("src"), F.lit(16)).alias("worker")).agg(F.count("*").alias("n"))
-    return part.groupBy("query_id").agg(F.sum("n").alias("n_matches"))
+    e = part_graph(spark, sf_dir).edges.where("src_label < dst_label").select(F.col("src_label").alias("query_id"), "src")
+    return aggregate.two_phase(e, ["query_id"], {"n": F.count("*")}, {"n_matches": F.sum("n")}, ["src"])
+
+
+@register("aggregate_distinct_neighbours", f"{PART} SELECT src_label, count(DISTINCT dst) AS n_dst, CAST(max(dst) AS BIGINT) AS last FROM e GROUP BY 1")
+def aggregate_distinct_neighbours(spark, sf_dir):
+    """An aggregate that is not combined before the shuffle: distinct ends by label, dealt out by the end."""
+    e = part_graph(spark, sf_dir).edges
+    return aggregate.two_phase(e, ["src_label"], {"n": F.countDistinct("dst"), "last": F.max("dst")}, {"n_dst": F.sum("n"), "last": F.max("last")}, ["dst"])
 
 
 @register("root_selection_cost", f"{WORK} SELECT query, cost.u, cost.cost, cost.u = root.u AS is_root FROM cost JOIN root USING (query)")
@@ -405,6 +443,18 @@ def plan_roles(spark, sf_dir):
     return spark.createDataFrame(rows, "query int, u int, parents bigint, partners bigint, children bigint")
 
 
+@register("linear_order", f"""{_BFS}, p AS (SELECT query, u, row_number() OVER (PARTITION BY query ORDER BY level, u) - 1 AS pos FROM lv)
+SELECT p.query, p.u, p.pos, CAST((SELECT count(*) FROM qe JOIN p b ON b.u = qe.b WHERE qe.a = p.u AND b.pos < p.pos) AS BIGINT) AS earlier,
+CAST((SELECT count(*) FROM p b JOIN qv x ON x.u = b.u JOIN qv y ON y.u = p.u WHERE b.query = p.query AND b.pos < p.pos AND x.label = y.label AND NOT EXISTS (SELECT 1 FROM qe WHERE qe.a = p.u AND qe.b = b.u)) AS BIGINT) AS same_label FROM p""")
+def linear_order(spark, sf_dir):
+    """Positions of the flattened levels: earlier neighbours and earlier vertices of the same label to differ from."""
+    rows = []
+    for i, p in enumerate(_plans(spark, sf_dir)):
+        for pos, s in enumerate(planner.order_steps(p.query, [u for level in p.levels for u in sorted(level)])):
+            rows.append((i, s.vertex, pos, (s.via is not None) + len(s.closing), len(s.differs)))
+    return spark.createDataFrame(rows, "query int, u int, pos bigint, earlier bigint, same_label bigint")
+
+
 @register("query_grouping", f"""{_BFS}, k AS (SELECT root.query, root.label AS root_label, coalesce((SELECT string_agg(DISTINCT CAST(qv.label AS VARCHAR), ',' ORDER BY CAST(qv.label AS VARCHAR)) FROM lv JOIN qv ON qv.u = lv.u WHERE lv.query = root.query AND lv.level = 1), '') AS near,
 EXISTS (SELECT 1 FROM qe JOIN lv a ON a.u = qe.a JOIN lv b ON b.u = qe.b WHERE a.query = root.query AND a.level = 1 AND b.level = 1) AS inside FROM root)
 SELECT root_label, near, inside, count(*) AS n_queries FROM k GROUP BY ALL""")
@@ -442,12 +492,35 @@ def workload_rows(spark, sf_dir):
     return v.select(F.lit("vertex").alias("kind"), "query", "u", F.col("label").alias("x")).union(e.select(F.lit("edge"), "query", "u", F.col("w")))
 
 
+@register("text_graph_round_trip", f"{PART} SELECT src_label, dst_label, count(*) AS n, 'filled' AS state, 'refused' AS second FROM e GROUP BY ALL")
+def text_graph_round_trip(spark, sf_dir):
+    """The graph written as adjacency lines, with the paths checked, and scanned again."""
+    path = f"{checkpoint_dir(spark)}/motifline-{spark.sparkContext.applicationId}/lines-{uuid.uuid4().hex}"
+    g = part_graph(spark, sf_dir)
+    text.write_graph(g, path)
+    try:
+        text.check_paths(spark, [path], path)
+        second = "allowed"
+    except GraphError:
+        second = "refused"
+    again = text.read_graph(spark, path)
+    counts = again.edges.groupBy("src_label", "dst_label").agg(F.count("*").alias("n"))
+    return counts.withColumn("state", F.lit(text.path_state(spark, path))).withColumn("second", F.lit(second))
+
+
+@register("text_workload_round_trip", f"WITH qv(query, nth, u, label, degree) AS (VALUES {_QV}), qe(query, a, b) AS (VALUES {_QE}) SELECT 'vertex' AS kind, query, u, label AS x FROM qv UNION ALL SELECT 'edge', query, a, b FROM qe WHERE a < b")
+def text_workload_round_trip(spark, sf_dir):
+    """The workload written as one text file and scanned again."""
+    path = f"{checkpoint_dir(spark)}/motifline-{spark.sparkContext.applicationId}/workload-{uuid.uuid4().hex}"
+    spark.createDataFrame([(text.workload_text(WORKLOAD),)], "value string").coalesce(1).write.text(path)
+    v, e = workload_tables(spark, text.read_workload(spark, path))
+    return v.select(F.lit("vertex").alias("kind"), "query", "u", F.col("label").alias("x")).union(e.select(F.lit("edge"), "query", "u", F.col("w")))
+
+
 @register("result_report", f"{PART} SELECT 'the number of matching results for query0 is ' || count(*) AS line FROM e WHERE src_label = 0 AND dst_label = 1")
 def result_report(spark, sf_dir):
-    from motifline.sources.text import format_results
-
     counts = Matcher(part_graph(spark, sf_dir), MatchConfig(root_filter="label")).count(PATTERNS["edge"])
-    return format_results(counts.select(F.lit(0).alias("query_id"), "n_matches"))
+    return text.format_results(counts.select(F.lit(0).alias("query_id"), "n_matches"))
 
 
 def _hash_sql(j: int, x: str) -> str:
@@ -469,9 +542,12 @@ def minhash_hash(spark, sf_dir):
     return partition.neighbour_signature(part_graph(spark, sf_dir)).select("id", lsh.signature_hash(F.col("sig")).alias("h"))
 
 
-@register("labeled_minhash", f"{PART}, m AS (SELECT src AS id, dst_label, min({_hash_sql(0, 'dst')}) AS h FROM e GROUP BY ALL), p AS (SELECT id, string_agg(dst_label || ':' || h, ',' ORDER BY dst_label) AS k FROM m GROUP BY id) SELECT count(*) AS n_vertices, count(DISTINCT k) AS n_hashes FROM p")
+_MINHASH = f"m AS (SELECT src AS id, dst_label, min({_hash_sql(0, 'dst')}) AS h FROM e GROUP BY ALL), x AS (SELECT id, ((h * 31 + (CAST(dst_label AS BIGINT) + 1) * 1000003) % 2147483647 + 2147483647) % 2147483647 AS t FROM m), p AS (SELECT id, CAST(sum(t * t % 2147483647) AS BIGINT) AS minhash FROM x GROUP BY id)"
+
+
+@register("labeled_minhash", f"{PART}, {_MINHASH} SELECT id, minhash FROM p")
 def labeled_minhash(spark, sf_dir):
-    return partition.labelled_minhash(part_graph(spark, sf_dir)).agg(F.count("*").alias("n_vertices"), F.countDistinct("minhash").alias("n_hashes"))
+    return partition.labelled_minhash(part_graph(spark, sf_dir))
 
 
 @register("lsh_bucket", f"{PART}, {_SIG}, s1 AS (SELECT id, s0, xor(CAST(1 AS BIGINT), ((s0 + 2654435769) % 4294967296 + 4294967296) % 4294967296 + 64) % 1013 AS bucket FROM sig) SELECT id, bucket FROM s1")
@@ -486,12 +562,16 @@ def seed_merge_groups(spark, sf_dir):
     return partition.seed_buckets(g, 1).join(seeds, "id", "left_semi").groupBy("bucket").agg(F.count("*").alias("seeds"))
 
 
-@register("hash_partition_sizes", f"{PART} SELECT CAST(abs(src) % 16 AS INT) AS part, count(*) AS n FROM e GROUP BY 1")
+def _sizes(edges: DataFrame) -> DataFrame:
+    """Edges by part, and how many of them lie in the partition of that number."""
+    return edges.withColumn("at", F.spark_partition_id()).groupBy("part").agg(F.count("*").alias("n"), F.count_if(F.col("at") == F.col("part")).alias("n_placed"))
+
+
+@register("hash_partition_sizes", f"{PART} SELECT CAST(abs(src) % 16 AS INT) AS part, count(*) AS n, count(*) AS n_placed FROM e GROUP BY 1")
 def hash_partition_sizes(spark, sf_dir):
-    return partition.partitioned(part_graph(spark, sf_dir), 16).groupBy("part").agg(F.count("*").alias("n"))
+    return _sizes(partition.layout(part_graph(spark, sf_dir), 16))
 
 
-@register("lsh_partition_sizes", f"{PART} SELECT count(*) AS n_edges, TRUE AS all_placed FROM e")
+@register("lsh_partition_sizes", f"{PART}, {_MINHASH} SELECT CAST(minhash % 16 AS INT) AS part, count(*) AS n, count(*) AS n_placed FROM e JOIN p ON p.id = e.src GROUP BY 1")
 def lsh_partition_sizes(spark, sf_dir):
-    placed = partition.partitioned(part_graph(spark, sf_dir), 16, "lsh")
-    return placed.agg(F.count("*").alias("n_edges"), F.min(F.col("part").between(0, 15)).alias("all_placed"))
+    return _sizes(partition.layout(part_graph(spark, sf_dir), 16, "lsh"))

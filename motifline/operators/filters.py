@@ -27,11 +27,17 @@ def neighbours_fit(query: QueryGraph, u: int) -> Column:
 
 
 def candidates(graph: LabeledGraph, query: QueryGraph, u: int, level: str = "neighbours") -> DataFrame:
-    """Ids that may match ``u``: by "label", "degree" (and label) or "neighbours" (and both)."""
-    if level == "label":
+    """Ids that may match ``u``: by "label", "degree" (and label) or "neighbours" (and both).
+
+    Only edges from the label of ``u`` are read, counted before they are shuffled.
+    """
+    if level == "label" or not query.neighbours[u]:
         return graph.vertices.where(label_is(query, u)).select("id")
-    fits = degree_fits(query, u) if level == "degree" else degree_fits(query, u) & neighbours_fit(query, u)
-    return graph.profiles.where(fits).select("id")
+    need = query.neighbour_labels(u) if level == "neighbours" else {}
+    counts = [F.count(F.when(F.col("dst_label") == x, 1)).alias(f"n{i}") for i, x in enumerate(need)]
+    near = graph.edges.where(F.col("src_label") == query.labels[u]).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"), *counts)
+    fits = [F.col("n") >= query.degree(u), *(F.col(f"n{i}") >= n for i, n in enumerate(need.values()))]
+    return near.where(reduce(lambda a, b: a & b, fits)).select("id")
 
 
 def classify(graph: LabeledGraph, workload: list[QueryGraph], frontier: DataFrame | None = None) -> DataFrame:
@@ -54,3 +60,8 @@ def needs_no_row(query: QueryGraph, levels: tuple[tuple[int, ...], ...], u: int)
     """Whether all neighbours of ``u`` are on the level before: its label in the edge is then enough."""
     depth = {v: i for i, level in enumerate(levels) for v in level}
     return all(depth[n] < depth[u] for n in query.neighbours[u])
+
+
+def with_common(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs (a, b) for which an element c is in both ``left`` (a, c) and ``right`` (b, c); no list is gathered."""
+    return pairs.join(left, "a").join(right, ["b", "c"], "left_semi").select("a", "b").distinct()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from motifline.operators.filters import candidates
 from motifline.operators.graph import LabeledGraph
+from motifline.operators.growth import eliminated, grow
 from motifline.plans.pattern import QueryGraph
 from motifline.plans.planner import Plan, Step, make_plan
 
@@ -20,7 +21,9 @@ class MatchConfig:
     semantics: str = "iso"  # "iso", "homo", "induced"
     collapse: bool = True  # count fresh leaves by degree instead of listing them
     root_filter: str = "neighbours"  # candidates of the root
-    intersect: bool = False  # close several edges by array intersection instead of semi-joins
+    grow: str = ""  # "label", "degree" or "neighbours": candidates of all vertices first, level by level
+    prune: bool = True  # with grow: reduce candidates by edges inside a level
+    intersect: bool = False  # close several edges by counted intersection instead of semi-joins
     share: bool = True  # common stars of a workload once
     share_limit: int = 50_000_000  # rows of a star, estimated, beyond which it is not kept
     exact_groups: bool = True
@@ -30,36 +33,48 @@ def name(u: int) -> str:
     return f"u{u}"
 
 
-def extend(graph: LabeledGraph, found: DataFrame, query: QueryGraph, step: Step, config: MatchConfig = MatchConfig()) -> DataFrame:
-    """Partial matches with one more vertex: an edge from ``via``, semi-joins for the other edges."""
+def intersect_lists(found: DataFrame, lists: list[DataFrame], u: str) -> DataFrame:
+    """``found`` with every ``u`` that all of ``lists`` hold; each list has ``u`` and one column of ``found``.
+
+    An element is in the intersection if it comes up once for each list; no list is gathered.
+    """
+    named = [found.join(x, [c for c in x.columns if c != u]).select(*found.columns, u) for x in lists]
+    rows = named[0]
+    for x in named[1:]:
+        rows = rows.unionByName(x)
+    return rows.groupBy(*found.columns, u).agg(F.count("*").alias("_n")).where(F.col("_n") == len(lists)).drop("_n")
+
+
+def extend(
+    graph: LabeledGraph, found: DataFrame, query: QueryGraph, step: Step, config: MatchConfig = MatchConfig(), grown: dict[int, DataFrame] | None = None
+) -> DataFrame:
+    """Partial matches with one more vertex: an edge from ``via``, semi-joins for the other edges.
+
+    ``grown``: candidates of the query's vertices, to which the new one is restricted.
+    """
     u = name(step.vertex)
-    if config.intersect and step.closing:
-        out = found
-        lists = []
-        for p in (step.via, *step.closing):
-            near = graph.slice(query.labels[p], step.label).groupBy(F.col("src").alias(name(p))).agg(F.collect_list("dst").alias(f"near{p}"))
-            out = out.join(near, name(p))
-            lists.append(F.col(f"near{p}"))
-        both = lists[0]
-        for other in lists[1:]:
-            both = F.array_intersect(both, other)
-        out = out.select(*found.columns, F.explode(both).alias(u))
+
+    def edge(p: int) -> DataFrame:
+        out = graph.slice(query.labels[p], step.label).select(F.col("src").alias(name(p)), F.col("dst").alias(u))
+        return out.join(grown[step.vertex].withColumnRenamed("id", u), u, "left_semi") if grown and step.vertex in grown else out
+
+    counted = config.intersect and step.closing
+    if counted:
+        out = intersect_lists(found, [edge(p) for p in (step.via, *step.closing)], u)
     else:
-        edge = graph.slice(query.labels[step.via], step.label).select(F.col("src").alias(name(step.via)), F.col("dst").alias(u))
-        out = found.join(edge, name(step.via))
+        out = found.join(edge(step.via), name(step.via))
     if config.semantics != "homo":
         for w in step.differs:
             out = out.where(F.col(u) != F.col(name(w)))
-    if not (config.intersect and step.closing):
-        for p in step.closing:
-            edge = graph.slice(query.labels[p], step.label).select(F.col("src").alias(name(p)), F.col("dst").alias(u))
-            out = out.join(edge, [name(p), u], "left_semi")
+    for p in () if counted else step.closing:
+        near = graph.slice(query.labels[p], step.label).select(F.col("src").alias(name(p)), F.col("dst").alias(u))
+        out = out.join(near, [name(p), u], "left_semi")
     if config.semantics == "induced":
         placed = [int(c[1:]) for c in found.columns if c.startswith("u")]
         for p in placed:
             if p != step.via and p not in step.closing:
-                edge = graph.slice(query.labels[p], step.label).select(F.col("src").alias(name(p)), F.col("dst").alias(u))
-                out = out.join(edge, [name(p), u], "left_anti")
+                near = graph.slice(query.labels[p], step.label).select(F.col("src").alias(name(p)), F.col("dst").alias(u))
+                out = out.join(near, [name(p), u], "left_anti")
     return out
 
 
@@ -70,15 +85,21 @@ def root_matches(graph: LabeledGraph, plan: Plan, config: MatchConfig = MatchCon
 
 def run_steps(graph: LabeledGraph, plan: Plan, config: MatchConfig) -> DataFrame:
     """Matches of all vertices but the counted leaves."""
-    steps = plan.steps
-    if len(steps) > 1 and config.root_filter == "label":  # the first edge already holds every root that matters
+    steps, grown = plan.steps, None
+    if config.grow and config.semantics != "homo":
+        grown = grow(graph, plan, config.grow, config.prune)
+        if eliminated(grown):  # nothing can match: no join is planned
+            none = grown[plan.root].limit(0)
+            return none.select(*[F.col("id").alias(name(s.vertex)) for s in steps])
+        found, rest = grown[plan.root].select(F.col("id").alias(name(plan.root))), steps[1:]
+    elif len(steps) > 1 and config.root_filter == "label":  # the first edge already holds every root that matters
         s = steps[1]
         edge = graph.slice(plan.query.labels[plan.root], s.label)
         found, rest = edge.select(F.col("src").alias(name(plan.root)), F.col("dst").alias(name(s.vertex))), steps[2:]
     else:
         found, rest = root_matches(graph, plan, config), steps[1:]
     for s in rest:
-        found = extend(graph, found, plan.query, s, config)
+        found = extend(graph, found, plan.query, s, config, grown)
     return found
 
 
@@ -109,9 +130,9 @@ class Matcher:
         self.graph, self.config = graph, config
 
     def plan(self, query: QueryGraph, collapse: bool | None = None) -> Plan:
-        frequency = self.graph.frequencies(set(query.labels.values()))
+        labels = set(query.labels.values())
         wanted = self.config.collapse and self.config.semantics != "induced" if collapse is None else collapse
-        return make_plan(query, frequency, wanted)
+        return make_plan(query, self.graph.frequencies(labels), wanted, pairs=self.graph.pair_counts(labels))
 
     def embeddings(self, query: QueryGraph) -> DataFrame:
         """One row a match, column u<id> for each query vertex."""

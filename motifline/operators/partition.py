@@ -9,11 +9,18 @@ from motifline.functions.lsh import bucket, hashed, signature
 from motifline.operators.graph import LabeledGraph
 
 
+# Fixed values of this layout: modulus and factors that mix a label with its least hash.
+_PRIME, _OF_LABEL, _OF_HASH = 2147483647, 1000003, 31
+
+
 def labelled_minhash(graph: LabeledGraph) -> DataFrame:
-    """(id, minhash): least neighbour hash by label, the pairs hashed together; equal neighbourhoods are equal."""
+    """(id, minhash): least neighbour hash by label, mixed with the label and summed; equal neighbourhoods are equal.
+
+    No list is gathered: both steps are sums and minima, combined before the shuffle.
+    """
     least = graph.edges.groupBy(F.col("src").alias("id"), F.col("dst_label")).agg(F.min(hashed(F.col("dst"), 0)).alias("h"))
-    pairs = least.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("dst_label", "h"))).alias("pairs"))
-    return pairs.select("id", F.xxhash64("pairs").alias("minhash"))
+    mixed = F.pmod(F.col("h") * _OF_HASH + (F.col("dst_label").cast("bigint") + 1) * _OF_LABEL, F.lit(_PRIME).cast("bigint"))
+    return least.groupBy("id").agg(F.sum(F.pmod(mixed * mixed, F.lit(_PRIME).cast("bigint"))).alias("minhash"))
 
 
 def neighbour_signature(graph: LabeledGraph, size: int = 5) -> DataFrame:
@@ -35,6 +42,11 @@ def partitioned(graph: LabeledGraph, parts: int, by: str = "hash") -> DataFrame:
     return graph.edges.join(near, "src")
 
 
+def layout(graph: LabeledGraph, parts: int, by: str = "hash") -> DataFrame:
+    """Edges dealt out so that partition ``part`` holds all edges of its sources, sorted by source."""
+    return partitioned(graph, parts, by).repartitionById(parts, F.col("part")).sortWithinPartitions("src")
+
+
 def query_bucket(labels, size: int = 1):
     """The bucket column of an array of labels."""
     return bucket(signature(labels, size))

@@ -68,3 +68,27 @@ def write_graph(graph: LabeledGraph, path: str, overwrite: bool = False) -> None
     item = F.transform("adj", lambda x: F.concat_ws(" ", x["id"], x["l"]))
     line = F.concat(F.concat_ws(" ", "id", "label"), F.lit("\t"), F.array_join(item, " "))
     graph.adjacency().select(line.alias("value")).write.mode("overwrite" if overwrite else "errorifexists").text(path)
+
+
+def path_state(spark: SparkSession, path: str) -> str:
+    """"missing", "empty" or "filled": what a reader finds at ``path``, and what a writer would have to delete."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(hadoop):
+        return "missing"
+    return "filled" if store.getContentSummary(hadoop).getLength() else "empty"
+
+
+def check_paths(spark: SparkSession, inputs: list[str], output: str | None = None, overwrite: bool = False) -> None:
+    """Raise GraphError before any job runs if an input is not there, or the output is and may not be overwritten."""
+    for path in inputs:
+        if path_state(spark, path) != "filled":
+            raise GraphError(f"nothing to read at {path}")
+    if output and not overwrite and path_state(spark, output) != "missing":
+        raise GraphError(f"{output} is there already")
+
+
+def workload_text(workload: list[QueryGraph]) -> str:
+    """The workload as :func:`read_workload` reads it."""
+    lines = lambda q: [f"{u} {x}\t" + " ".join(f"{n} {q.labels[n]}" for n in q.neighbours[u]) for u, x in q.labels.items()]
+    return "\n\n".join("\n".join(lines(q)) for q in workload) + "\n"

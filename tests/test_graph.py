@@ -3,14 +3,17 @@ import random
 
 import pytest
 
-from motifline import catalog
+from motifline import catalog, run
 from motifline.functions import lsh
+from motifline.operators import aggregate, growth, partition
 from motifline.operators.graph import GraphError, LabeledGraph
 from motifline.operators.match import MatchConfig, Matcher
 from motifline.plans import planner
 from motifline.plans.pattern import PatternError, QueryGraph, parse_workload
-from motifline.sources import text
+from motifline.sources import tables, text
+from motifline.streaming import progress
 
+# The sample graph and query.
 SAMPLE = """0 0\t1 2 3 2 4 1
 1 2\t0 0 2 1 4 1
 2 1\t1 2 3 2 4 1 12 3
@@ -89,11 +92,11 @@ def test_random_graphs_agree_with_brute_force_under_all_switches(spark):
     g = LabeledGraph.from_tables(v, spark.createDataFrame(edges, "src bigint, dst bigint")).persisted()
     query = QueryGraph.of([0, 1, 1, 2], (0, 1), (1, 2), (0, 2), (2, 3))
     want = brute(labels, edges, query)
-    for config in (MatchConfig(), MatchConfig(collapse=False), MatchConfig(intersect=True), MatchConfig(root_filter="label")):
+    for config in (MatchConfig(), MatchConfig(collapse=False), MatchConfig(intersect=True), MatchConfig(root_filter="label"), MatchConfig(grow="label", prune=False), MatchConfig(grow="neighbours")):
         assert Matcher(g, config).count(query).first()[0] == want
     work = [QueryGraph.of({10: 0, 11: 1, 12: 2}, (10, 11), (10, 12), (11, 12)), QueryGraph.of({20: 0, 21: 1, 22: 2, 23: 1}, (20, 21), (20, 22), (22, 23)), QueryGraph.of({30: 7, 31: 1}, (30, 31))]
     wanted = sorted(brute(labels, edges, q) for q in work)
-    for config in (MatchConfig(), MatchConfig(share=False), MatchConfig(exact_groups=False)):
+    for config in (MatchConfig(), MatchConfig(share=False), MatchConfig(exact_groups=False), MatchConfig(root_filter="label"), MatchConfig(grow="degree"), MatchConfig(share_limit=0)):
         assert sorted(r["n_matches"] for r in Matcher(g, config).count_workload(work).collect()) == wanted
 
 
@@ -171,3 +174,103 @@ def test_edge_check_takes_all_candidates(spark, small_part_graph):
     right = {i for i, x in labels.items() if x == 1 and near[i] & left}
     got = {tuple(r) for r in catalog.queries()["edge_check_reduce"](spark, "").collect()}
     assert got == {("left", i) for i in left} | {("right", i) for i in right}
+
+
+def test_joins_go_through_the_least_fan_out():
+    # order 5, part 4, supplier 3: a supplier has many parts and orders, an order few parts and suppliers
+    query = QueryGraph.of([5, 4, 3], (0, 1), (1, 2), (0, 2))
+    frequency = {3: 10, 4: 200, 5: 1500}
+    pairs = {(3, 4): 800, (4, 3): 800, (3, 5): 6000, (5, 3): 6000, (4, 5): 6000, (5, 4): 6000}
+    plan = planner.make_plan(query, frequency, pairs=pairs)
+    last = plan.steps[-1]
+    assert plan.root == 2 and [s.vertex for s in plan.steps] == [2, 1, 0]
+    assert (last.via, last.closing) == (1, (2,)) and planner.fan_out(query, frequency, pairs, 1, 0) < planner.fan_out(query, frequency, pairs, 2, 0)
+    few = pairs | {(5, 4): 150, (4, 5): 150, (3, 5): 500, (5, 3): 500}
+    plan = planner.make_plan(query, frequency, pairs=few)
+    assert [s.vertex for s in plan.steps] == [2, 0, 1] and plan.steps[-1].via == 0
+
+
+def test_switches_change_plans(sample):
+    (query,) = parse_workload(QUERY)
+    plain, filtered, grown = (Matcher(sample, MatchConfig(root_filter=f, grow=g)).count_workload([query]) for f, g in (("label", ""), ("neighbours", ""), ("", "neighbours")))
+    texts = [x._jdf.queryExecution().optimizedPlan().toString() for x in (plain, filtered, grown)]
+    assert len(set(texts)) == 3
+    assert all([tuple(r) for r in x.collect()] == [(1, 7)] for x in (plain, filtered, grown))
+
+
+def test_growth_and_elimination(sample):
+    (query,) = parse_workload(QUERY)
+    found = growth.grow(sample, Matcher(sample).plan(query))
+    got = {u: {r["id"] for r in df.collect()} for u, df in found.items()}
+    listed = [dict(zip(query.labels, r)) for r in Matcher(sample).embeddings(query).collect()]
+    assert all(m[u] in got[u] for m in listed for u in query.labels)
+    labels = dict((int(x.split()[0]), int(x.split()[1])) for x in SAMPLE.splitlines())
+    assert all(labels[i] == query.labels[u] for u, ids in got.items() for i in ids) and not growth.eliminated(found)
+    none = QueryGraph.of({0: 0, 1: 9, 2: 1}, (0, 1), (1, 2))
+    found = growth.grow(sample, planner.make_plan(none, {}, root=0))
+    assert growth.eliminated(found) and found[2].count() == 0
+    assert {r["u"]: r["n"] for r in growth.sizes(found).collect()}[1] == 0
+    assert Matcher(sample, MatchConfig(grow="label")).count(none).first()[0] == 0
+
+
+def test_runner_and_paths(spark, tmp_path, capsys):
+    (tmp_path / "g.txt").write_text(SAMPLE)
+    (tmp_path / "q.txt").write_text(QUERY + "\n20 2\t21 1\n21 1\t20 2\n")
+    data, query, out = (str(tmp_path / x) for x in ("g.txt", "q.txt", "out"))
+    report = run.run(spark, data, query, out)
+    assert [x.rsplit("query", 1)[1] for x in report.lines] == ["1 is 7", "20 is 7"] and report.load_seconds > 0 < report.task_seconds
+    assert sorted(r["value"] for r in spark.read.text(out).collect()) == sorted(report.lines)
+    with pytest.raises(GraphError):
+        run.run(spark, data, query, out)
+    with pytest.raises(GraphError):
+        run.run(spark, str(tmp_path / "none"), query)
+    assert [text.path_state(spark, str(tmp_path / x)) for x in ("none", "g.txt")] == ["missing", "filled"]
+    text.check_paths(spark, [data], out, overwrite=True)
+
+
+def test_workload_text_round_trip():
+    work = parse_workload(QUERY + "\n7 1\n\n8 1\t9 2\n9 2\t8 1\n")
+    assert parse_workload(text.workload_text(work)) == work
+
+
+def test_graphs_are_loaded_once_and_anew_if_their_files_change(spark, tmp_path):
+    def write(n):
+        spark.range(n).selectExpr("id AS p_partkey", "id AS p_size").write.mode("overwrite").parquet(str(tmp_path / "part.parquet"))
+        spark.range(2 * n).selectExpr("id DIV 4 AS l_orderkey", "id % 7 AS l_partkey").write.mode("overwrite").parquet(str(tmp_path / "lineitem.parquet"))
+
+    write(10)
+    first = tables.part_graph(spark, str(tmp_path))
+    assert tables.part_graph(spark, str(tmp_path)) is first and first.vertices.count() == 10
+    assert first.validate().count() == 0
+    write(30)
+    again = tables.part_graph(spark, str(tmp_path))
+    assert again is not first and again.vertices.count() == 30
+
+
+def test_layouts(sample):
+    from pyspark.sql import functions as F
+
+    for by in ("hash", "lsh"):
+        rows = partition.layout(sample, 4, by).withColumn("at", F.spark_partition_id()).collect()
+        assert len(rows) == 54 and all(r["at"] == r["part"] for r in rows)
+        assert all(len({r["part"] for r in rows if r["src"] == v}) == 1 for v in range(15))
+    near = {i: frozenset(x.split("\t")[1].split()) for i, x in enumerate(SAMPLE.splitlines())}
+    got = {r["id"]: r["minhash"] for r in partition.labelled_minhash(sample).collect()}
+    assert all(got[a] == got[b] for a in near for b in near if near[a] == near[b]) and len(set(got.values())) > 5
+
+
+def test_progress_is_reported_while_a_job_runs(spark):
+    seen = []
+    with progress.Progress(spark, seen.append, gap=0.05):
+        spark.range(4_000_000, numPartitions=8).selectExpr("sum(sqrt(id))").collect()
+        spark.range(50, numPartitions=2).rdd.map(lambda x: __import__("time").sleep(0.03)).count()
+    assert "seconds" in seen[-1] and all({"tasks", "active", "done"} <= set(s) for s in seen)
+    assert any(s["tasks"] for s in seen[:-1])
+
+
+def test_two_phase_equals_one_phase(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(1000).selectExpr("id % 3 AS k", "id % 37 AS x")
+    got = aggregate.two_phase(df, ["k"], {"n": F.countDistinct("x"), "m": F.max("x")}, {"n": F.sum("n"), "m": F.max("m")}, ["x"]).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, df.groupBy("k").agg(F.countDistinct("x"), F.max("x")).collect()))
