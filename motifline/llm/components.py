@@ -42,18 +42,18 @@ def _contract(batches):
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([find(x) for x in part], pa.binary())], ["a", "b"])
 
 
-def join_unique(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """Inner join of ``rows`` with ``table``, which has one row a key.
+def join_unique(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined ("inner" or "left") with ``table``, which has one row a key.
 
     Rows of the ``MAX_HEAVY`` most frequent keys, if over ``HEAVY`` each, stay where they are: their rows of
     ``table``, at most so many, are broadcast. No key can then fill a task.
     """
-    top = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > HEAVY).orderBy(F.desc("n")).limit(MAX_HEAVY)
-    heavy = [r[key] for r in top.collect()]
+    top = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > HEAVY)
+    heavy = [r[key] for r in top.orderBy(F.desc("n")).limit(MAX_HEAVY).collect()]
     if not heavy:
-        return rows.join(table, key)
-    few = F.col(key).isin(heavy)
-    return rows.where(~few).join(table.where(~few), key).unionByName(rows.where(few).join(F.broadcast(table.where(few)), key))
+        return rows.join(table, key, how)
+    few = F.coalesce(F.col(key).isin(heavy), F.lit(False))
+    return rows.where(~few).join(table.where(~few), key, how).unionByName(rows.where(few).join(F.broadcast(table.where(few)), key, how))
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:

@@ -7,7 +7,8 @@ by 1 - damping: a host without links scores its own share (here seeds enter undi
 ``threshold`` above its trust.
 
 Links are counted once per pair of hosts, with partial sums before the shuffle, so a host with a third of
-all pages costs no more than others. Rounds are written tables every ``CUT`` rounds.
+all pages costs no more than others; such hosts are broadcast when pages are joined with their scores. Propagation
+runs until it brings no host more than ``tolerance``; each round is a written table.
 
 Edge cases: null urls and urls without ``://`` have an empty host and path, no rule fits and the verdict is
 that of the empty host, which is never scored: allow. Null html has no links. Links to the own host do not
@@ -19,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from motifline.llm.components import join_unique
 from motifline.llm.text import col
 from motifline.session import discard, materialize
 
@@ -30,7 +32,7 @@ RULES = [
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 ]
-MAX_RULES, CUT = 500, 4
+MAX_RULES = 500
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)href\s*=\s*["']?(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"'\s>]+)"""
 
@@ -46,32 +48,44 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
     return rule, verdict
 
 
-def _propagate(seeds: DataFrame, links: DataFrame, damping: float, rounds: int) -> DataFrame:
-    """(host, score) after ``rounds`` of score = seed + damping * what linking hosts pass on."""
+def propagate(seeds: DataFrame, links: DataFrame, damping: float = 0.85, tolerance: float = 1e-9) -> tuple[DataFrame, int]:
+    """(host, score) of score = seed + damping * what linking hosts pass on, and the rounds it took.
+
+    A round passes on what the round before has brought; the rounds end when it brings no host more than
+    ``tolerance``. What is under way shrinks by the damping in each, so they end.
+    """
     out = links.groupBy("a").agg(F.count("*").alias("n"))
     links = materialize(links.join(out, "a").select("a", "b", (damping / F.col("n")).alias("pass")), "links")
-    score = last = seeds
-    for k in range(rounds):
-        flow = score.join(links, score["host"] == links["a"]).select(F.col("b").alias("host"), (F.col("score") * F.col("pass")).alias("score"))
-        score = seeds.unionByName(flow).groupBy("host").agg(F.sum("score").alias("score"))
-        if k % CUT == CUT - 1:
-            score = materialize(score, "scores")
-            discard(last)
-            last = score
-    return score
+    flow, flows = seeds, [seeds]
+    while True:
+        flow = flow.join(links, flow["host"] == links["a"]).select(F.col("b").alias("host"), (F.col("score") * F.col("pass")).alias("score"))
+        flow = materialize(flow.groupBy("host").agg(F.sum("score").alias("score")), "flow")
+        flows.append(flow)
+        if (flow.agg(F.max("score")).first()[0] or 0) <= tolerance:
+            break
+    total = flows[0]
+    for f in flows[1:]:
+        total = total.unionByName(f)
+    scores = materialize(total.groupBy("host").agg(F.sum("score").alias("score")), "scores")
+    for f in [links, *flows[1:]]:
+        discard(f)
+    return scores, len(flows) - 1
 
 
 def judge_pages(
     pages: DataFrame,
     rules: list[tuple[str, str, str]] | None = None,
     damping: float = 0.85,
-    rounds: int = 8,
+    tolerance: float = 1e-9,
     threshold: float = 0.5,
     id_col: str = "page_id",
     url_col: str = "url",
     html_col: str = "html",
 ) -> DataFrame:
-    """One row a page: id, host, path, rule, verdict, trust and distrust (of the host; null if never reached)."""
+    """One row a page: id, host, path, rule, verdict, trust and distrust (of the host; null if never reached), rounds.
+
+    At the threshold itself a host is allowed; of two rules that fit and are equally long the blocking one wins.
+    """
     src = pages.select(col(id_col).alias("id"), F.coalesce(col(url_col), F.lit("")).alias("url"), col(html_col).alias("html"))
     src = src.withColumn("rest", F.expr(r"case when instr(url, '://') > 0 then regexp_extract(substring(url, instr(url, '://') + 3), '(?s)^([^?#]*)', 1) else '' end"))
     src = src.withColumn("host", F.translate(F.substring_index("rest", "/", 1), UPPER, LOWER))
@@ -83,13 +97,15 @@ def judge_pages(
     share = lambda kind: F.avg(F.coalesce((F.col("ruled") == kind).cast("double"), F.lit(0.0)))
     hosts = judged.where("host <> ''").groupBy("host").agg(share("allow").alias("allow"), share("block").alias("block"))
     hosts = materialize(hosts, "hosts")
-    scores = []
+    scores, most = [], 0
     linked = links.limit(1).count()
     for name, kind, way in (("trust", "allow", links), ("distrust", "block", links.select(F.col("b").alias("a"), F.col("a").alias("b")))):
         seeds = hosts.where(F.col(kind) > 0).select("host", F.col(kind).alias("score"))
-        scores.append((_propagate(seeds, way, damping, rounds) if linked else seeds).withColumnRenamed("score", name))
+        found, rounds = propagate(seeds, way, damping, tolerance) if linked else (seeds, 0)
+        most = max(most, rounds)
+        scores.append(found.withColumnRenamed("score", name))
     both = scores[0].join(scores[1], "host", "full")
     wrong = F.coalesce("distrust", F.lit(0.0)) - F.coalesce("trust", F.lit(0.0)) > threshold
-    return judged.drop("html").join(both, "host", "left").select(
-        "id", "host", "path", "rule", F.coalesce("ruled", F.when(wrong, "block").otherwise("allow")).alias("verdict"), "trust", "distrust"
+    return join_unique(judged.drop("html"), both, "host", "left").select(
+        "id", "host", "path", "rule", F.coalesce("ruled", F.when(wrong, "block").otherwise("allow")).alias("verdict"), "trust", "distrust", F.lit(most).alias("rounds")
     )

@@ -165,27 +165,24 @@ def op8_host_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumnRenamed("id", "page_id").select("page_id", "host", "path", "rule", "verdict")
 
 
-def _op8_sql(rounds: int = 8, damping: float = 0.85) -> str:
+def _op8_sql(rounds: int = 160, damping: float = 0.85) -> str:
+    """Flows of each round until none is above the tolerance; after ``rounds`` 0.85 ** 160 of a seed would be under way."""
     rest = r"CASE WHEN instr(url, '://') > 0 THEN regexp_extract(substr(url, instr(url, '://') + 3), '(?s)^([^?#]*)', 1) ELSE '' END"
     lower = f"'{linkgraph.UPPER}', '{linkgraph.LOWER}'"
     link = linkgraph.LINK.replace("'", "''")
     steps = []
     for name, a, b in (("trust", "a", "b"), ("wrong", "b", "a")):
         kind = "allow" if name == "trust" else "block"
-        steps.append(f"{name}_seed AS (SELECT host, {kind}ed AS score FROM hosts WHERE {kind}ed > 0)")
-        steps.append(f"{name}_out AS (SELECT {a} AS a, count(*) AS n FROM links GROUP BY 1)")
-        last = f"{name}_seed"
-        for k in range(rounds):
-            steps.append(
-                f"{name}_{k} AS (SELECT host, sum(score) AS score FROM (SELECT * FROM {name}_seed UNION ALL SELECT l.{b}, s.score * {damping} / o.n "
-                f"FROM {last} s JOIN links l ON l.{a} = s.host JOIN {name}_out o ON o.a = l.{a}) GROUP BY host)"
-            )
-            last = f"{name}_{k}"
-        steps.append(f"{name}_final AS (SELECT * FROM {last})")
+        steps.append(f"{name}_out AS MATERIALIZED (SELECT {a} AS a, {b} AS b, {damping} / count(*) OVER (PARTITION BY {a}) AS pass FROM links)")
+        steps.append(
+            f"{name}_flow(k, host, score) AS (SELECT 0, host, CAST({kind}ed AS DOUBLE) FROM hosts WHERE {kind}ed > 0 UNION ALL "
+            f"SELECT k + 1, l.b, sum(s.score * l.pass) FROM {name}_flow s JOIN {name}_out l ON l.a = s.host WHERE k < {rounds} GROUP BY k + 1, l.b HAVING sum(s.score * l.pass) > 1e-12)"
+        )
+        steps.append(f"{name}_final AS (SELECT host, sum(score) AS score FROM {name}_flow GROUP BY host)")
     rules = sorted(linkgraph.RULES, key=lambda r: -len(r[1] + r[2]))
     case = lambda pick: "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{pick(k, h, p)}'" for k, h, p in rules) + " END"
     return f"""
-WITH r AS (SELECT page_id, html, {rest} AS rest FROM (SELECT page_id, html, coalesce(url, '') AS url FROM pages)),
+WITH RECURSIVE r AS (SELECT page_id, html, {rest} AS rest FROM (SELECT page_id, html, coalesce(url, '') AS url FROM pages)),
 p AS (SELECT page_id, html, translate(split_part(rest, '/', 1), {lower}) AS host,
              CASE WHEN instr(rest, '/') > 0 THEN substr(rest, instr(rest, '/')) ELSE '' END AS path FROM r),
 j AS (SELECT *, {case(lambda k, h, p: h + p)} AS rule, {case(lambda k, h, p: k)} AS ruled FROM p),

@@ -89,6 +89,40 @@ def test_neighbours_of_far_queries(spark, kind):
     assert hits >= 0.95 * rows
 
 
+def test_neighbours_on_odd_vectors(spark):
+    """A huge vector, an isolated query, an id with two vectors, columns named like results, few of another length."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(900, 12))
+    x[500] *= 300
+    rows = [(i, v.tolist(), "x", 1.0, 5) for i, v in enumerate(x)]
+    rows += [(10_001, [1e25] * 12, "x", 1.0, 5), (10_000, [1e200] * 12, "x", 1.0, 5), (600, rng.normal(size=12).tolist(), "y", 2.0, 6), (20_000, [1.0, 2.0], "z", 0.0, 0), (20_001, [1.0, 3.0], "z", 0.0, 0)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, rank string, score double, query_id int")
+    got = {}
+    for r in ann.nearest(df, lambda i: i % 100 == 0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(got) == {*range(0, 900, 100), 10_000, 20_000}
+    assert [f[1:] for f in got[20_000]] == [(20_001, 1.0)]
+    assert all(len(got[q]) == 10 for q in got if q != 20_000)
+    others = [(i, np.array(v)) for i, v, *_ in rows if len(v) == 12]
+    for q in (0, 100, 300, 500, 800):
+        best = [i for _, i in sorted((float(np.sqrt(((v - x[q]) ** 2).sum())), i) for i, v in others if i != q)[:10]]
+        assert len({f[1] for f in got[q]} & set(best)) >= 8
+        if q == 500:
+            assert [f[1] for f in sorted(got[q])] == best
+    none = df.where("vec_id = 20000")
+    assert ann.nearest(none, lambda i: i % 100 == 0).count() == 0
+
+
+def test_a_query_goes_to_slots_of_enough_success():
+    rng = np.random.default_rng(3)
+    hit = 0
+    for _ in range(2000):
+        along, r = rng.uniform(-50, 50), rng.uniform(0.5, 1.5)
+        hit += int(np.floor(along + rng.normal(0, r))) in ann.slots_to_visit(along, 1.0, r)
+    assert hit >= 0.985 * 2000
+    assert len(ann.slots_to_visit(1e300, 1.0, 1.0)) < 20
+
+
 def test_quality_held_out(spark, odd):
     rng = random.Random(2)
     words = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(300)]
@@ -307,6 +341,56 @@ def test_link_graph(spark):
     assert linkgraph.judge_pages(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+LINKED = "page_id bigint, url string, html string, host string, verdict string, rounds int"
+
+
+def _linked_pages(edges, pages):
+    rows = []
+    for i, (url, own) in enumerate(pages):
+        host = url.split("/")[2]
+        html = "".join(f"<a href='http://{b}/'>x</a>" for a, b in edges if a == host) if own else None
+        rows.append((i, url, html, "clash", "clash", i))
+    return rows
+
+
+def test_link_graph_converges(spark):
+    rng = random.Random(16)
+    hosts = [f"h{i}.org" for i in range(40)] + ["good.com", "bad.net"]
+    edges = {(rng.choice(hosts), rng.choice(hosts)) for _ in range(90)} | {("good.com", "h0.org"), ("h1.org", "bad.net")}
+    edges |= {(f"c{i}.org", f"c{i + 1}.org") for i in range(14)} | {("c14.org", "bad.net")}
+    edges = sorted((a, b) for a, b in edges if a != b)
+    names = sorted({x for e in edges for x in e})
+    pages = [(f"http://{h}/" + {"good.com": "x", "bad.net": "es/"}.get(h, ""), True) for h in names] + [("http://h0.org/" + "y" * 50_000, True)]
+    out = linkgraph.judge_pages(spark.createDataFrame(_linked_pages(edges, pages), LINKED)).collect()
+    at = {h: i for i, h in enumerate(names)}
+    want = {}
+    for kind, seed, way in (("trust", "good.com", edges), ("distrust", "bad.net", [(b, a) for a, b in edges])):
+        m = np.zeros((len(names), len(names)))
+        for a, b in way:
+            m[at[b], at[a]] = 0.85 / sum(x == a for x, _ in way)
+        e = np.zeros(len(names))
+        e[at[seed]] = 1
+        want[kind] = np.linalg.solve(np.eye(len(names)) - m, e)
+    assert len(out) == len(pages)
+    for r in out:
+        for kind in want:
+            assert (r[kind] or 0) == pytest.approx(want[kind][at[r["host"]]], abs=1e-6)
+        if r["rule"] is None:
+            assert r["verdict"] == ("block" if want["distrust"][at[r["host"]]] - want["trust"][at[r["host"]]] > 0.5 else "allow")
+    assert out[0]["rounds"] > 14 and next(r for r in out if r["host"] == "c0.org")["distrust"] > 0
+
+
+def test_link_graph_ties(spark):
+    rules = [("allow", "a.com", "/x"), ("block", "a.com", "/x"), ("block", "com", "/")]
+    page = lambda *urls: spark.createDataFrame(_linked_pages([("b.org", "t.net")], [(u, True) for u in urls]), LINKED)
+    got = linkgraph.judge_pages(page("http://a.com/xy", "http://s.a.com/x", "http://a.com/", "http://b.org/"), rules).collect()
+    assert [(r["rule"], r["verdict"]) for r in sorted(got, key=lambda r: r["id"])] == [("a.com/x", "block"), ("a.com/x", "block"), ("com/", "block"), (None, "allow")]
+    # all distrust of t.net comes back along its only link: 0.85 of it; at exactly the threshold the host is allowed
+    for threshold, verdict in ((0.85, "allow"), (0.849, "block")):
+        got = linkgraph.judge_pages(page("http://t.net/es/", "http://b.org/"), threshold=threshold).collect()
+        assert {r["host"]: r["verdict"] for r in got}["b.org"] == verdict
+
+
 def test_language_model(spark, odd):
     rng = random.Random(10)
     rows = [(i, " ".join("the cat sat on the mat and then".split()[: rng.randint(1, 8)] * 6)) for i in range(120)] + [(500, None), (None, "dog")]
