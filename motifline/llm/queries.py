@@ -62,11 +62,15 @@ e AS (SELECT *, '### ' || replace(replace(replace(replace(role, '\', '\b'), '#',
              || replace(replace(replace(text, '\', '\b'), '#', '\h'), '<', '\l') || '</turn>' || chr(10) AS piece FROM c),
 t AS (SELECT *, row_number() OVER w AS pos, (strlen(piece) + 3) // 4 AS size FROM e
       WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
-p AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY pos) - size AS before FROM t),
-k AS (SELECT *, 2 * (before // 256) + (CASE WHEN size > 256 THEN 1 ELSE 0 END) AS win FROM p),
-f AS (SELECT conv_id, win, min(pos) AS fp FROM k GROUP BY ALL),
+p AS (SELECT *, sum(size) OVER o - size AS before, max(CASE WHEN pos = 1 AND role = 'system' AND size <= 512 THEN size END) OVER c AS kept,
+      max(CASE WHEN size <= 512 THEN size ELSE 0 END) OVER c AS longest2, max(CASE WHEN size <= 256 THEN size ELSE 0 END) OVER c AS longest4,
+      count(*) FILTER (size > 512) OVER o - (size > 512)::INT AS over2, count(*) FILTER (size > 256) OVER o - (size > 256)::INT AS over4
+      FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY pos), c AS (PARTITION BY conv_id)),
+k AS (SELECT *, CASE WHEN kept IS NULL THEN 2 * ((before + 1024 * over2) // (1025 - longest2)) + (size > 512)::INT
+                     ELSE 2 * ((before + 1024 * over4) // (1025 - kept - longest4)) + (size > 256)::INT END AS win FROM p),
+f AS (SELECT conv_id, win, min(pos) AS fp, min(before) AS start, 1024 - sum(size) - coalesce(max(kept), 0) AS space FROM k GROUP BY ALL),
 again AS (SELECT f.conv_id, sum(length(r.piece)) AS chars FROM f JOIN k r ON r.conv_id IS NOT DISTINCT FROM f.conv_id
-          AND r.pos < f.fp AND ((r.pos = 1 AND r.role = 'system') OR (r.pos >= f.fp - 2 AND r.size <= 128)) GROUP BY ALL),
+          AND r.pos < f.fp AND ((r.pos = 1 AND r.kept IS NOT NULL) OR (r.pos >= f.fp - 2 AND f.start - r.before <= f.space)) GROUP BY ALL),
 s AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
              coalesce(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY pos), '') AS loss,
              sum(length(piece)) AS chars, count(DISTINCT win) AS n_windows FROM k GROUP BY ALL)

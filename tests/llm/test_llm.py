@@ -35,11 +35,39 @@ def test_chat_round_trip(spark):
         want = sorted(((r[1] if r[1] is not None else -1, r[2] or "", r[3] or "") for r in rows if r[0] == conv))
         assert [(t["role"], t["text"]) for r in mine for t in r["turns"]] == [w[1:] for w in want]
         assert [x for r in mine for x in r["losses"]] == [w[2] for w in want if w[1] == "assistant"]
-    windows = chat.format_conversations(_turns(spark, rows), budget=256)
-    assert windows.where("not over_budget and n_tokens > 256").count() == 0
     assert chat.format_conversations(_turns(spark, [])).count() == 0
 
 
+def test_windows_keep_the_budget_and_fill_it(spark):
+    """Only a turn that is too long by itself passes the budget; windows of short turns are nearly full."""
+    rng = random.Random(17)
+    word = lambda n: "x" * (4 * n)  # noqa: E731  n tokens, and a few for the frame
+    rows = []
+    for c, (system, sizes) in enumerate([(0, range(5, 60)), (100, range(5, 60)), (400, range(20, 200)), (1000, range(5, 60)), (0, [300, 600, 20]), (200, [1100, 30]), (0, [500])]):
+        turns = [("system", word(system))] if system else []
+        turns += [(("user", "assistant")[i % 2], word(rng.choice(sizes))) for i in range(300)]
+        rows += [(c, i, role, x, "clash", i) for i, (role, x) in enumerate(turns)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, formatted string, window int")
+    out = chat.format_conversations(df).collect()
+    for c in range(7):
+        mine = sorted((r for r in out if r["conv_id"] == c), key=lambda r: r["window"])
+        sizes = [-(-(len(f"### {role}: ") + len(x) + len(chat.END)) // 4) for conv, _, role, x, *_ in rows if conv == c]
+        system = sizes[0] if c in (1, 2, 5) else 0
+        for r in mine:
+            parts = [len(x) for x in r["formatted"].split(chat.END)[:-1]]
+            own = [-(-(n + len(chat.END)) // 4) for n in parts]
+            assert r["n_tokens"] == sum(own)
+            if r["over_budget"]:
+                assert len(own) - r["n_repeated"] == 1 and own[-1] + system > 1024
+            assert r["n_repeated"] <= 2 + (system > 0)
+            if r is not mine[0] and system:
+                assert r["formatted"].startswith("### system: ")
+        assert sum(len(r["formatted"].split(chat.END)) - 1 - r["n_repeated"] for r in mine) == len(sizes)
+        if c in (0, 1):
+            assert np.mean([r["n_tokens"] for r in mine[:-1]]) > 0.9 * 1024
+    assert any(r["over_budget"] for r in out) and not any(r["over_budget"] for r in out if r["conv_id"] != 5)
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(1500, 16))
