@@ -5,10 +5,12 @@ large the corpus. The driver plans on that histogram; a plan is a list of fillin
 of sequences that use it. Executors give every piece its rank among the pieces of its length and look up
 the sequence and the place that the plan has for this rank. No text or token leaves its partition.
 
-Bin completion: the largest length left is placed, undominated fillings of the space beside it are
-enumerated, least waste first; a branch whose waste exceeds what the incumbent allows is pruned. The
-best-fit-decreasing packing is the first incumbent. The search ends at the lower bound on sequences or
-after ``nodes`` steps, when the incumbent is returned.
+Bin completion: the largest length left is placed, the undominated fillings of the space beside it are
+enumerated, of each ``CHUNK`` the least waste first; a branch whose waste exceeds what the incumbent allows is pruned.
+A filling is dominated if a piece that is left could take the place of some of its pieces that are together no
+longer, and still fit. The best-fit-decreasing packing is the first incumbent. The search is complete: it ends at
+the lower bound on sequences, when no branch is left, or after ``steps`` steps of enumeration and search, a limit on
+the driver's time beyond which the incumbent is returned, valid and whole but perhaps not the least.
 
 Edge cases: a null text is an empty one; every document has at least its end token. Repeated rows are
 packed as often as they occur. An empty table gives an empty result. Extra columns are never read.
@@ -59,80 +61,99 @@ def best_fit_decreasing(hist: dict[int, int], capacity: int) -> Plan:
     return [(f, n) for groups in space.values() for f, n in groups]
 
 
-def fillings(lengths: list[int], hist: dict[int, int], room: int, most: int, nodes: int) -> list[tuple[int, Filling]]:
-    """Undominated fillings of ``room``, least waste first, at most ``most``; lengths descend.
+#: Undominated fillings that are put in the order of their waste at a time.
+CHUNK = 64
 
-    A filling is dominated if a piece of it could be exchanged for a longer one that is left; only
-    fillings that leave no room for any piece left are kept, and of equal waste those with fewer,
-    longer pieces come first.
-    """
-    found: list[tuple[int, Filling]] = []
-    steps, best = 0, room + 1
-    least = lengths[-1] if lengths else room + 1
-
-    def descend(i: int, left: int, chosen: tuple) -> bool:
-        nonlocal steps, best
-        steps += 1
-        if left < least:
-            if left < best or len(found) < most:
-                found.append((left, chosen))
-                best = min(best, left)
-            return left == 0 or steps > nodes
-        while i < len(lengths) and lengths[i] > left:
-            i += 1
-        if i == len(lengths):
-            found.append((left, chosen))
-            best = min(best, left)
-            return steps > nodes
-        for j in range(i, len(lengths)):
-            length = lengths[j]
-            for k in range(min(hist[length], left // length), 0, -1):
-                if descend(j + 1, left - k * length, (*chosen, (length, k))):
-                    return True
-            if steps > nodes:
+
+def dominated(filling: Filling, hist: dict[int, int], room: int) -> bool:
+    """Whether a piece that ``filling`` leaves out could replace some (or none) of its pieces that are together no longer."""
+    waste = room - sum(n * k for n, k in filling)
+    one, more = 0, 0  # sums of one piece and of several pieces, as bits
+    for n, k in filling:
+        for _ in range(k):
+            more |= (one | more) << n
+            one |= 1 << n
+    used = dict(filling)
+    for x, count in hist.items():
+        if count > used.get(x, 0) and x <= room:
+            low = max(1, x - waste)
+            if x <= waste or ((one | more) >> low) & ((1 << (x - low)) - 1) or more >> x & 1:
                 return True
-        return False
+    return False
 
-    descend(0, room, ())
-    unique = {f: w for w, f in found}
-    return sorted(((w, f) for f, w in unique.items()), key=lambda x: (x[0], sum(k for _, k in x[1])))[:most]
 
+def fillings(hist: dict[int, int], room: int, spend) -> Iterator[tuple[int, Filling]]:
+    """(waste, filling) of the undominated fillings of ``room``; ``spend()`` counts a step and tells whether to go on."""
+    lengths = sorted((n for n, c in hist.items() if c and n <= room), reverse=True)
 
-def plan_sequences(hist: dict[int, int], capacity: int, branch: int = 3, nodes: int = 20_000) -> Plan:
+    def maximal(i: int, left: int, chosen: Filling) -> Iterator[Filling]:
+        """Fillings that go on with lengths from the ``i`` th on, and take one if any fits: others are dominated."""
+        while i < len(lengths) and lengths[i] > left:
+            i += 1
+        if i == len(lengths):
+            yield chosen
+        for j in range(i, len(lengths)):
+            n = lengths[j]
+            for k in range(min(hist[n], left // n), 0, -1):
+                if not spend():
+                    return
+                yield from maximal(j + 1, left - k * n, (*chosen, (n, k)))
+
+    chunk: list[tuple[int, Filling]] = []
+    for filling in maximal(0, room, ()):
+        if not dominated(filling, hist, room):
+            chunk.append((room - sum(n * k for n, k in filling), filling))
+        if len(chunk) == CHUNK:
+            yield from sorted(chunk, key=lambda x: (x[0], sum(k for _, k in x[1])))
+            chunk = []
+    yield from sorted(chunk, key=lambda x: (x[0], sum(k for _, k in x[1])))
+
+
+def plan_sequences(hist: dict[int, int], capacity: int, steps: int = 200_000) -> Plan:
     """Fillings and how many sequences use each; see the module for the method."""
     hist = {n: c for n, c in hist.items() if c > 0}
     total = sum(n * c for n, c in hist.items())
     lower = max(-(-total // capacity), sum(c for n, c in hist.items() if 2 * n > capacity))
     best = best_fit_decreasing(hist, capacity)
-    bins = sum(n for _, n in best)
-    seen = 0
-    # a state: what is left, waste so far, sequences so far, the plan as a linked list
-    stack: list = [(hist, 0, 0, None)]
-    while stack and bins > lower and seen < nodes:
-        left, waste, used, path = stack.pop()
-        seen += 1
-        if not left:
-            if used < bins:
-                bins, best = used, []
-                while path:
-                    path, step = path
-                    best.append(step)
-            continue
-        if waste > (bins - 1) * capacity - total:
-            continue
+    bins, left_steps = sum(n for _, n in best), steps
+
+    def spend() -> bool:
+        nonlocal left_steps
+        left_steps -= 1
+        return left_steps > 0
+
+    def branches(left: dict[int, int]) -> Iterator[tuple[int, Filling, int]]:
+        """(waste, sequence, how many alike): as many as there are pieces for, and else one at a time."""
         largest = max(left)
-        rest = dict(left)
-        rest[largest] -= 1
-        lengths = sorted((n for n, c in rest.items() if c and n <= capacity - largest), reverse=True)
-        options = fillings(lengths, rest, capacity - largest, branch, 400) if lengths else [(capacity - largest, ())]
-        for lost, filling in reversed(options):
-            whole: dict[int, int] = {largest: 1}
+        rest = {n: c - (n == largest) for n, c in left.items()}
+        for lost, filling in fillings(rest, capacity - largest, spend):
+            whole = {largest: 1}
             for n, k in filling:
                 whole[n] = whole.get(n, 0) + k
             times = min(left[n] // k for n, k in whole.items())
-            after = {n: c - times * whole.get(n, 0) for n, c in left.items()}
-            step = (tuple(sorted(whole.items(), reverse=True)), times)
-            stack.append(({n: c for n, c in after.items() if c}, waste + times * lost, used + times, (path, step)))
+            for t in (times, 1)[: 1 + (times > 1)]:
+                yield lost, tuple(sorted(whole.items(), reverse=True)), t
+
+    # a level: its branches, and what is left, the waste and the sequences before them
+    stack = [(branches(hist), hist, 0, 0)] if hist else []
+    path: Plan = []
+    while stack and bins > lower and spend():
+        options, left, waste, used = stack[-1]
+        step = next(options, None)
+        if step is None:
+            stack.pop()
+            path = path[:-1]
+            continue
+        lost, whole, times = step
+        if waste + times * lost > (bins - 1) * capacity - total:
+            continue
+        after = {n: c for n, c in ((n, c - times * dict(whole).get(n, 0)) for n, c in left.items()) if c}
+        if not after:
+            if used + times < bins:
+                bins, best = used + times, [*path, (whole, times)]
+            continue
+        path = [*path, (whole, times)]
+        stack.append((branches(after), after, waste + times * lost, used + times))
     return best
 
 

@@ -215,6 +215,54 @@ def test_plans_are_optimal_on_small_cases():
         assert sum(t for _, t in plan) == least(sizes, 20)
 
 
+def test_the_search_beats_best_fit_and_keeps_only_undominated_fillings():
+    """Cases that best fit misses: 3 + 3 + 3, 4 + 5 and 3 + 6 fill bins of 9 where it opens another one."""
+    rng, better = random.Random(18), 0
+    for _ in range(300):
+        cap = rng.randint(9, 30)
+        sizes = [rng.randint(2, cap // 2 + 2) for _ in range(rng.randint(6, 12))]
+        hist = {x: sizes.count(x) for x in sizes}
+        first = sum(t for _, t in packing.best_fit_decreasing(hist, cap))
+        plan = packing.plan_sequences(hist, cap)
+        assert sorted(n for f, t in plan for n, k in f for _ in range(k * t)) == sorted(sizes)
+        better += sum(t for _, t in plan) < first
+    assert better >= 5
+    for _ in range(60):
+        hist = {rng.randint(1, 12): rng.randint(1, 2) for _ in range(5)}
+        items = [n for n, c in hist.items() for _ in range(c)]
+        kept = {f for _, f in packing.fillings(hist, 15, lambda: True)}
+        subsets = {tuple(sorted(((n, c.count(n)) for n in set(c)), reverse=True)) for r in range(len(items) + 1) for c in itertools.combinations(items, r) if sum(c) <= 15}
+
+        def replaceable(f):
+            own = [n for n, k in f for _ in range(k)]
+            free = list(items)
+            for n in own:
+                free.remove(n)
+            groups = {c for r in range(len(own) + 1) for c in itertools.combinations(sorted(own), r)}
+            return any(sum(c) <= x and sum(own) - sum(c) + x <= 15 and c != (x,) for x in free for c in groups)
+
+        assert kept == {f for f in subsets if not replaceable(f)}
+
+
+def test_packing_cuts_long_documents_at_the_production_capacity(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(WORDS)
+    plain.encode_special_tokens = True
+    rng = random.Random(19)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n)) for n in (10, 3000, 5000)] + [None, ""]
+    docs = spark.createDataFrame([(i, t, "clash", i) for i, t in enumerate(texts)], "doc_id bigint, text string, sequence_id string, offset int")
+    got: dict = {}
+    for r in packing.pack_documents(docs, WORDS).collect():
+        got.setdefault(r["id"], []).append((r["piece"], r["start"], r["length"], bytes(r["ids"])))
+    for i, t in enumerate(texts):
+        ids = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        pieces = sorted(got[i])
+        assert b"".join(p[3] for p in pieces) == ids.tobytes()
+        assert [p[:3] for p in pieces] == [(k, 2048 * k, min(2048, len(ids) - 2048 * k)) for k in range(-(-len(ids) // 2048))]
+    assert len(got[2]) > 1
+
+
 def test_subword_ids_equal_the_tokenizer():
     from tokenizers import Tokenizer
 
