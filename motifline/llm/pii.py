@@ -8,8 +8,12 @@ gathered and nothing is shuffled. Digits stay digits, letters keep case and scri
   classes; a Feistel network over that range, walked on until the value is in range, permutes them. A
   card with a valid check digit gets a valid one. After each step the surrogate must be detected as the
   same type again, else the walk goes on (the collision check between types).
-* person: a given name goes to the next name of its gender and script in a keyed order; a family name is
-  permuted letter by letter, vowels to vowels and consonants to consonants.
+* person: found by structure: a title or a known given name before capitalised words and initials, or two initials
+  before a name. Every name in it has its own surrogate: a known given name goes to the next one of its gender and
+  script in a keyed order, other names are permuted letter by letter, vowels to vowels and consonants to consonants,
+  initials likewise, titles stay. Other mentions in the text of a name that was found so get the same surrogate
+  ("Anna Kowalski ... Anna said"). Names that nothing of this marks are not found.
+* card: only numbers with a valid check digit and an issuer's first digits; others are ordinary numbers.
 
 Small ranges (under 1,000 values) are shifted along a keyed order, so that no value stays as it is.
 :func:`collisions` checks the whole mapping of a corpus.
@@ -39,7 +43,9 @@ GIVEN_NAMES = {
     ("cyrillic", "m"): "Алексей Андрей Борис Виктор Владимир Дмитрий Иван Николай Олег Павел Сергей Юрий".split(),
 }
 # Titles that are followed by a family name.
-TITLES = "Mr Mrs Ms Dr Herr Frau Monsieur Madame Señor Señora".split()
+TITLES = "Mr Mrs Ms Miss Sir Dr Prof Herr Frau Monsieur Madame Señor Señora".split()
+# First digits of card numbers by issuer.
+ISSUERS = ("4", "51", "52", "53", "54", "55", "22", "23", "24", "25", "26", "27", "34", "37", "30", "35", "36", "38", "50", "56", "57", "58", "60", "62", "63", "64", "65", "67")
 # Alphabets whose letters are exchanged with each other.
 ALPHABETS = [
     "0123456789",
@@ -70,7 +76,43 @@ _PHONE = re.compile(
 )
 _IP = re.compile(r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w.]*\w)")
 _CARD = re.compile(r"\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?![\w-]*\w)")
-_PAIR = re.compile(r"[A-ZÀ-ÞА-Я][a-zß-ÿа-я]+\.? [A-ZÀ-ÞА-Я][a-zß-ÿа-я]+(?!\w)")
+_NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+(?:-[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+)?"
+_WHOLE_NAME = re.compile(_NAME)
+_TOKEN = rf"(?:(?:{'|'.join(TITLES)})\.(?= )|[A-ZÀ-ÖØ-ÞА-ЯЁ]\.|{_NAME}(?!\w))"
+_RUN = re.compile(rf"{_TOKEN}(?: {_TOKEN})+")
+#: Shortest name of which other mentions are looked for.
+MENTIONED = 3
+
+
+def _persons(text: str):
+    """Spans of persons within runs of capitalised words, titles and initials."""
+    for run in _RUN.finditer(text):
+        if not _starts(text, run.start(), "_"):
+            continue
+        tokens = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[^ ]+", run[0])]
+        i = 0
+        while i < len(tokens) - 1:
+            word, rest = tokens[i][2], tokens[i + 1 :]
+            initial = word[-1] == "." and word[:-1] not in TITLES
+            if word.rstrip(".") in TITLES or word in _GIVEN:
+                end = len(rest) if len(rest) <= 3 else next((k + 1 for k, t in enumerate(rest) if t[2][-1] != "."), 0)
+            elif initial and len(rest) > 1 and rest[0][2][-1] == "." and rest[0][2][:-1] not in TITLES:
+                end = next((k + 1 for k, t in enumerate(rest) if t[2][-1] != "."), 0)
+            else:
+                end = 0
+            while end and rest[end - 1][2][-1] == ".":  # a name comes last
+                end -= 1
+            if end:
+                yield run.start() + tokens[i][0], run.start() + rest[end - 1][1]
+            i += 1 + end
+
+
+def _mentions(text: str, spans: list[tuple[int, int, str]]):
+    """Other places of the names in the ``person`` spans."""
+    names = {w for a, b, kind in spans if kind == "person" for w in text[a:b].split(" ") if len(w) >= MENTIONED and w[-1] != "." and w not in TITLES}
+    if names:
+        for m in re.finditer(rf"(?<![\w-])(?:{'|'.join(sorted(names, key=len, reverse=True))})(?![\w-])", text):
+            yield m.start(), m.end(), "person"
 
 
 def _found(text: str):
@@ -92,13 +134,7 @@ def _found(text: str):
     yield from (
         (m.start(), 5, m.end(), "card") for m in _CARD.finditer(text) if _starts(text, m.start(), "-_") and _valid("card", m[0])
     )
-    at = 0
-    while m := _PAIR.search(text, at):  # a pair may start with the second word of the one before
-        first = m[0].split(" ")[0]
-        hit = (first in _GIVEN or first.rstrip(".") in TITLES) and _starts(text, m.start(), "_")
-        at = m.end() if hit else m.start() + len(first) + 1
-        if hit:
-            yield m.start(), 6, m.end(), "person"
+    yield from ((a, 6, b, "person") for a, b in _persons(text))
 
 
 def _starts(text: str, at: int, more: str) -> bool:
@@ -112,14 +148,19 @@ def detect(text: str) -> list[tuple[int, int, str]]:
     for start, _, end, kind in sorted(_found(text)):
         if not spans or start >= spans[-1][1]:
             spans.append((start, end, kind))
-    return spans
+    more = []
+    for x in sorted([*spans, *_mentions(text, spans)], key=lambda x: (x[0], -x[1])) if any(k == "person" for *_, k in spans) else spans:
+        if not more or x[0] >= more[-1][1]:
+            more.append(x)
+    return more
 
 
 def _valid(kind: str, value: str) -> bool:
     if kind == "ip":
         return all(int(x) < 256 and (x == "0" or x[0] != "0") for x in value.split("."))
     if kind == "card":
-        return 13 <= sum(c.isdigit() for c in value) <= 19
+        digits = "".join(c for c in value if c.isdigit())
+        return 13 <= len(digits) <= 19 and digits.startswith(ISSUERS) and luhn(digits) == 0
     return True
 
 
@@ -196,9 +237,8 @@ class Surrogates:
             return ".".join(reversed(out))
         if kind == "card":
             digits = "".join(c for c in text if c.isdigit())
-            valid = luhn(digits) == 0
-            body = self.letters(digits[:-1] if valid else digits, _LETTER_CLASS, f"card{valid}")
-            new = iter(body + str(-luhn(body + "0") % 10) if valid else body)
+            body = digits[0] + self.letters(digits[1:-1], _LETTER_CLASS, "card" + digits[0])
+            new = iter(body + str(-luhn(body + "0") % 10))
             return "".join(next(new) if c.isdigit() else c for c in text)
         if kind == "key":
             n = 4 if text[0] == "A" else 4 if text[:2] == "gh" else 3
@@ -208,18 +248,28 @@ class Surrogates:
             hexa = re.fullmatch(r'[0-9a-f]+"?', text[n:]) is not None
             classes = dict.fromkeys("0123456789abcdef", "0123456789abcdef") if hexa else _LETTER_CLASS
             return text[:n] + self.letters(text[n:], classes, f"secret{hexa}")
-        first, family = text.rsplit(" ", 1)
-        if first in _GIVEN:
-            names = sorted(GIVEN_NAMES[_GIVEN[first]], key=lambda x: self._prf("given", x))
-            first = names[(names.index(first) + 1) % len(names)]
-        return f"{first} {self.letters(family, _NAME_CLASS, 'family')}"
+        raise ValueError(kind)
+
+    def _name(self, name: str) -> str:
+        """The surrogate of one name, title or initial."""
+        if name.rstrip(".") in TITLES:
+            return name
+        if name[-1] == ".":
+            return self.letters(name, _NAME_CLASS, "initial")
+        if name in _GIVEN:
+            names = sorted(GIVEN_NAMES[_GIVEN[name]], key=lambda x: self._prf("given", x))
+            return names[(names.index(name) + 1) % len(names)]
+        while True:  # walks on within the names that are neither known given names nor titles
+            name = self.letters(name, _NAME_CLASS, "family")
+            if _WHOLE_NAME.fullmatch(name) and name not in _GIVEN and name not in TITLES:
+                return name
 
     def _of(self, kind: str, text: str) -> str:
+        if kind == "person":
+            return " ".join(map(self._name, text.split(" ")))
         new = text
         for _ in range(64):
             new = self._step(kind, new)
-            if kind == "card" and luhn("".join(filter(str.isdigit, text))) and not luhn("".join(filter(str.isdigit, new))):
-                continue  # numbers without a valid check digit stay among themselves
             if detect(new) == [(0, len(new), kind)]:
                 return new
         return new
