@@ -5,10 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
+_SCRATCH: list[list[DataFrame]] = []
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -36,9 +39,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._motifline_path = path
+    for made in _SCRATCH:
+        made.append(out)
     return out
 
 
+@contextmanager
+def scratch() -> Iterator[set[DataFrame]]:
+    """Deletes at its end every table that was written inside, but those that were added to its set."""
+    made: list[DataFrame] = []
+    kept: set[DataFrame] = set()
+    _SCRATCH.append(made)
+    try:
+        yield kept
+    finally:
+        _SCRATCH.remove(made)
+        for df in made:
+            if df not in kept:
+                discard(df)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table written by :func:`materialize` that nothing reads any more."""
     path = getattr(df, "_motifline_path", None)
