@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from motifline.llm import decontam, neardup, pii, quality, queries
-from motifline.session import materialize
+from motifline.session import discard, materialize, scratch
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +40,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table, each result written and read again."""
+    """All stages over the documents table, each result written and read again; what a stage wrote besides is deleted."""
     docs = queries.table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = materialize(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        last = docs
+        with scratch() as kept:
+            docs = materialize(stage(spark, last, sf_dir), name)
+            kept.add(docs)
+        discard(last)
+    return STAGES[-1][1](spark, docs, sf_dir)

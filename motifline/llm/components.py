@@ -84,4 +84,6 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         discard(last)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
+    out = now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
+    out._motifline_path = now._motifline_path
+    return out

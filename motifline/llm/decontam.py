@@ -15,6 +15,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from motifline.llm.text import alnum_words, col, fresh, map_batches, texts
 
@@ -88,7 +89,7 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 _SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
-_FIELDS = [("n_words", "bigint"), ("spans", "array<struct<start:int,end:int>>"), ("items", "array<bigint>")]
+_FIELDS = [("n_words", "bigint"), ("spans", "array<struct<start:int,end:int>>"), ("items", "array<{}>")]
 
 
 def find_contamination(
@@ -106,8 +107,10 @@ def find_contamination(
     that adds its hits to those before, so no benchmark size needs more memory and nothing is shuffled.
     """
     bench = benchmark.select(
-        col(item_col).cast("bigint").alias("item"), F.coalesce(col(item_text_col), F.lit("")).alias("text")
+        col(item_col).alias("item"), F.coalesce(col(item_text_col), F.lit("")).alias("text")
     ).distinct()
+    kind = bench.schema["item"].dataType
+    fields = [t.format(kind.simpleString()) for _, t in _FIELDS]
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // MAX_PASS_BYTES))
     names: list[str] = []
@@ -119,14 +122,12 @@ def find_contamination(
         rows = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()
         items = [(r["item"], r["text"].encode()) for r in rows]
         inputs, seen = ([text_col, *names[1:]], base) if k else ([text_col], base)
-        out = map_batches(out, inputs, list(zip(names, [t for _, t in _FIELDS])), _searcher(items, window), seen).toDF(
-            *base, *names
-        )
+        out = map_batches(out, inputs, list(zip(names, fields)), _searcher(items, window, to_arrow_type(kind)), seen).toDF(*base, *names)
     final = out.select(*[col(c) for c in carry], *[col(n) for n in names])
     return final.toDF(*carry, *[fresh(n, carry) for n, _ in _FIELDS])
 
 
-def _searcher(items: list[tuple[int | None, bytes]], window: int):
+def _searcher(items: list[tuple[object, bytes]], window: int, kind: pa.DataType):
     def factory():
         searchers = build(items, window)
 
@@ -139,7 +140,7 @@ def _searcher(items: list[tuple[int | None, bytes]], window: int):
                 n.append(len(words))
                 hits.append([{"start": a, "end": b} for a, b in merge([*got, *((s["start"], s["end"]) for s in old)])])
                 found.append(sorted({*items_got, *ids}, key=str))
-            return [pa.array(n, pa.int64()), pa.array(hits, pa.list_(_SPAN)), pa.array(found, pa.list_(pa.int64()))]
+            return [pa.array(n, pa.int64()), pa.array(hits, pa.list_(_SPAN)), pa.array(found, pa.list_(kind))]
 
         return run
 

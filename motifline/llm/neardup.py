@@ -482,12 +482,14 @@ def near_duplicate_groups(
         inside = spans.join(of_giants.withColumnRenamed("digest", "a"), "a", "left_semi")
         found = _dense_links(src, active, inside, found, shingle, percent)
         discard(active)
+    discard(spans), discard(members)
     member = classes.select("digest", "id").join(found, F.col("digest") == F.col("node")).drop("node")
     member = materialize(member, "linked")
     first = member.groupBy("component").agg(F.min("id").alias("first"))
     named = join_unique(member, first, "component").select("digest", F.col("first").alias("of"))
     names = classes.select("digest", F.col("id").alias("own")).join(named, "digest", "left")
     names = materialize(names.select("digest", F.coalesce("of", "own").alias("component_id")), "names")
+    discard(member), discard(classes)
     some, none = signed.where("digest is not null"), signed.where("digest is null")
     out = join_unique(some.select("id", "h", "n", "digest"), names, "digest").drop("digest")
     out = out.unionByName(none.select("id", "h", "n", F.col("id").alias("component_id")))

@@ -174,6 +174,68 @@ def test_quality_held_out(spark, odd):
     assert quality.select_documents(odd, None).count() == len(ROWS)
 
 
+def test_ordinal_fit_is_the_least_of_its_objective():
+    """Weights and thresholds against the objective written out: no step in any direction lowers it."""
+    rng = np.random.default_rng(21)
+    rows = [np.unique(rng.integers(0, 30, 6)).astype(np.int32) for _ in range(200)]
+    hidden = rng.normal(size=30)
+    s = np.array([hidden[r].sum() for r in rows])
+    grades = np.digitize(s + rng.logistic(size=200), [-1.0, 1.5])
+    w, cut = quality.fit_ordinal(rows, grades, 2, steps=4000, rate=0.02)
+    share = (200 / np.bincount(grades, minlength=3) / 3)[grades] ** 0.5
+
+    def objective(weights, cuts):
+        total = 0.0
+        for r, y, k in zip(rows, grades, share):
+            above = [1.0, *(1 / (1 + np.exp(-(weights[r].sum() - c))) for c in cuts), 0.0]
+            total -= k * np.log(above[y] - above[y + 1])
+        return total / 200 + 2e-3 / 2 * (weights**2).sum()
+
+    w = w.astype(np.float64)
+    least = objective(w, cut)
+    for i in range(30):
+        for step in (0.05, -0.05):
+            other = w.copy()
+            other[i] += step
+            assert objective(other, cut) > least - 1e-5
+    for step in ([0.05, 0], [-0.05, 0], [0, 0.05], [0, -0.05]):
+        assert objective(w, cut + step) > least - 1e-5
+    assert cut[0] < cut[1] and np.corrcoef(w[:30], hidden)[0, 1] > 0.8
+
+
+def test_grades_equal_a_plain_calculation(spark):
+    import xxhash
+
+    rng = random.Random(22)
+    words = ["alpha", "Beta", "gammaray", "!!", "...", "x", "Ünïcode", "|"]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(0, 30))), "clash", 0.5, True) for i in range(80)] + [(None, None, None, None, None), (80, "long " * 30_000, "c", 0.1, False)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, tails string, p_tail double, accepted boolean")
+    weights, cut = np.random.default_rng(0).normal(size=1 << quality.BITS).astype(np.float32), np.array([-1.0, 2.0])
+
+    def score(t):
+        t, found = (t or ""), set()
+        low = "".join(c.lower() if c.isascii() and c.isalpha() else c for c in t)
+        for w in "".join(c if not c.isascii() or c.isalnum() else " " for c in low).split(" "):
+            if w:
+                found.add(b"w" + w.encode())
+                if len(w.encode()) > 5:
+                    found.add(b"s" + w.encode()[:5])
+        marks = [m for m in __import__("re").findall(r"[!-/:-@\[-`{-~]{2,4}|\|", t)]
+        found |= {b"p" + m.encode() for m in marks}
+        lines = [x for x in t.split("\n") if x]
+        letters, capitals = sum(c.isascii() and c.isalpha() for c in t), sum(c.isascii() and c.isupper() for c in t)
+        found |= {b"capitals%d" % (8 * capitals // max(1, letters)), b"marks%d" % min(9, 40 * len(marks) // max(1, t.count(" "))), b"lines%d" % (8 * (len(lines) - len(set(lines))) // max(1, len(lines)))}
+        return sum(float(weights[i]) for i in {xxhash.xxh32_intdigest(f) & quality._MASK for f in found})
+
+    got = quality.grade_documents(df, (weights, cut), df.columns).collect()
+    for r, (_, t, *_) in zip(got, rows):
+        p = [1 / (1 + np.exp(-(score(t) - c))) for c in cut]
+        assert r[-4] == pytest.approx(sum(p), abs=1e-4) and r[-2] == pytest.approx(p, abs=1e-4) and r[-1] == (r[-3] >= 0.3)
+    kept = quality.select_documents(df, (weights, cut))
+    assert kept.columns == df.columns and kept.count() == sum(r[-1] for r in got)
+    assert quality.select_documents(df.limit(0), (weights, cut)).count() == 0
+
+
 def test_packing(spark, odd):
     got = packing.pack_documents(odd, WORDS, capacity=64).collect()
     by: dict = {}
@@ -298,7 +360,11 @@ def test_contamination_equals_brute_force(spark, odd, monkeypatch):
         assert [(r["doc_id"], r["n_words"], sum(s["end"] - s["start"] for s in r["spans"]), r["items"]) for r in rows] == want
     assert decontam.decontaminate(odd, b).count() <= len(ROWS)
     assert decontam.decontaminate(odd, b.limit(0)).count() == len(ROWS)
-    assert decontam.decontaminate(odd.limit(0), b).columns == odd.columns
+    none = decontam.decontaminate(odd.limit(0), b)
+    assert none.columns == odd.columns and none.count() == 0
+    named = b.selectExpr("concat('item ', item_id) AS item_id", "text")
+    rows = decontam.find_contamination(d, named, ["doc_id"], window=4).collect()
+    assert [r["items"] for r in rows] == [sorted(f"item {x}" for x in w[3]) for w in want]
 
 
 def test_near_duplicates_equal_brute_force(spark, odd):
@@ -552,6 +618,45 @@ def test_language_model(spark, odd):
     assert len(lm.score_documents(odd, WORDS).collect()) == len(ROWS)
 
 
+def test_language_model_without_training_text(spark):
+    """All documents held out: nothing is known, the base is 0 and the model uniform over classes and ids."""
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 1][:6]
+    rows = [(i, t, "clash", 1.0) for i, t in zip(held, ["the cat", None, "", "x " * 5000, "the cat", "dog"])]
+    got = {r["id"]: r for r in lm.score_documents(spark.createDataFrame(rows, "doc_id bigint, text string, score string, base_score double"), WORDS).collect()}
+    assert len(got) == 6 and all(r["held_out"] and r["train_tokens"] == 0 and r["n_known"] == 0 and r["base_score"] == 0 and np.isfinite(r["score"]) and r["score"] < 0 for r in got.values())
+    for a, b in ((0, 4), (1, 2)):  # float32 sums depend on the place in a batch
+        assert got[held[a]]["score"] == pytest.approx(got[held[b]]["score"], rel=1e-6)
+
+
+def test_scores_do_not_depend_on_the_partitions(spark):
+    rng = random.Random(23)
+    rows = [(i, " ".join(rng.choices("the cat sat on a mat and then some".split(), k=rng.randint(1, 40)))) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    one, two = ({r["id"]: r["score"] for r in lm.score_documents(df.repartition(n), WORDS).collect()} for n in (1, 5))
+    assert one.keys() == two.keys() and all(one[i] == pytest.approx(two[i], rel=1e-5) for i in one)
+
+
+def test_replicas_are_averaged_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(lm, "AVERAGED", 3)
+    rng, rows = np.random.default_rng(24), []
+    for i in range(11):
+        rows.append((i, {k: rng.normal(size=(2, 2)).astype(np.float32) for k in lm.TRAINED}, int(rng.integers(1, 9))))
+    df = spark.createDataFrame([(i, bytearray(lm._pack(w)), n) for i, w, n in rows], "replica bigint, w binary, steps bigint")
+    got, total = lm._average(df, 11), sum(n for *_, n in rows)
+    for k in lm.TRAINED:
+        assert np.allclose(got[k], sum(w[k].astype(float) * n for _, w, n in rows) / total, atol=1e-5)
+    assert lm._average(df.limit(0), 1) is None
+
+
+def test_frequent_words_stay_within_their_bound(spark, monkeypatch):
+    counts = spark.createDataFrame([(bytearray(f"w{i}".encode()), 1 + i * i // 7) for i in range(300)], "word binary, c bigint")
+    for bound in (1, 10, 100, 299, 300, 1000):
+        monkeypatch.setattr(lm, "FREQUENT", bound)
+        n = counts.where(counts["c"] >= lm._least_frequent(counts)).count()
+        assert min(bound, 300) / 2 - 5 <= n <= bound
+    assert counts.where(counts["c"] >= lm._least_frequent(counts.limit(0))).count() == 0
+
+
 def test_language_model_is_a_distribution_and_scores_each_id_once():
     counts = np.zeros(5000)
     counts[:3000] = np.arange(3000, 0, -1)
@@ -628,6 +733,30 @@ def test_token_counts_equal_the_tokenizer(spark, odd):
     for _ in range(3000):
         x = "".join(rng.choices(parts, k=rng.randint(0, 14)))
         assert sum(counter[w][0] for w in x.encode().split()) == len(plain.encode(x, add_special_tokens=False).ids), x
+    worth = dict(vocab[1:])
+    least = min(v for _, v in vocab) - 10
+
+    def best(word):
+        """(-score, pieces, unknown) over all segmentations of a word, by brute force."""
+        if not word:
+            return 0.0, 0, 0, False
+        ways = []
+        for k in range(1, len(word) + 1):
+            head, (s, n, u, odd_) = word[:k], best(word[k:])
+            if head in worth:
+                ways.append((s + worth[head], n + 1, u, False))
+            elif k == 1:
+                ways.append((s + least, n + (not odd_), u + (not odd_), True))
+        return max(ways, key=lambda w: w[0])
+
+    for _ in range(300):
+        x = "".join(rng.choices([p for p in parts if not p.isspace()], k=rng.randint(1, 4)))[:9]
+        n, unknown, score = counter[x.encode()]
+        want = best(x if x[0] == "▁" else "▁" + x)
+        assert score == pytest.approx(want[0]) and (n, unknown) == want[1:3], x
+    clash = spark.createDataFrame([(1, "a b", "x", 2), (None, None, None, None)], "doc_id bigint, text string, n_tokens string, score int")
+    assert [r[-3] > 0 for r in tokencount.count_tokens(clash, queries.tokenizer_path(queries.PIECE_MODEL), clash.columns).collect()] == [True, False]
+    assert tokencount.count_tokens(clash.limit(0), queries.tokenizer_path(queries.PIECE_MODEL), ["doc_id"]).count() == 0
     out = tokencount.count_tokens(odd, queries.tokenizer_path(queries.PIECE_MODEL), odd.columns).collect()
     assert [r["n_tokens"] > 0 for r in out] == [bool(r[1]) for r in ROWS]
 
@@ -671,4 +800,82 @@ def test_pipeline(spark):
     for r in out[:50]:
         data = (ids.encode(left[r["doc_id"]].encode()) + bytes(4))[4 * r["start"] : 4 * (r["start"] + r["length"])]
         assert zlib.crc32(data) == r["ids_crc32"]
-    assert hashlib.sha256(b"").hexdigest()
+
+
+def _components(sets, percent=80):
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    return [find(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_equals_brute_force(spark, tmp_path, empty):
+    """All stages on nulls, repeated rows, ties, long texts and clashing columns, against plain Python."""
+    import corpus_pipeline
+
+    rng = random.Random(25)
+    words = ["".join(rng.choices("bcdfghjklm", k=5)) for _ in range(400)]
+    bench = [" ".join(rng.choices(words, k=20)) for _ in range(4)] + [None, ""]
+    base = [" ".join(rng.choices(words, k=60)) for _ in range(40)]
+    docs = []
+    for i in range(0 if empty else 90):
+        w = base[rng.randrange(40)].split()
+        for _ in range(rng.choice([0, 1, 4])):
+            w[rng.randrange(60)] = rng.choice(words)
+        docs.append((i, " ".join(w)))
+    if not empty:
+        docs += [(90, base[0] + " scum idiot " * 20), (91, base[1] + " " + bench[0]), (92, None), (93, ""), (94, base[2] + " mail anna@x.org or Anna Berg"), (95, "z " * 9000), (96, base[3] + " scum idiot " * 20)]
+        docs += [docs[5], docs[92], (None, base[4])]
+    rows = [(i, t, "en", "s", None if t is None else len(t), "clash", i, "clash") for i, t in docs]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars int, n_words string, component_id bigint, accepted string"
+    labels = [] if empty else [(i, int(i % 9 > 0), int(i in (90, 96))) for i in range(97)]
+    for name, data, kind in (("documents", rows, schema), ("labels", labels, "doc_id bigint, quality int, toxic int"), ("benchmark", list(enumerate(bench)), "item_id bigint, text string")):
+        spark.createDataFrame(data, kind).coalesce(2).write.parquet(str(tmp_path / f"{name}.parquet"))
+    sf = str(tmp_path)
+    table = queries.table(spark, sf, "documents")
+    model = quality.fit(table, queries.table(spark, sf, "labels"), quality.rating(), 2)
+
+    def accepted(t):
+        return model is None or quality.sigmoid(np.float64(model[0][quality.features((t or "").encode())].sum(dtype=np.float64)) - model[1][1]) >= 0.3
+
+    left = sorted([(i, t) for i, t in docs if accepted(t)], key=lambda d: (d[0] is None, d[0] or 0))
+    sets = [set(neardup.shingle_set((t or "").encode(), 5).tolist()) for _, t in left]
+    root, seen, kept = _components(sets), set(), []
+    for k, (i, t) in enumerate(left):
+        if i is None or not sets[k]:
+            kept.append((i, t))
+        elif root[k] == k or left[root[k]][0] == i:
+            if i not in seen:
+                kept.append((i, t))
+            seen.add(i)
+    windows = {tuple(text.alnum_words(b.encode())[k : k + 13]) for b in bench if b for k in range(8)}
+    s, want = pii.Surrogates(queries.SURROGATE_KEY), []
+    for i, t in kept:
+        w, hit = text.alnum_words((t or "").encode()), set()
+        for k in range(len(w) - 12):
+            if tuple(w[k : k + 13]) in windows:
+                hit.update(range(k, k + 13))
+        if not (hit and 20 * len(hit) >= len(w)):
+            want.append((i, None if t is None else s.replace(t)[0]))
+    ids = text.WordIds(WORDS)
+    out = corpus_pipeline.run(spark, sf).collect()
+    pieces = []
+    for i, t in want:
+        data = ids.encode((t or "").encode()) + bytes(4)
+        pieces += [(repr(i), k, zlib.crc32(data[8192 * k : 8192 * (k + 1)]) & 0xFFFFFFFF) for k in range(-(-len(data) // 8192))]
+    assert sorted((repr(r["doc_id"]), r["piece"], r["ids_crc32"]) for r in out) == sorted(pieces)
+    if not empty:
+        assert len(want) < len(kept) < len(left) < len(docs) and any("x.org" not in (t or "") for i, t in want if i == 94)
+        used: dict = {}
+        for r in out:
+            used.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        assert all(sum(n for _, n in p) <= 2048 and all(a[0] + a[1] == b[0] for a, b in zip(sorted(p), sorted(p)[1:])) and min(p)[0] == 0 for p in used.values())
