@@ -49,24 +49,25 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
 
 
 def propagate(seeds: DataFrame, links: DataFrame, damping: float = 0.85, tolerance: float = 1e-9) -> tuple[DataFrame, int]:
-    """(host, score) of score = seed + damping * what linking hosts pass on, and the rounds it took.
+    """(kind, host, score) of score = seed + damping * what linking hosts of the kind pass on, and the rounds it took.
 
-    A round passes on what the round before has brought; the rounds end when it brings no host more than
-    ``tolerance``. What is under way shrinks by the damping in each, so they end.
+    seeds: (kind, host, score), links: (kind, a, b), all kinds at once. A round passes on what the round before has
+    brought; the rounds end when it brings no host more than ``tolerance``. What is under way shrinks by the damping
+    in each, so they end.
     """
-    out = links.groupBy("a").agg(F.count("*").alias("n"))
-    links = materialize(links.join(out, "a").select("a", "b", (damping / F.col("n")).alias("pass")), "links")
+    out = links.groupBy("kind", "a").agg((damping / F.count("*")).alias("pass"))
+    links = materialize(links.join(out, ["kind", "a"]).withColumnRenamed("a", "host"), "links")
     flow, flows = seeds, [seeds]
     while True:
-        flow = flow.join(links, flow["host"] == links["a"]).select(F.col("b").alias("host"), (F.col("score") * F.col("pass")).alias("score"))
-        flow = materialize(flow.groupBy("host").agg(F.sum("score").alias("score")), "flow")
+        flow = flow.join(links, ["kind", "host"]).select("kind", F.col("b").alias("host"), (F.col("score") * F.col("pass")).alias("score"))
+        flow = materialize(flow.groupBy("kind", "host").agg(F.sum("score").alias("score")), "flow")
         flows.append(flow)
         if (flow.agg(F.max("score")).first()[0] or 0) <= tolerance:
             break
     total = flows[0]
     for f in flows[1:]:
         total = total.unionByName(f)
-    scores = materialize(total.groupBy("host").agg(F.sum("score").alias("score")), "scores")
+    scores = materialize(total.groupBy("kind", "host").agg(F.sum("score").alias("score")), "scores")
     for f in [links, *flows[1:]]:
         discard(f)
     return scores, len(flows) - 1
@@ -97,14 +98,13 @@ def judge_pages(
     share = lambda kind: F.avg(F.coalesce((F.col("ruled") == kind).cast("double"), F.lit(0.0)))
     hosts = judged.where("host <> ''").groupBy("host").agg(share("allow").alias("allow"), share("block").alias("block"))
     hosts = materialize(hosts, "hosts")
-    scores, most = [], 0
-    linked = links.limit(1).count()
-    for name, kind, way in (("trust", "allow", links), ("distrust", "block", links.select(F.col("b").alias("a"), F.col("a").alias("b")))):
-        seeds = hosts.where(F.col(kind) > 0).select("host", F.col(kind).alias("score"))
-        found, rounds = propagate(seeds, way, damping, tolerance) if linked else (seeds, 0)
-        most = max(most, rounds)
-        scores.append(found.withColumnRenamed("score", name))
-    both = scores[0].join(scores[1], "host", "full")
+    kinds = (("trust", "allow", links.select("a", "b")), ("distrust", "block", links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    seeds = [hosts.where(F.col(rule) > 0).select(F.lit(kind).alias("kind"), "host", F.col(rule).alias("score")) for kind, rule, _ in kinds]
+    ways = [way.withColumn("kind", F.lit(kind)) for kind, _, way in kinds]
+    scores, most = seeds[0].unionByName(seeds[1]), 0
+    if links.limit(1).count():
+        scores, most = propagate(scores, ways[0].unionByName(ways[1]), damping, tolerance)
+    both = scores.groupBy("host").agg(*[F.max(F.when(F.col("kind") == kind, F.col("score"))).alias(kind) for kind, *_ in kinds])
     wrong = F.coalesce("distrust", F.lit(0.0)) - F.coalesce("trust", F.lit(0.0)) > threshold
     return join_unique(judged.drop("html"), both, "host", "left").select(
         "id", "host", "path", "rule", F.coalesce("ruled", F.when(wrong, "block").otherwise("allow")).alias("verdict"), "trust", "distrust", F.lit(most).alias("rounds")
