@@ -8,8 +8,8 @@ gathered and nothing is shuffled. Digits stay digits, letters keep case and scri
   classes; a Feistel network over that range, walked on until the value is in range, permutes them. A
   card with a valid check digit gets a valid one. After each step the surrogate must be detected as the
   same type again, else the walk goes on (the collision check between types).
-* person: found by structure: a title or a known given name before capitalised words and initials, or two initials
-  before a name. Every name in it has its own surrogate: a known given name goes to the next one of its gender and
+* person: found by structure: a title or a known given name before capitalised words and initials, or, within a
+  sentence, two initials before a name. Every name in it has its own surrogate: a known given name goes to the next one of its gender and
   script in a keyed order, other names are permuted letter by letter, vowels to vowels and consonants to consonants,
   initials likewise, titles stay. Other mentions in the text of a name that was found so get the same surrogate
   ("Anna Kowalski ... Anna said"). Names that nothing of this marks are not found.
@@ -84,6 +84,11 @@ _RUN = re.compile(rf"{_TOKEN}(?: {_TOKEN})+")
 MENTIONED = 3
 
 
+def _inside(text: str, at: int) -> bool:
+    """Whether ``at`` is within a sentence: at its start a capital with a full stop may be a sentence of one letter."""
+    return at > 1 and text[at - 1] == " " and text[at - 2] not in ".!?:\n"
+
+
 def _persons(text: str):
     """Spans of persons within runs of capitalised words, titles and initials."""
     for run in _RUN.finditer(text):
@@ -96,7 +101,7 @@ def _persons(text: str):
             initial = word[-1] == "." and word[:-1] not in TITLES
             if word.rstrip(".") in TITLES or word in _GIVEN:
                 end = len(rest) if len(rest) <= 3 else next((k + 1 for k, t in enumerate(rest) if t[2][-1] != "."), 0)
-            elif initial and len(rest) > 1 and rest[0][2][-1] == "." and rest[0][2][:-1] not in TITLES:
+            elif initial and len(rest) > 1 and rest[0][2][-1] == "." and rest[0][2][:-1] not in TITLES and _inside(text, run.start() + tokens[i][0]):
                 end = next((k + 1 for k, t in enumerate(rest) if t[2][-1] != "."), 0)
             else:
                 end = 0

@@ -480,6 +480,7 @@ def test_persons_by_structure_and_their_mentions():
         "Today Dr. Zofia Nowak came": ["Dr. Zofia Nowak"],
         "saw J. R. Hobbs there": ["J. R. Hobbs"],
         "vitamin C. The rest": [],
+        "It was so. A. B. Then more": [],
         "Anna Maria Kowalski-Nowak said": ["Anna Maria Kowalski-Nowak"],
         "John F. Kennedy": ["John F. Kennedy"],
         "Das Haus Und Der Garten": [],
