@@ -76,10 +76,11 @@ _PHONE = re.compile(
 )
 _IP = re.compile(r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w.]*\w)")
 _CARD = re.compile(r"\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?![\w-]*\w)")
+_CAPITAL = "[A-ZÀ-ÖØ-ÞА-ЯЁ]"
 _NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+(?:-[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+)?"
 _WHOLE_NAME = re.compile(_NAME)
 _TOKEN = rf"(?:(?:{'|'.join(TITLES)})\.(?= )|[A-ZÀ-ÖØ-ÞА-ЯЁ]\.|{_NAME}(?!\w))"
-_RUN = re.compile(rf"{_TOKEN}(?: {_TOKEN})+")
+_RUN = re.compile(rf"(?={_CAPITAL}\S* {_CAPITAL}){_TOKEN}(?: {_TOKEN})+")  # most words fail at the lookahead
 #: Shortest name of which other mentions are looked for.
 MENTIONED = 3
 
