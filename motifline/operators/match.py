@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from motifline.operators.filters import candidates
 from motifline.operators.graph import LabeledGraph
 from motifline.operators.growth import eliminated, grow
+from motifline.operators.triangles import count_triangles, is_triangle
 from motifline.plans.pattern import QueryGraph
 from motifline.plans.planner import Plan, Step, make_plan
 
@@ -140,7 +141,9 @@ class Matcher:
         return run_steps(self.graph, plan, self.config).select(*[name(u) for u in query.labels])
 
     def count(self, query: QueryGraph) -> DataFrame:
-        """(n_matches)."""
+        """(n_matches); triangles of one label by blocks of edges, unless candidates or intersections are asked for."""
+        if is_triangle(query) and not self.config.grow and not self.config.intersect:
+            return count_triangles(self.graph, next(iter(query.labels.values())))
         return count_plan(self.graph, self.plan(query), self.config)
 
     def count_workload(self, workload: list[QueryGraph]) -> DataFrame:

@@ -59,6 +59,21 @@ def scratch() -> Iterator[set[DataFrame]]:
                 discard(df)
 
 
+@contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside leave no shuffle files behind, which else stay until the driver collects their plans."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table written by :func:`materialize` that nothing reads any more."""
     path = getattr(df, "_motifline_path", None)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motifline.operators.graph import LabeledGraph
+from motifline.session import shuffles_deleted
 
 _LOADED: dict[tuple, LabeledGraph] = {}
 
@@ -26,7 +27,8 @@ def loaded(spark: SparkSession, paths: list[str], kind: str, build: Callable[[],
     if key not in _LOADED:
         for old in [k for k in _LOADED if k[0] != key[0]]:
             del _LOADED[old]  # of a session that has ended
-        _LOADED[key] = build().stored()
+        with shuffles_deleted(spark):
+            _LOADED[key] = build().stored()
     return _LOADED[key]
 
 
@@ -40,8 +42,10 @@ def part_graph(spark: SparkSession, sf_dir: str, unlabelled: bool = False) -> La
         vertices = part.select(F.col("p_partkey").cast("bigint").alias("id"), label.alias("label"))
         sold = line.select(F.col("l_orderkey").alias("o"), F.col("l_partkey").cast("bigint").alias("id")).distinct().join(vertices, "id")
         side = lambda name: sold.select("o", F.col("id").alias(name), F.col("label").alias(f"{name}_label"))
-        edges = side("src").join(side("dst"), "o").where("src <> dst").select("src", "src_label", "dst", "dst_label")
-        return LabeledGraph(vertices, edges.distinct())
+        names = ["src", "src_label", "dst", "dst_label"]
+        pairs = side("src").join(side("dst"), "o").where("src < dst").select(*names).distinct()  # one direction is shuffled, both are kept
+        turned = F.struct(*(F.col(x).alias(y) for x, y in zip(["dst", "dst_label", "src", "src_label"], names)))
+        return LabeledGraph(vertices, pairs.select(F.inline(F.array(F.struct(*names), turned))))
 
     return loaded(spark, paths, f"part {unlabelled}", build)
 

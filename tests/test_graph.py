@@ -274,3 +274,27 @@ def test_two_phase_equals_one_phase(spark):
     df = spark.range(1000).selectExpr("id % 3 AS k", "id % 37 AS x")
     got = aggregate.two_phase(df, ["k"], {"n": F.countDistinct("x"), "m": F.max("x")}, {"n": F.sum("n"), "m": F.max("m")}, ["x"]).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, df.groupBy("k").agg(F.countDistinct("x"), F.max("x")).collect()))
+
+
+def test_triangles_of_one_label_by_blocks(spark):
+    """Equal to brute force at any number of blocks, with a hub, ids of one residue and negative ones."""
+    import itertools
+    import random
+
+    from motifline.operators import triangles
+
+    g = random.Random(3)
+    ids = [(i - 20) * 1_000_000_007 for i in range(60)]
+    pairs = {tuple(sorted(g.sample(ids, 2))) for _ in range(500)} | {(ids[0], x) for x in ids[1:]}
+    near = {x: {b if a == x else a for a, b in pairs if x in (a, b)} for x in ids}
+    expected = 6 * sum(b in near[a] and c in near[a] and c in near[b] for a, b, c in itertools.combinations(ids, 3))
+    vertices = spark.createDataFrame([(x, 5) for x in ids] + [(1, 6)], "id long, label int")
+    graph = LabeledGraph.from_tables(vertices, spark.createDataFrame([*pairs, (1, ids[0])], "src long, dst long")).persisted()
+    for block in (1000, 120, 20):
+        assert triangles.count_triangles(graph, 5, block).first()[0] == expected
+    assert triangles.count_triangles(graph, 6).first()[0] == 0
+    query = QueryGraph.of([5, 5, 5], (0, 1), (1, 2), (0, 2))
+    assert Matcher(graph).embeddings(query).count() == expected
+    counted = Matcher(graph).count(query)
+    assert "left_semi" not in counted._jdf.queryExecution().logical().toString().lower().replace("leftsemi", "left_semi")  # no partial match is closed
+    assert counted.first()[0] == expected
