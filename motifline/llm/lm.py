@@ -93,10 +93,9 @@ _MASK = np.where(_FAR < 0, -1e9, 0).astype(np.float32)
 def attention(w: dict, rows: np.ndarray):
     """Causal attention over a batch of windows: state of each position, and what backward() needs."""
     x = np.take(w["E"], rows, axis=0)
-    many = np.concatenate([w[k] for k in "QKVU"], axis=1)
-    mixed = (x.reshape(-1, WIDTH) @ many).reshape(*x.shape[:-1], 4, WIDTH)
-    q, k, v, u = (np.ascontiguousarray(mixed[..., i, :]) for i in range(4))
-    a = q @ k.transpose(0, 2, 1)
+    mixed = np.matmul(x.reshape(-1, WIDTH), np.stack([w[k] for k in "QKVU"]))
+    q, k, v, u = mixed.reshape(4, *x.shape)
+    a = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
     a *= WIDTH**-0.5
     a += w["R"][np.maximum(_FAR, 0)] + _MASK
     np.exp(a, out=a)
@@ -138,46 +137,52 @@ def backward(w: dict, rows: np.ndarray, state, saved, target, valid: np.ndarray)
     group, member = (np.take(t, pick) for t in target)
     order = np.argsort(group.astype(np.int16), kind="stable")  # by group, each then one product
     pick, group, member = pick[order], group[order], member[order]
-    h = np.take(flat(state), pick, axis=0)
-    loss, dz = _cross_entropy(h @ w["O"] + w["b"], group, n)
-    g = {"O": h.T @ dz, "b": dz.sum(0), "O2": np.zeros_like(w["O2"]), "b2": np.zeros_like(w["b2"])}
+    h = np.ones((len(pick), WIDTH + 1), state.dtype)  # the last column takes the biases
+    h[:, :WIDTH] = np.take(flat(state), pick, axis=0)
+    top, low = np.vstack([w["O"], w["b"]]), np.concatenate([w["O2"], w["b2"][:, None]], axis=1)
+    loss, dz = _cross_entropy(h @ top, group, n)
     cuts = np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
     own = [(i, slice(lo, hi)) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if hi > lo]
     z2 = np.empty((len(h), GROUPS), h.dtype)
     for i, at in own:
-        np.matmul(h[at], w["O2"][i], out=z2[at])
-        z2[at] += w["b2"][i]
+        np.matmul(h[at], low[i], out=z2[at])
     more, dz2 = _cross_entropy(z2, member, n)
     loss += more
-    dpick = dz @ w["O"].T
+    dpick, dtop, dlow = np.empty((len(h), WIDTH), h.dtype), h.T @ dz, np.zeros_like(low)
     for i, at in own:
-        g["O2"][i], g["b2"][i] = h[at].T @ dz2[at], dz2[at].sum(0)
-        dpick[at] += dz2[at] @ w["O2"][i].T
-    dh = np.zeros_like(state)
+        np.matmul(h[at].T, dz2[at], out=dlow[i])
+        np.matmul(dz2[at], w["O2"][i].T, out=dpick[at])
+    dpick += dz @ w["O"].T
+    g = {"O": dtop[:WIDTH], "b": dtop[WIDTH], "O2": dlow[:, :WIDTH], "b2": dlow[:, WIDTH]}
+    mixed = np.empty((4, *state.shape), state.dtype)  # gradients of q, k, v and u
+    dh = mixed[3]
+    dh[...] = 0
     flat(dh)[pick] = dpick
-    dv = a.transpose(0, 2, 1) @ dh
-    ds = dh @ v.transpose(0, 2, 1)
-    ds -= (dh * c).sum(-1, keepdims=True)  # rows of a sum to 1
+    np.matmul(a.transpose(0, 2, 1), dh, out=mixed[2])
+    ds = dh @ np.ascontiguousarray(v.transpose(0, 2, 1))
+    ds -= np.einsum("bij,bij->bi", dh, c)[..., None]  # rows of a sum to 1
     ds *= a
     g["R"] = np.bincount(np.maximum(_FAR, 0).ravel(), ds.sum(0).ravel(), WINDOW)
     ds *= WIDTH**-0.5
-    mixed = np.concatenate([flat(ds @ k), flat(ds.transpose(0, 2, 1) @ q), flat(dv), flat(dh)], axis=1)
-    many = flat(x).T @ mixed
-    for i, name in enumerate("QKVU"):
-        g[name] = many[:, i * WIDTH : (i + 1) * WIDTH]
-    dx = mixed @ np.concatenate([w[name] for name in "QKVU"], axis=1).T
-    g["E"] = np.zeros_like(w["E"])
-    order = np.argsort(rows.astype(np.int16).ravel(), kind="stable")  # fewer than 32,768 rows
-    found, first = np.unique(rows.ravel()[order], return_index=True)
-    g["E"][found] = np.add.reduceat(np.take(dx, order, axis=0), first)
+    np.matmul(ds, k, out=mixed[0])
+    np.matmul(ds.transpose(0, 2, 1), q, out=mixed[1])
+    mixed = mixed.reshape(4, -1, WIDTH)
+    g |= zip("QKVU", flat(x).T @ mixed)
+    dx = mixed[0] @ w["Q"].T
+    for i, name in enumerate("KVU", 1):
+        dx += mixed[i] @ w[name].T
+    at = np.add(rows.reshape(-1, 1) * WIDTH, np.arange(WIDTH), dtype=np.int64).ravel()
+    g["E"] = np.bincount(at, dx.ravel(), w["E"].size).reshape(w["E"].shape)
     return loss, g
 
 
 def train(w: dict, batches, rate: float = 0.02) -> tuple[dict, int]:
     """Adam over (rows, target, valid) batches."""
-    w = {k: v.copy() for k, v in w.items()}
-    m = {k: np.zeros_like(v) for k, v in w.items()}
-    s = {k: np.zeros_like(v) for k, v in w.items()}
+    flat = np.concatenate([w[k].ravel() for k in TRAINED])  # all weights in one row, so that a step is few operations
+    cuts = np.cumsum([w[k].size for k in TRAINED])[:-1]
+    w = {k: x.reshape(w[k].shape) for k, x in zip(TRAINED, np.split(flat, cuts))}
+    slope, d, m, s = (np.zeros_like(flat) for _ in range(4))
+    into = {k: x.reshape(w[k].shape) for k, x in zip(TRAINED, np.split(slope, cuts))}
     t = 0
     for rows, target, valid in batches:
         t += 1
@@ -185,18 +190,20 @@ def train(w: dict, batches, rate: float = 0.02) -> tuple[dict, int]:
         _, g = backward(w, rows, state, saved, target, valid)
         lr = rate * min(1, t / 20) / (1 + t / 400) ** 0.5
         for k in TRAINED:
-            d = g[k].astype(w[k].dtype)
-            m[k] *= 0.9
-            m[k] += 0.1 * d
-            d *= d
-            s[k] *= 0.99
-            s[k] += 0.01 * d
-            np.sqrt(s[k], out=d)
-            d *= (1 - 0.99**t) ** -0.5
-            d += 1e-8
-            np.divide(m[k], d, out=d)
-            d *= lr / (1 - 0.9**t)
-            w[k] -= d
+            into[k][...] = g[k]
+        m *= 0.9
+        np.multiply(slope, 0.1, out=d)
+        m += d
+        np.multiply(slope, slope, out=d)
+        s *= 0.99
+        d *= 0.01
+        s += d
+        np.sqrt(s, out=d)
+        d *= (1 - 0.99**t) ** -0.5
+        d += 1e-8
+        np.divide(m, d, out=d)
+        d *= lr / (1 - 0.9**t)
+        flat -= d
     return w, t
 
 
@@ -231,7 +238,7 @@ def score_texts(w: dict, vocab: Vocabulary, ids: list[np.ndarray], chunk: int =
         at = np.minimum(at, lengths[t][:, None] - 1) + first[t][:, None]
         x = np.take(rows, at - 1, mode="wrap")
         x[s == 0, 0] = begin
-        a = np.take(tab["Q"], x, axis=0) @ np.take(tab["K"], x, axis=0).transpose(0, 2, 1)
+        a = np.take(tab["Q"], x, axis=0) @ np.ascontiguousarray(np.take(tab["K"], x, axis=0).transpose(0, 2, 1))
         a += bias
         np.exp(a, out=a)
         h = a @ np.take(tab["V"], x, axis=0)
@@ -287,23 +294,23 @@ def _counted(flush: int = 400_000):
     return run
 
 
-def _encoded(tokenizer: str, kind: str, frequent: dict[bytes, int], denominator: float):
-    """Ids of each text in the numpy type ``kind``, and its base score but for the words that are not ``frequent``."""
+def _encoded(tokenizer: str, kind: str, log: dict[bytes, float]):
+    """Ids of each text in the numpy type ``kind``, and its base score but for the words that have no ``log``."""
 
     def run(batches):
         cache, part, nth = word_ids(tokenizer, CACHED), TaskContext.get().partitionId(), 0
-        log = {w: float(np.log10((c + 0.5) / denominator)) for w, c in frequent.items()}
         for big in batches:
             for lo in range(0, big.num_rows, 256):
                 b = big.slice(lo, 256)
                 n, known, base, rare, ids = [], [], [], [], []
                 for t in texts(b.column(2)):
                     words = t.lower().split()
-                    got = [x for x in map(log.get, words) if x is not None]
+                    got = list(map(log.get, words))
                     n.append(len(words) + 1)
-                    known.append(len(got))
-                    base.append(sum(got))
-                    rare.append([w for w in words if w not in log] if len(got) < len(words) else [])
+                    missing = got.count(None)
+                    known.append(len(words) - missing)
+                    rare.append([w for w, x in zip(words, got) if x is None] if missing else [])
+                    base.append(sum(filter(None, got)) if missing else sum(got))
                     ids.append(np.frombuffer(b"".join(map(cache.__getitem__, words)), np.uint32).astype(kind).tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -500,10 +507,10 @@ def score_documents(
     denominator = total + 0.5 * (distinct + 1)
     least = _least_frequent(counts)
     top = counts.where((F.octet_length("word") > 0) & (F.col("c") >= least)).collect()  # FREQUENT at most
-    frequent = {bytes(r["word"]): r["c"] for r in top}
+    log = {bytes(r["word"]): float(np.log10((r["c"] + 0.5) / denominator)) for r in top}
     plain = f"id {src.schema['id'].dataType.simpleString()}, held_out boolean, part int, nth bigint, n bigint, known bigint, base double"
     kind = "<u2" if id_count <= 1 << 16 else "<u4"
-    partial = materialize(src.mapInArrow(_encoded(tokenizer, kind, frequent, denominator), f"{plain}, rare array<binary>, ids binary"), "encoded")
+    partial = materialize(src.mapInArrow(_encoded(tokenizer, kind, log), f"{plain}, rare array<binary>, ids binary"), "encoded")
     vocab, weights = fit(partial.where("not held_out").select("id", "ids"), kind, n_docs, end_id, id_count)
     scored = materialize(partial.drop("rare").mapInArrow(_scored(kind, vocab, weights), f"{plain}, score double"), "scored")
     rare = partial.where(F.size("rare") > 0).select("part", "nth", F.explode("rare").alias("word"))

@@ -723,6 +723,36 @@ def test_gradients():
         assert g[k][at] == pytest.approx(slope, abs=1e-6)
 
 
+def test_a_training_step_takes_few_operations():
+    """Each call costs as much as a small product; the weights are those of Adam one by one."""
+    import sys
+
+    vocab, rng, batches, calls = lm.Vocabulary(np.arange(3000, 0, -1.0), 2999), np.random.default_rng(1), [], [0]
+    for _ in range(4):
+        ids = rng.integers(0, 3000, (lm.BATCH, lm.WINDOW + 1))
+        batches.append((vocab.row[ids[:, :-1]], (vocab.group[ids[:, 1:]], vocab.member[ids[:, 1:]]), np.ones(ids[:, 1:].shape, np.float32)))
+    start = {k: x.copy() for k, x in vocab.start().items()}
+
+    def count(frame, event, arg):
+        calls[0] += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        w, steps = lm.train(start, batches)
+    finally:
+        sys.setprofile(None)
+    assert steps == 4 and calls[0] / 4 < 270
+    plain, m, s = {k: x.copy() for k, x in start.items()}, dict.fromkeys(lm.TRAINED, 0), dict.fromkeys(lm.TRAINED, 0)
+    for t, (rows, target, valid) in enumerate(batches, 1):
+        _, g = lm.backward(plain, rows, *lm.attention(plain, rows), target, valid)
+        for k in lm.TRAINED:
+            m[k], s[k] = 0.9 * m[k] + 0.1 * g[k], 0.99 * s[k] + 0.01 * g[k] ** 2
+            plain[k] = plain[k] - (0.02 * t / 20 / (1 + t / 400) ** 0.5 * m[k] / (1 - 0.9**t) / (np.sqrt(s[k] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+    for k in lm.TRAINED:
+        assert np.allclose(w[k], plain[k], atol=2e-4), k
+    assert all((start[k] == x).all() for k, x in vocab.start().items())  # the start is left as it was
+
+
 def test_token_counts_equal_the_tokenizer(spark, odd):
     from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
