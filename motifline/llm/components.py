@@ -80,7 +80,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         if state == seen or not state[0]:
             break
         seen, last = state, now
-        now = materialize(_star(_star(now, True), False), "edges")
+        now = materialize(_star(_star(now, True), False), "edges", state[0])
         discard(last)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -459,10 +459,11 @@ def near_duplicate_groups(
         F.min("id").alias("id"), F.first("n").alias("n"), F.first("orders").alias("orders"), F.first("sketch").alias("sketch")
     )
     classes = materialize(classes, "classes")
+    n_classes = classes.count()
     spans, dense = _forest(classes, percent / 100)
     spans = materialize(spans, "spans")
     cluster = components(spans).withColumnRenamed("component", "cluster")
-    members = materialize(classes.select("digest", "id", "n").join(cluster, F.col("digest") == F.col("node")).drop("node"), "members")
+    members = materialize(classes.select("digest", "id", "n").join(cluster, F.col("digest") == F.col("node")).drop("node"), "members", n_classes)
     discard(cluster)
     sizes = members.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
     big = materialize(sizes.where((F.col("size") > BLOCK) | (8 * F.col("weight") > BLOCK_BYTES)), "big")
@@ -484,11 +485,11 @@ def near_duplicate_groups(
         discard(active)
     discard(spans), discard(members)
     member = classes.select("digest", "id").join(found, F.col("digest") == F.col("node")).drop("node")
-    member = materialize(member, "linked")
+    member = materialize(member, "linked", n_classes)
     first = member.groupBy("component").agg(F.min("id").alias("first"))
     named = join_unique(member, first, "component").select("digest", F.col("first").alias("of"))
     names = classes.select("digest", F.col("id").alias("own")).join(named, "digest", "left")
-    names = materialize(names.select("digest", F.coalesce("of", "own").alias("component_id")), "names")
+    names = materialize(names.select("digest", F.coalesce("of", "own").alias("component_id")), "names", n_classes)
     discard(member), discard(classes)
     some, none = signed.where("digest is not null"), signed.where("digest is null")
     out = join_unique(some.select("id", "h", "n", "digest"), names, "digest").drop("digest")

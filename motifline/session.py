@@ -12,6 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
 _SCRATCH: list[list[DataFrame]] = []
+#: No marker files and, in folders of the local file system (others ignore the setting), no checksum files. Without its native
+#: library Hadoop starts a process for each local file, to set permissions; until its exec it shares the memory of its executor.
+_PLAIN_FILES = {
+    "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem",
+    "fs.file.impl.disable.cache": "true",
+    "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false",
+}
+#: Tables of known length are written by one task for so many rows, but for so many tasks at least.
+TASK_ROWS, LEAST_TASKS = 50_000, 12
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -28,15 +37,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[sc.applicationId]
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder as Parquet and read it back.
 
     Cuts the lineage like ``checkpoint()``, but the copy is columnar, compressed and prunable, and it
-    survives the loss of any executor.
+    survives the loss of any executor. ``rows``: about how many there are, if known, so that few go to few files.
     """
     spark = df.sparkSession
+    df = df if rows is None else df.coalesce(max(LEAST_TASKS, -(-rows // TASK_ROWS)))
     path = f"{checkpoint_dir(spark)}/motifline-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**_PLAIN_FILES).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._motifline_path = path
     for made in _SCRATCH:

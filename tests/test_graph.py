@@ -1,9 +1,11 @@
 import itertools
+import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from motifline import catalog, run
+from motifline import catalog, run, session
 from motifline.functions import lsh
 from motifline.operators import aggregate, growth, partition
 from motifline.operators.graph import GraphError, LabeledGraph
@@ -298,3 +300,14 @@ def test_triangles_of_one_label_by_blocks(spark):
     counted = Matcher(graph).count(query)
     assert "left_semi" not in counted._jdf.queryExecution().logical().toString().lower().replace("leftsemi", "left_semi")  # no partial match is closed
     assert counted.first()[0] == expected
+
+
+def test_few_rows_are_written_to_few_files_and_no_others(spark):
+    """Each file of a local folder costs its executor a process, or two with a checksum file."""
+    rows = spark.range(2_000).withColumn("k", F.col("id") % 7).repartition(64)
+    for n, files in ((None, 64), (2_000, session.LEAST_TASKS), (20 * session.TASK_ROWS, 20)):
+        table = session.materialize(rows, "few", n)
+        written = os.listdir(table._motifline_path)
+        assert len(written) == files and all(x.startswith("part-") and x.endswith(".parquet") for x in written)
+        assert table.agg(F.count("*"), F.sum("id")).first() == (2_000, 1_999_000)
+        session.discard(table)
