@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from motifline.llm.components import components, join_unique
 from motifline.llm.text import col, runs, space_words, texts
-from motifline.session import discard, materialize
+from motifline.session import discard, few_tasks, materialize
 
 TREES, DEPTH, SKETCH, BLOCK = 8, 6, 128, 2048
 #: Blocks of a region or cluster of which all pairs meet; bytes of the sets in one block of a cluster.
@@ -458,7 +458,8 @@ def near_duplicate_groups(
     classes = signed.where("digest is not null").groupBy("digest").agg(
         F.min("id").alias("id"), F.first("n").alias("n"), F.first("orders").alias("orders"), F.first("sketch").alias("sketch")
     )
-    classes = materialize(classes, "classes")
+    n_rows = signed.count()
+    classes = materialize(classes, "classes", n_rows)
     n_classes = classes.count()
     spans, dense = _forest(classes, percent / 100)
     spans = materialize(spans, "spans")
@@ -493,7 +494,7 @@ def near_duplicate_groups(
     discard(member), discard(classes)
     some, none = signed.where("digest is not null"), signed.where("digest is null")
     out = join_unique(some.select("id", "h", "n", "digest"), names, "digest").drop("digest")
-    out = out.unionByName(none.select("id", "h", "n", F.col("id").alias("component_id")))
+    out = few_tasks(out.unionByName(none.select("id", "h", "n", F.col("id").alias("component_id"))), n_rows)
     kept = F.col("id").isNull() | F.col("id").eqNullSafe(F.col("component_id"))
     return out.select("id", "h", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 

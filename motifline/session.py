@@ -37,6 +37,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[sc.applicationId]
 
 
+def few_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of about so many rows, in no more partitions than they need."""
+    return df.coalesce(max(LEAST_TASKS, -(-rows // TASK_ROWS)))
+
+
 def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder as Parquet and read it back.
 
@@ -44,7 +49,7 @@ def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     survives the loss of any executor. ``rows``: about how many there are, if known, so that few go to few files.
     """
     spark = df.sparkSession
-    df = df if rows is None else df.coalesce(max(LEAST_TASKS, -(-rows // TASK_ROWS)))
+    df = df if rows is None else few_tasks(df, rows)
     path = f"{checkpoint_dir(spark)}/motifline-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.options(**_PLAIN_FILES).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -438,6 +438,14 @@ def test_near_duplicates_in_a_template_meet(spark, monkeypatch):
     assert got == {i: i - 100 if i >= 100 and i - 100 in like else i for i, _ in docs}
 
 
+def test_near_duplicates_of_few_rows_come_in_few_partitions(spark, monkeypatch):
+    monkeypatch.setattr("motifline.session.LEAST_TASKS", 3)
+    rows = [(i, f"one two three four five six {i // 2}") for i in range(40)]
+    out = neardup.near_duplicate_groups(spark.createDataFrame(rows, "doc_id int, text string").repartition(16))
+    assert out.rdd.getNumPartitions() <= 3
+    assert sorted((r["id"], r["component_id"]) for r in out.collect()) == [(i, i - i % 2) for i in range(40)]
+
+
 def test_components(spark):
     rng, edges = random.Random(9), []
     for k in range(5):
