@@ -841,6 +841,21 @@ def test_pipeline(spark):
         assert zlib.crc32(data) == r["ids_crc32"]
 
 
+def test_pipeline_stages_write_few_files(spark):
+    """A table of many partitions and few rows is not written to as many files, for each of which processes are started."""
+    import os
+
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("needs the test tables")
+    docs = queries.table(spark, sf, "documents").repartition(40)
+    for name, stage in corpus_pipeline.STAGES:
+        out = neardup.materialize(stage(spark, docs, sf), name)
+        assert len(out.inputFiles()) <= 12, name
+
+
 def _components(sets, percent=80):
     root = list(range(len(sets)))
 
