@@ -22,15 +22,15 @@ never read.
 from __future__ import annotations
 
 import io
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motifline.llm.text import col, runs, texts, word_ids
+from motifline.llm.text import col, forget_words, runs, word_ids
 from motifline.session import discard, materialize
 
 WINDOW, OVERLAP, WIDTH, ROWS = 32, 8, 16, 2048
@@ -231,19 +231,22 @@ def score_texts(w: dict, vocab: Vocabulary, ids: list[np.ndarray], chunk: int =
     tab["Q"] *= WIDTH**-0.5
     bias = (w["R"][np.maximum(_FAR, 0)] + _MASK).astype(np.float32)
     begin = vocab.row[vocab.end]
-    for i in range(0, len(text), chunk):
-        t, s = text[i : i + chunk], start[i : i + chunk]
+    parts = [(skip, of[i : i + chunk]) for skip, of in ((0, np.flatnonzero(start == 0)), (OVERLAP, np.flatnonzero(start))) for i in range(0, len(of), chunk)]
+    for skip, part in parts:  # the first places of later windows, scored in the window before, are only attended to
+        t, s = text[part], start[part]
         at = s[:, None] + place  # the token to predict
-        scored = (at < lengths[t][:, None]) & ((place >= OVERLAP) | (s == 0)[:, None])
+        scored = at[:, skip:] < lengths[t][:, None]
         at = np.minimum(at, lengths[t][:, None] - 1) + first[t][:, None]
         x = np.take(rows, at - 1, mode="wrap")
-        x[s == 0, 0] = begin
-        a = np.take(tab["Q"], x, axis=0) @ np.ascontiguousarray(np.take(tab["K"], x, axis=0).transpose(0, 2, 1))
-        a += bias
+        if not skip:
+            x[:, 0] = begin
+        at, own = at[:, skip:], x[:, skip:]
+        a = np.take(tab["Q"], own, axis=0) @ np.ascontiguousarray(np.take(tab["K"], x, axis=0).transpose(0, 2, 1))
+        a += bias[skip:]
         np.exp(a, out=a)
         h = a @ np.take(tab["V"], x, axis=0)
-        h /= (a.reshape(-1, WINDOW) @ ones[:WINDOW]).reshape(len(x), WINDOW, 1)
-        h += np.take(tab["U"], x, axis=0)
+        h /= (a.reshape(-1, WINDOW) @ ones[:WINDOW]).reshape(*own.shape, 1)
+        h += np.take(tab["U"], own, axis=0)
         pick = np.flatnonzero(scored.ravel())
         goal = np.take(at.ravel(), pick)
         which = np.take(group, goal)
@@ -266,73 +269,104 @@ def score_texts(w: dict, vocab: Vocabulary, ids: list[np.ndarray], chunk: int =
         got += np.take(z, at + np.take(member, goal))
         np.exp(z, out=z)
         got -= np.log(z @ ones[:GROUPS])
-        out += np.bincount(np.repeat(t, WINDOW)[pick], got, len(lengths))
+        out += np.bincount(np.repeat(t, WINDOW - skip)[pick], got, len(lengths))
     return out
 
 
-def _counted(flush: int = 400_000):
-    """Word counts of a task, emptied at ``flush`` distinct words; the empty word stands for the ends."""
+def _chunks(batches, size: int):
+    """The rows of several batches in one, each of about ``size`` bytes."""
+    held, n = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            n += b.nbytes
+        if n >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
-    def run(batches):
-        words, docs = Counter(), 0
 
-        def rows():
-            batch = pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.binary()), pa.array(words.values(), pa.int64())], ["word", "c"])
-            words.clear()
-            return batch
+def split_words(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """How many words each text has, and the words one after the other, lower-cased (A-Z)."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "")))
+    words, cuts = split.flatten(), split.offsets.to_numpy().astype(np.int64)
+    cuts -= cuts[0]
+    some = pc.greater(pc.binary_length(words), 0)  # white space at an end of a text leaves an empty one
+    if len(words) and not pc.all(some).as_py():
+        cuts = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])[cuts]
+        words = words.filter(some)
+    return np.diff(cuts), words
 
-        for b in batches:
-            for t in texts(b.column(0)):
-                words.update(t.lower().split())
-                docs += 1
-                if len(words) > flush:
-                    yield rows()
-        words[b""] += docs  # the end of each text
-        if docs:
-            yield rows()
+
+def _counted(chunk: int = 16 << 20):
+    """Word counts of a task, by chunks of text; the empty word stands for the ends."""
+
+    def run(batches):
+        docs = 0
+        for b in _chunks(batches, chunk):
+            docs += b.num_rows
+            found = pc.value_counts(split_words(b.column(0))[1])
+            yield pa.RecordBatch.from_arrays([found.field("values").cast(pa.binary()), found.field("counts")], ["word", "c"])
+        if docs:  # the end of each text
+            yield pa.RecordBatch.from_arrays([pa.array([b""], pa.binary()), pa.array([docs], pa.int64())], ["word", "c"])
 
     return run
 
 
-def _encoded(tokenizer: str, kind: str, log: dict[bytes, float]):
-    """Ids of each text in the numpy type ``kind``, and its base score but for the words that have no ``log``."""
+def _encoded(tokenizer: str, kind: str, log: dict[bytes, float], chunk: int = 8 << 20):
+    """Ids of each text in the numpy type ``kind``, and its base score but for the words that have no ``log``.
+
+    What is looked up by word in Python is looked up once for each distinct word of a chunk.
+    """
 
     def run(batches):
         cache, part, nth = word_ids(tokenizer, CACHED), TaskContext.get().partitionId(), 0
-        for big in batches:
-            for lo in range(0, big.num_rows, 256):
-                b = big.slice(lo, 256)
-                n, known, base, rare, ids = [], [], [], [], []
-                for t in texts(b.column(2)):
-                    words = t.lower().split()
-                    got = list(map(log.get, words))
-                    n.append(len(words) + 1)
-                    missing = got.count(None)
-                    known.append(len(words) - missing)
-                    rare.append([w for w, x in zip(words, got) if x is None] if missing else [])
-                    base.append(sum(filter(None, got)) if missing else sum(got))
-                    ids.append(np.frombuffer(b"".join(map(cache.__getitem__, words)), np.uint32).astype(kind).tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column(0),
-                        b.column(1),
-                        pa.array([part] * len(n), pa.int32()),
-                        pa.array(range(nth, nth + len(n)), pa.int64()),
-                        pa.array(n, pa.int64()),
-                        pa.array(known, pa.int64()),
-                        pa.array(base, pa.float64()),
-                        pa.array(rare, pa.list_(pa.binary())),
-                        pa.array(ids, pa.binary()),
-                    ],
-                    ["id", "held_out", "part", "nth", "n", "known", "base", "rare", "ids"],
-                )
-                nth += len(n)
+        for b in _chunks(batches, chunk):
+            n, words = split_words(b.column(2))
+            cuts = np.concatenate([[0], np.cumsum(n)])
+            words = words.dictionary_encode()
+            at, words = words.indices.to_numpy(), words.dictionary.cast(pa.binary())
+            distinct = words.to_pylist()
+            worth = np.array([log.get(w, np.nan) for w in distinct], float)
+            got = cache.of_each(distinct)
+            size = np.dtype(kind).itemsize
+            ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, got), np.int64, len(got)) // 4 * size)])
+            got = pa.py_buffer(np.frombuffer(b"".join(got), np.uint32).astype(kind))
+            got = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(distinct), [None, pa.py_buffer(ends), got]).take(pa.array(at))
+            ends = np.frombuffer(got.buffers()[1], np.int64)[got.offset :][: len(got) + 1]
+            ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends[cuts]), got.buffers()[2]]).cast(pa.binary())
+            worth = worth[at]
+            missing = np.isnan(worth)
+            worth[missing] = 0
+            text = np.repeat(np.arange(len(n)), n)
+            rare = np.bincount(text[missing], minlength=len(n))
+            base = np.bincount(text, worth, len(n))
+            rare_cuts = pa.array(np.concatenate([[0], np.cumsum(rare)]), pa.int32())
+            out = pa.RecordBatch.from_arrays(
+                [
+                    b.column(0),
+                    b.column(1),
+                    pa.array([part] * len(n), pa.int32()),
+                    pa.array(range(nth, nth + len(n)), pa.int64()),
+                    pa.array(n + 1, pa.int64()),
+                    pa.array(n - rare, pa.int64()),
+                    pa.array(base, pa.float64()),
+                    pa.ListArray.from_arrays(rare_cuts, words.take(pa.array(at[missing]))),
+                    ids,
+                ],
+                ["id", "held_out", "part", "nth", "n", "known", "base", "rare", "ids"],
+            )
+            for lo in range(0, len(n), 256):
+                yield out.slice(lo, 256)
+            nth += len(n)
 
     return run
 
 
 def _id_counts(kind: str, id_count: int):
     def run(batches):
+        forget_words()
         c = np.zeros(id_count, np.int64)
         for b in batches:
             for lo in range(0, b.num_rows, 256):
@@ -400,6 +434,7 @@ def _replicas(vocab: Vocabulary, weights: dict, kind: str):
     """Rows (ids, replica, place) by replica -> (replica, w, steps)."""
 
     def run(batches):
+        forget_words()
         for t in runs(batches, ["replica"]):
             nth = t["replica"][0].as_py()
             for b in _replica(vocab, weights, kind, seed=nth)(iter(t.select(["ids"]).combine_chunks().to_batches())):
@@ -484,6 +519,7 @@ def _scored(kind: str, vocab: Vocabulary, weights: dict):
     """The columns before the last one as they are, and the log10 probability of the ids in the last one."""
 
     def run(batches):
+        forget_words()
         for big in batches:
             for lo in range(0, big.num_rows, 256):
                 b = big.slice(lo, 256)

@@ -98,7 +98,7 @@ def runs(batches, keys: list[str]):
 _ASCII_PIECE = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 #: Letters that lower-case and compose to themselves, one pre-token if nothing else is in a word.
 _LATIN = re.compile("[a-zß-öø-ÿ]+")
-_NON_ASCII = re.compile(rb"[\x80-\xff]")
+_PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _TAIL = re.compile(rb"[!-/:-@\[-`{-~]+\Z")
 
 
@@ -152,9 +152,11 @@ class WordIds(dict):
         return got
 
     def _merged(self, piece: bytes) -> bytes:
+        if piece.isalpha():  # a-z
+            return array("I", [t.id for t in self.model.tokenize(piece.decode())]).tobytes()
         text = piece.decode("utf-8", "replace").lower()
         if _LATIN.fullmatch(text):  # one pre-token in lower case: straight to the merges
-            ids = [t.id for t in self.model.tokenize(piece.decode() if piece.isalpha() else _symbols(text))]
+            ids = [t.id for t in self.model.tokenize(_symbols(text))]
         else:
             ids = self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids
         return array("I", ids).tobytes()
@@ -171,7 +173,10 @@ class WordIds(dict):
         return got
 
     def _word(self, word: bytes) -> bytes:
-        if _NON_ASCII.search(word):
+        stem = word.rstrip(_PUNCTUATION)
+        if stem.isalpha():  # letters, then punctuation: no contraction
+            return self._piece(stem) + self._piece(word[len(stem) :]) if len(stem) < len(word) else self._piece(word)
+        if not word.isascii():
             # a run of ASCII punctuation after an ASCII letter or digit is a piece of its own; else keep the word whole
             m = _TAIL.search(word)
             if m and word[m.start() - 1 : m.start()].isalnum() and b"'" not in m[0]:
@@ -179,6 +184,27 @@ class WordIds(dict):
             return self._piece(word)
         return b"".join(map(self._piece, _ASCII_PIECE.findall(word)))
 
+    def of_each(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each of many lower-cased words; those of letters and punctuation are kept by piece only."""
+        out, get = [], self.pieces.get
+        for word in words:
+            got = get(word) if word.isalpha() else None
+            if got is None:
+                stem = word.rstrip(_PUNCTUATION)
+                if stem.isalpha():
+                    got = get(stem)
+                    if got is None:
+                        got = self._piece(stem)
+                        get = self.pieces.get
+                    if len(stem) < len(word):
+                        got += self._piece(word[len(stem) :])
+                        get = self.pieces.get
+                else:
+                    got = self[word]
+                    get = self.pieces.get
+            out.append(got)
+        return out
+
     def encode(self, text: bytes) -> bytes:
         return b"".join(map(self.__getitem__, text.lower().split()))
 
@@ -191,3 +217,9 @@ def word_ids(path: str, limit: int = 125_000) -> WordIds:
     if (path, limit) not in _WORD_IDS:
         _WORD_IDS[path, limit] = WordIds(path, limit)
     return _WORD_IDS[path, limit]
+
+
+def forget_words() -> None:
+    """Empties the caches of this process, which Spark uses again for stages that need none."""
+    _WORD_IDS.clear()
+    pa.default_memory_pool().release_unused()

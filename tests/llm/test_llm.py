@@ -933,3 +933,39 @@ def test_pipeline_equals_brute_force(spark, tmp_path, empty):
         for r in out:
             used.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
         assert all(sum(n for _, n in p) <= 2048 and all(a[0] + a[1] == b[0] for a, b in zip(sorted(p), sorted(p)[1:])) and min(p)[0] == 0 for p in used.values())
+
+
+def test_words_are_looked_up_once_in_a_chunk(monkeypatch):
+    """Counts, base scores, unlisted words and ids as by single words; Python looks at distinct words only."""
+    from tokenizers import Tokenizer
+
+    class Log(dict):
+        asked = 0
+
+        def get(self, *a):
+            self.asked += 1
+            return super().get(*a)
+
+    rng = random.Random(31)
+    words = ["the", "The", "cat.", "don't", "x12", "É", "naïve,", "&&", "a\x00b", "ab\xa0c", "it's!", "q'", "p\x1cq", "w" * 80, "12", "Ünï..."]
+    docs = ["", None, " \t\n\x0b\x0c\r ", " a  b\tc\x0bd\x0ce\r\nf "] + [rng.choice(["", " ", "\n"]) + rng.choice([" ", "  ", "\r\n"]).join(rng.choices(words, k=rng.randint(1, 60))) for _ in range(300)]
+    lists = [(t or "").encode().lower().split() for t in docs]
+    distinct = sorted({w for ws in lists for w in ws})
+    log = Log({w: -float(i + 1) for i, w in enumerate(distinct[::2])})
+    monkeypatch.setattr(lm.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 3})())
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + len(x))), pa.array([False] * len(x)), pa.array(x, pa.string())], ["id", "held_out", "text"]) for i in range(0, len(docs), 100) for x in [docs[i : i + 100]]]
+    got = pa.Table.from_batches(lm._encoded(WORDS, "<u2", log)(iter(batches))).to_pylist()
+    assert log.asked <= len(distinct)
+    tok = Tokenizer.from_file(WORDS)
+    tok.encode_special_tokens = True
+    assert [r["id"] for r in got] == [r["nth"] for r in got] == list(range(len(docs))) and {r["part"] for r in got} == {3}
+    for r, ws, t in zip(got, lists, docs):
+        rare = [w for w in ws if w not in log]
+        assert (r["n"], r["known"], r["rare"]) == (len(ws) + 1, len(ws) - len(rare), rare)
+        assert r["base"] == pytest.approx(sum(log[w] for w in ws if w in log))
+        assert np.frombuffer(r["ids"], "<u2").tolist() == [i for w in ws for i in tok.encode(w.decode(), add_special_tokens=False).ids]
+    counts: dict = {}
+    for b in lm._counted(chunk=2000)(b.select(["text"]) for b in batches):
+        for w, c in zip(*(x.to_pylist() for x in b.columns)):
+            counts[w] = counts.get(w, 0) + c
+    assert counts == {b"": len(docs)} | {w: sum(ws.count(w) for ws in lists) for w in distinct}
