@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from motifline.llm.text import col, texts, word_ids
-from motifline.session import materialize
+from motifline.session import few_tasks, materialize
 
 Filling = tuple[tuple[int, int], ...]  # (length, how many), longest first
 Plan = list[tuple[Filling, int]]  # filling, number of sequences
@@ -225,9 +225,10 @@ def assign_sequences(pieces: DataFrame, capacity: int) -> DataFrame:
     The rank of a piece among those of its length is its place in its partition plus the pieces of this
     length in the partitions before; a long run of equal lengths is thus never in one task.
     """
+    rows = pieces.count()
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = materialize(counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))), "lengths")
+    counts = materialize(counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))), "lengths", rows)
     hist = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # <= capacity rows
     table = lookup(plan_sequences(hist, capacity))
 
@@ -241,7 +242,7 @@ def assign_sequences(pieces: DataFrame, capacity: int) -> DataFrame:
     ranked = pieces.join(counts.select("length", "part", "before"), ["length", "part"])
     placed = ranked.withColumn("_at", at(F.col("length"), F.col("place") + F.col("before")))
     keep = [c for c in pieces.columns if c not in ("part", "place")]
-    return placed.select(*keep, "_at.sequence_id", "_at.offset")
+    return few_tasks(placed.select(*keep, "_at.sequence_id", "_at.offset"), rows)
 
 
 def pack_documents(

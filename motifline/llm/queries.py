@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motifline.llm import ann, chat, decontam, linkgraph, lm, neardup, packing, pii, quality, tokencount
-from motifline.session import ship
+from motifline.session import few_tasks, ship
 
 #: Names of public tokenizer files; a path can be given to the operators instead.
 WORD_TOKENIZER, PIECE_MODEL = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -103,7 +103,8 @@ def packed(docs: DataFrame, capacity: int = 2048, cached: int = 125_000) -> Data
 
 
 def op4_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(table(spark, sf_dir, "documents"), cached=250_000)
+    docs = table(spark, sf_dir, "documents")
+    return packed(few_tasks(docs, docs.count()), cached=250_000)
 
 
 def op5_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:

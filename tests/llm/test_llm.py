@@ -856,6 +856,34 @@ def test_pipeline_stages_write_few_files(spark):
         assert len(out.inputFiles()) <= 12, name
 
 
+def test_packing_writes_few_files(spark, tmp_path, monkeypatch):
+    """Nor are the tables that packing writes on its way, however many partitions it reads and shuffles."""
+    from motifline import session
+
+    rows = [(i, f"the cat {'sat ' * (i % 50)}") for i in range(400)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(40).write.parquet(f"{tmp_path}/documents.parquet")
+    files = {}
+
+    def counted(df, name, n=None, materialize=session.materialize):
+        out = materialize(df, name, n)
+        files[name] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(packing, "materialize", counted)
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.openCostInBytes": "128m"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        out = session.materialize(queries.op4_bin_completion(spark, str(tmp_path)), "packed")
+        assert files.keys() == {"pieces", "lengths"}
+        assert max(files.values()) <= 12 and len(out.inputFiles()) <= 12
+        assert out.count() == 400
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def _components(sets, percent=80):
     root = list(range(len(sets)))
 
