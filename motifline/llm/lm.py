@@ -88,20 +88,34 @@ class Vocabulary:
 
 _FAR = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None]
 _MASK = np.where(_FAR < 0, -1e9, 0).astype(np.float32)
+_FAR = np.maximum(_FAR, 0)
 
 
-def attention(w: dict, rows: np.ndarray):
-    """Causal attention over a batch of windows: state of each position, and what backward() needs."""
-    x = np.take(w["E"], rows, axis=0)
-    mixed = np.matmul(x.reshape(-1, WIDTH), np.stack([w[k] for k in "QKVU"]))
-    q, k, v, u = mixed.reshape(4, *x.shape)
+def attention(w: dict, rows: np.ndarray, first: np.ndarray | None = None):
+    """Causal attention over a batch of windows: state of each position, and what backward() needs.
+
+    The first OVERLAP places have a state only in the windows ``first`` (all, if None); in others they are only attended to.
+    Those states come from further windows, whose last OVERLAP places they are and which have nothing before.
+    """
+    n, first = len(rows), np.arange(len(rows)) if first is None else first
+    wide = np.empty((n + len(first), WINDOW), np.intp)
+    wide[:n], wide[n:, :STEP], wide[n:, STEP:] = rows, 0, rows[first, :OVERLAP]
+    x = np.take(w["E"], wide, axis=0)
+    own = np.ascontiguousarray(x[:, OVERLAP:])  # the places that have a state
+    k, v = (x.reshape(-1, WIDTH) @ np.array([w["K"], w["V"]])).reshape(2, *x.shape)
+    q, u = (own.reshape(-1, WIDTH) @ np.array([w["Q"] * x.dtype.type(WIDTH**-0.5), w["U"]])).reshape(2, *own.shape)
     a = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
-    a *= WIDTH**-0.5
-    a += w["R"][np.maximum(_FAR, 0)] + _MASK
+    a += (w["R"][_FAR] + _MASK).astype(x.dtype)[OVERLAP:]
     np.exp(a, out=a)
-    a /= (a.reshape(-1, WINDOW) @ np.ones(WINDOW, a.dtype)).reshape(*a.shape[:-1], 1)
+    a[n:, STEP - OVERLAP :, :STEP] = 0
+    inverse = 1 / (a.reshape(-1, WINDOW) @ np.ones(WINDOW, a.dtype)).reshape(*own.shape[:-1], 1)
     c = a @ v
-    return c + u, (x, q, k, v, a, c)
+    c *= inverse
+    u += c
+    state = np.zeros((n, WINDOW, WIDTH), x.dtype)
+    state[:, OVERLAP:] = u[:n]
+    state[first, :OVERLAP] = u[n:, STEP - OVERLAP :]
+    return state, (wide, first, x, own, q, k, v, a, c, inverse)
 
 
 def log_softmax(z: np.ndarray) -> np.ndarray:
@@ -128,51 +142,85 @@ def _cross_entropy(z: np.ndarray, target: np.ndarray, n: int) -> tuple[float, np
     return loss, z
 
 
+#: Rows of a product with GROUPS columns for which BLAS still takes its kernels for small matrices.
+BLOCK = 1536
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b for an ``a`` of many rows, by blocks of them."""
+    out = np.empty((len(a), b.shape[1]), a.dtype)
+    for i in range(0, len(a), BLOCK):
+        np.matmul(a[i : i + BLOCK], b, out=out[i : i + BLOCK])
+    return out
+
+
+def _outputs(w: dict, state: np.ndarray, group: np.ndarray, member: np.ndarray) -> tuple[float, np.ndarray, dict]:
+    """Loss and gradients of the states, a row each and in the order of their groups, and of the weights after them."""
+    n = max(1, len(state))
+    h = np.ones((len(state), WIDTH + 1), state.dtype)  # the last column takes the biases
+    h[:, :WIDTH] = state
+    top, low = np.concatenate([w["O"], w["b"][None]]), np.concatenate([w["O2"], w["b2"][:, None]], axis=1)
+    loss, dz = _cross_entropy(_product(h, top), group, n)
+    dstate, dtop = _product(dz, np.ascontiguousarray(w["O"].T)), np.zeros_like(top)
+    for i in range(0, len(h), BLOCK):
+        dtop += h[i : i + BLOCK].T @ dz[i : i + BLOCK]
+    del dz
+    cuts = np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
+    used = [(i, slice(lo, hi)) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if hi > lo]  # each group one product
+    z = np.empty((len(h), GROUPS), h.dtype)
+    for i, at in used:
+        np.matmul(h[at], low[i], out=z[at])
+    more, z = _cross_entropy(z, member, n)
+    dlow, back, part = np.zeros_like(low), np.ascontiguousarray(w["O2"].transpose(0, 2, 1)), np.empty_like(dstate)
+    for i, at in used:
+        np.matmul(h[at].T, z[at], out=dlow[i])
+        np.matmul(z[at], back[i], out=part[at])
+    dstate += part
+    return loss + more, dstate, {"O": dtop[:WIDTH], "b": dtop[WIDTH], "O2": dlow[:, :WIDTH], "b2": dlow[:, WIDTH]}
+
+
 def backward(w: dict, rows: np.ndarray, state, saved, target, valid: np.ndarray):
     """Loss and gradients for the (group, member) ``target`` at ``valid`` positions."""
-    x, q, k, v, a, c = saved
+    wide, first, x, own, q, k, v, a, c, inverse = saved
     flat = lambda t: t.reshape(-1, t.shape[-1])
     pick = np.flatnonzero(valid)
-    n = max(1, len(pick))
-    group, member = (np.take(t, pick) for t in target)
-    order = np.argsort(group.astype(np.int16), kind="stable")  # by group, each then one product
-    pick, group, member = pick[order], group[order], member[order]
-    h = np.ones((len(pick), WIDTH + 1), state.dtype)  # the last column takes the biases
-    h[:, :WIDTH] = np.take(flat(state), pick, axis=0)
-    top, low = np.vstack([w["O"], w["b"]]), np.concatenate([w["O2"], w["b2"][:, None]], axis=1)
-    loss, dz = _cross_entropy(h @ top, group, n)
-    cuts = np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
-    own = [(i, slice(lo, hi)) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if hi > lo]
-    z2 = np.empty((len(h), GROUPS), h.dtype)
-    for i, at in own:
-        np.matmul(h[at], low[i], out=z2[at])
-    more, dz2 = _cross_entropy(z2, member, n)
-    loss += more
-    dpick, dtop, dlow = np.empty((len(h), WIDTH), h.dtype), h.T @ dz, np.zeros_like(low)
-    for i, at in own:
-        np.matmul(h[at].T, dz2[at], out=dlow[i])
-        np.matmul(dz2[at], w["O2"][i].T, out=dpick[at])
-    dpick += dz @ w["O"].T
-    g = {"O": dtop[:WIDTH], "b": dtop[WIDTH], "O2": dlow[:, :WIDTH], "b2": dlow[:, WIDTH]}
-    mixed = np.empty((4, *state.shape), state.dtype)  # gradients of q, k, v and u
-    dh = mixed[3]
-    dh[...] = 0
+    group = np.take(target[0], pick)
+    order = np.argsort(group.astype(np.int16), kind="stable")
+    pick, group = pick[order], group[order]
+    loss, dpick, g = _outputs(w, np.take(flat(state), pick, axis=0), group, np.take(target[1], pick))
+    dh = np.zeros_like(state)
     flat(dh)[pick] = dpick
-    np.matmul(a.transpose(0, 2, 1), dh, out=mixed[2])
-    ds = dh @ np.ascontiguousarray(v.transpose(0, 2, 1))
-    ds -= np.einsum("bij,bij->bi", dh, c)[..., None]  # rows of a sum to 1
+    both = np.zeros((2, *own.shape), state.dtype)  # gradients of q and u
+    du = both[1]
+    du[: len(dh)] = dh[:, OVERLAP:]
+    du[len(dh) :, STEP - OVERLAP :] = dh[first, :OVERLAP]
+    d = np.empty((*own.shape[:-1], WIDTH + 1), state.dtype)  # the last column is taken from each score: rows of a sum to 1 / inverse
+    np.multiply(du, inverse, out=d[..., :WIDTH])
+    np.einsum("bij,bij->bi", d[..., :WIDTH], -c, out=d[..., WIDTH])
+    turned = np.ones((len(wide), WIDTH + 1, WINDOW), state.dtype)
+    turned[:, :WIDTH] = v.transpose(0, 2, 1)
+    ds = d @ turned
     ds *= a
-    g["R"] = np.bincount(np.maximum(_FAR, 0).ravel(), ds.sum(0).ravel(), WINDOW)
-    ds *= WIDTH**-0.5
-    np.matmul(ds, k, out=mixed[0])
-    np.matmul(ds.transpose(0, 2, 1), q, out=mixed[1])
-    mixed = mixed.reshape(4, -1, WIDTH)
-    g |= zip("QKVU", flat(x).T @ mixed)
-    dx = mixed[0] @ w["Q"].T
-    for i, name in enumerate("KVU", 1):
-        dx += mixed[i] @ w[name].T
-    at = np.add(rows.reshape(-1, 1) * WIDTH, np.arange(WIDTH), dtype=np.int64).ravel()
-    g["E"] = np.bincount(at, dx.ravel(), w["E"].size).reshape(w["E"].shape)
+    g["R"] = np.bincount(_FAR[OVERLAP:].ravel(), np.ones(len(ds), ds.dtype) @ ds.reshape(len(ds), -1), WINDOW)
+    np.matmul(ds, k, out=both[0])
+    pair = np.empty((2, *x.shape), state.dtype)  # gradients of k and v
+    np.matmul(ds.transpose(0, 2, 1), q, out=pair[0])
+    np.matmul(a.transpose(0, 2, 1), d[..., :WIDTH], out=pair[1])
+    both, pair = both.reshape(2, -1, WIDTH), pair.reshape(2, -1, WIDTH)
+    g |= zip("QU", flat(own).T @ both)
+    g |= zip("KV", flat(x).T @ pair)
+    g["Q"] *= WIDTH**-0.5
+    dx = pair[0] @ np.ascontiguousarray(w["K"].T)
+    dx += pair[1] @ np.ascontiguousarray(w["V"].T)
+    dx = dx.reshape(x.shape)
+    down = both[0] @ (w["Q"].T * dx.dtype.type(WIDTH**-0.5)).copy(order="C")
+    down += both[1] @ np.ascontiguousarray(w["U"].T)
+    dx[:, OVERLAP:] += down.reshape(own.shape)
+    twos = np.result_type(dx, np.complex64)  # two numbers are added at a time
+    at = (wide.reshape(-1, 1) * (WIDTH // 2) + np.arange(WIDTH // 2)).ravel()
+    by_row = np.zeros(w["E"].size // 2, twos)
+    np.add.at(by_row, at, dx.ravel().view(twos))
+    g["E"] = by_row.view(dx.dtype).reshape(w["E"].shape)
     return loss, g
 
 
@@ -181,28 +229,24 @@ def train(w: dict, batches, rate: float = 0.02) -> tuple[dict, int]:
     flat = np.concatenate([w[k].ravel() for k in TRAINED])  # all weights in one row, so that a step is few operations
     cuts = np.cumsum([w[k].size for k in TRAINED])[:-1]
     w = {k: x.reshape(w[k].shape) for k, x in zip(TRAINED, np.split(flat, cuts))}
-    slope, d, m, s = (np.zeros_like(flat) for _ in range(4))
-    into = {k: x.reshape(w[k].shape) for k, x in zip(TRAINED, np.split(slope, cuts))}
+    slope, d, m, s = (np.zeros_like(flat) for _ in range(4))  # m and s: sums, 10 and 100 times Adam's means
     t = 0
     for rows, target, valid in batches:
         t += 1
-        state, saved = attention(w, rows)
+        state, saved = attention(w, rows, np.flatnonzero(valid[:, :OVERLAP].any(1)))
         _, g = backward(w, rows, state, saved, target, valid)
+        np.concatenate([g[k].ravel() for k in TRAINED], out=slope, casting="same_kind")
         lr = rate * min(1, t / 20) / (1 + t / 400) ** 0.5
-        for k in TRAINED:
-            into[k][...] = g[k]
         m *= 0.9
-        np.multiply(slope, 0.1, out=d)
-        m += d
-        np.multiply(slope, slope, out=d)
+        m += slope
+        slope *= slope
         s *= 0.99
-        d *= 0.01
-        s += d
+        s += slope
         np.sqrt(s, out=d)
-        d *= (1 - 0.99**t) ** -0.5
-        d += 1e-8
+        root = (0.01 / (1 - 0.99**t)) ** 0.5
+        d += 1e-8 / root
         np.divide(m, d, out=d)
-        d *= lr / (1 - 0.9**t)
+        d *= 0.1 * lr / ((1 - 0.9**t) * root)
         flat -= d
     return w, t
 
@@ -229,7 +273,8 @@ def score_texts(w: dict, vocab: Vocabulary, ids: list[np.ndarray], chunk: int =
     place, ones = np.arange(WINDOW), np.ones(WINDOW + GROUPS, np.float32)
     tab = {k: np.ascontiguousarray(w["E"] @ w[k]) for k in "QKVU"}
     tab["Q"] *= WIDTH**-0.5
-    bias = (w["R"][np.maximum(_FAR, 0)] + _MASK).astype(np.float32)
+    bias = (w["R"][_FAR] + _MASK).astype(np.float32)
+    top, low = np.concatenate([w["O"], w["b"][None]]), np.concatenate([w["O2"], w["b2"][:, None]], axis=1)
     begin = vocab.row[vocab.end]
     parts = [(skip, of[i : i + chunk]) for skip, of in ((0, np.flatnonzero(start == 0)), (OVERLAP, np.flatnonzero(start))) for i in range(0, len(of), chunk)]
     for skip, part in parts:  # the first places of later windows, scored in the window before, are only attended to
@@ -250,11 +295,11 @@ def score_texts(w: dict, vocab: Vocabulary, ids: list[np.ndarray], chunk: int =
         pick = np.flatnonzero(scored.ravel())
         goal = np.take(at.ravel(), pick)
         which = np.take(group, goal)
-        order = np.argsort(which, kind="stable")  # by group, each then one product
+        order = np.argsort(which.astype(np.int16), kind="stable")  # by group, each then one product
         pick, goal, which = pick[order], goal[order], which[order]
-        h = np.take(h.reshape(-1, WIDTH), pick, axis=0)
-        z = h @ w["O"]
-        z += w["b"]
+        some = np.ones((len(pick), WIDTH + 1), np.float32)  # the last column takes the biases
+        some[:, :WIDTH] = np.take(h.reshape(-1, WIDTH), pick, axis=0)
+        z = _product(some, top)
         _lowered(z)
         at = np.arange(len(z)) * GROUPS
         got = np.take(z, at + which).astype(np.float64)
@@ -263,8 +308,7 @@ def score_texts(w: dict, vocab: Vocabulary, ids: list[np.ndarray], chunk: int =
         cuts = np.searchsorted(which, np.arange(GROUPS + 1))
         for k, (lo, hi) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())):
             if hi > lo:
-                np.matmul(h[lo:hi], w["O2"][k], out=z[lo:hi])
-                z[lo:hi] += w["b2"][k]
+                np.matmul(some[lo:hi], low[k], out=z[lo:hi])
         _lowered(z)
         got += np.take(z, at + np.take(member, goal))
         np.exp(z, out=z)
@@ -378,15 +422,22 @@ def _id_counts(kind: str, id_count: int):
     return run
 
 
-def _cut(texts_ids: list[bytes], kind: str, end: int) -> np.ndarray:
-    """All windows of WINDOW + 1 ids, the one before the first included, from every STEPth id; -1 after a text's end."""
-    out = []
-    for x in texts_ids:
-        seq = np.concatenate([[end], np.frombuffer(x, kind), [end]]).astype(np.int64)
-        starts = np.arange(0, len(seq) - 1, STEP)
-        at = starts[:, None] + np.arange(WINDOW + 1)
-        out.append(np.where(at < len(seq), np.take(seq, at, mode="clip"), -1))
-    return np.concatenate(out) if out else np.empty((0, WINDOW + 1), np.int64)
+def _cut(texts_ids: list[bytes], kind: str, end: int, g: np.random.Generator | None = None) -> np.ndarray:
+    """All windows of WINDOW + 1 ids, the one before the first included, from every STEPth id; -1 after a text's end. ``g`` mixes them."""
+    size = np.array([len(x) for x in texts_ids], np.int64) // np.dtype(kind).itemsize + 1  # end included
+    mark = np.array([end], kind).tobytes()
+    flat = np.frombuffer(mark + b"".join([x + mark for x in texts_ids]), kind).astype(np.int32)  # an end is also the one before the next text
+    first, per = np.cumsum(size) - size, -(-size // STEP)
+    text = np.repeat(np.arange(len(size)), per)
+    start = (np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)) * STEP
+    if g is not None:
+        order = g.permutation(len(text))
+        text, start = text[order], start[order]
+    out = np.take(flat, (first[text] + start)[:, None] + np.arange(WINDOW + 1), mode="clip")
+    left = size[text] - start  # ids from the second one of the window on
+    short = np.flatnonzero(left < WINDOW)
+    out[short] = np.where(np.arange(WINDOW + 1) <= left[short, None], out[short], -1)
+    return out
 
 
 def _pack(w: dict) -> bytes:
@@ -403,15 +454,16 @@ def _replica(vocab: Vocabulary, weights: dict, kind: str, batch: int = BATCH, se
             g = np.random.default_rng(seed)
             for b in batches:
                 for lo in range(0, b.num_rows, MIXED):
-                    yield g.permutation(_cut(b.column(0).slice(lo, MIXED).to_pylist(), kind, vocab.end))
+                    yield _cut(b.column(0).slice(lo, MIXED).to_pylist(), kind, vocab.end, g)
 
         def steps_of(ids):
+            valid = ids[:, 1:] >= 0
+            valid[ids[:, 0] != vocab.end, :OVERLAP] = False  # learnt in the window before, as in scoring
+            ids = np.where(ids >= 0, ids, vocab.end)
+            rows, group, member = np.take(vocab.row, ids[:, :-1]), np.take(vocab.group, ids[:, 1:]), np.take(vocab.member, ids[:, 1:])
             for i in range(0, len(ids), batch):
-                part = ids[i : i + batch]
-                valid = part[:, 1:] >= 0
-                valid[part[:, 0] != vocab.end, :OVERLAP] = False  # learnt in the window before, as in scoring
-                part = np.where(part >= 0, part, vocab.end)
-                yield vocab.row[part[:, :-1]], (vocab.group[part[:, 1:]], vocab.member[part[:, 1:]]), valid.astype(np.float32)
+                at = slice(i, i + batch)
+                yield rows[at], (group[at], member[at]), valid[at]
 
         def drawn():
             few, n = [], 0  # the first ones, kept while they may have to be repeated

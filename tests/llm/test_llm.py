@@ -731,6 +731,35 @@ def test_gradients():
         assert g[k][at] == pytest.approx(slope, abs=1e-6)
 
 
+def test_places_that_are_not_learnt_have_no_state():
+    """The first places of later windows cost no scores, exponentials or gradients; what is learnt is the same."""
+    vocab, rng = lm.Vocabulary(np.arange(3000, 0, -1.0), 2999), np.random.default_rng(8)
+    w = {k: x.astype(np.float64) + rng.normal(0, 0.1, x.shape) for k, x in vocab.start().items()}
+    for first in ([], [0, 3], [0, 1, 2, 3, 4]):
+        rows, ids = rng.integers(0, 50, (5, lm.WINDOW)), rng.integers(0, 3000, (5, lm.WINDOW))
+        target, valid = (vocab.group[ids], vocab.member[ids]), rng.random((5, lm.WINDOW)) < 0.9
+        later = [i for i in range(5) if i not in first]
+        valid[later, : lm.OVERLAP] = False
+        whole, some = (lm.attention(w, rows, of) for of in (None, np.array(first, np.int64)))
+        assert not some[0][later, : lm.OVERLAP].any() and np.allclose(some[0][valid], whole[0][valid])
+        assert some[1][7].shape == (5 + len(first), lm.WINDOW - lm.OVERLAP, lm.WINDOW)
+        (a, g), (b, h) = (lm.backward(w, rows, *x, target, valid) for x in (whole, some))
+        assert a == pytest.approx(b) and all(np.allclose(g[k], h[k]) for k in lm.TRAINED)
+
+
+def test_windows_of_many_texts_are_cut_at_once():
+    rng = np.random.default_rng(9)
+    texts = [rng.integers(0, 2999, n).astype("<u2") for n in [0, 1, 23, 24, 25, 31, 32, 33, *rng.integers(0, 200, 40)]]
+    want = []
+    for x in texts:
+        seq = [2999, *x.tolist(), 2999]
+        want += [(seq[i : i + lm.WINDOW + 1] + [-1] * lm.WINDOW)[: lm.WINDOW + 1] for i in range(0, len(seq) - 1, lm.STEP)]
+    assert lm._cut([x.tobytes() for x in texts], "<u2", 2999).tolist() == want
+    mixed = lm._cut([x.tobytes() for x in texts], "<u2", 2999, np.random.default_rng(1)).tolist()
+    assert mixed != want and sorted(mixed) == sorted(want)
+    assert lm._cut([], "<u2", 2999).shape == (0, lm.WINDOW + 1)
+
+
 def test_a_training_step_takes_few_operations():
     """Each call costs as much as a small product; the weights are those of Adam one by one."""
     import sys
